@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import DEFAULT_RULES
-from tamis.session import tune
+from tamis.session import materialise, tune
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -207,4 +207,4 @@ def approved_items(spark: SparkSession, sf: str) -> DataFrame:
     from tamis.operators.correct import approved
     from tamis.operators.health import approval_queue
 
-    return approved(approval_queue(reconciled(spark, sf)), decisions(spark, sf))
+    return materialise(approved(approval_queue(reconciled(spark, sf)), decisions(spark, sf)), "approved")

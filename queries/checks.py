@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tamis.functions import address_kind, mask_prefix, pattern_key, record_key_json
 from tamis.operators import suspects as sus
 from tamis.operators.profile import condition_counts
-from tamis.plans import DEFAULT_RULES, Rule, number_generated, relations, rules_df
+from tamis.plans import DEFAULT_RULES, Rule, relations, rules_df, rules_from_df
 from tamis.plans.rules import by_column, by_tool, enabled
 
-from .base import CTES, FORMATS, PARCEL, parcel, query, sql, suspects, table, flat  # noqa: F401
+from .base import FORMATS, flat, parcel, query, sql, suspects, table
 
 SUSPECT = "record_id, rule_id, error_type, target_columns, current_values, reason, severity"
 
@@ -185,14 +183,15 @@ WHERE NOT coalesce(weight_kg <= top, false)) GROUP BY rule_id""", "p"))
 def generated_rules(spark, sf):
     """Rules proposed from the data (one per status), then run like any other."""
     data = parcel(spark, sf)
-    learned = data.groupBy("status_code").agg(F.floor(F.avg("weight_kg")).alias("top")).orderBy("status_code").collect()
-    raw = [{"rule_id": "", "error_type": "cross_column_inconsistency", "target_columns": ["status_code", "weight_kg"],
-            "validation_tool": "value_condition",
-            "params": json.dumps({"conditions": [{"when_column": "status_code", "when_values": [r["status_code"]],
-                                                  "check_column": "weight_kg", "check_op": "lte",
-                                                  "check_value": int(r["top"]), "reason": "heavier than usual"}]})}
-           for r in learned]
-    return sus.counts_by(sus.find_suspects(data, number_generated(raw)), "rule_id")
+    condition = F.struct(F.lit("status_code").alias("when_column"), F.array("status_code").alias("when_values"),
+                         F.lit("weight_kg").alias("check_column"), F.lit("lte").alias("check_op"),
+                         F.floor("top").alias("check_value"), F.lit("heavier than usual").alias("reason"))
+    proposed = data.groupBy("status_code").agg(F.avg("weight_kg").alias("top")).orderBy("status_code").select(
+        F.lit("").alias("rule_id"), F.lit("cross_column_inconsistency").alias("error_type"),
+        F.array(F.lit("status_code"), F.lit("weight_kg")).alias("target_columns"),
+        F.lit("value_condition").alias("validation_tool"),
+        F.to_json(F.struct(F.array(condition).alias("conditions"))).alias("params"))
+    return sus.counts_by(sus.find_suspects(data, rules_from_df(proposed, generated=True)), "rule_id")
 
 
 _RATES = [

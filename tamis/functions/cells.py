@@ -72,15 +72,19 @@ def to_number(col: Column, dtype: T.DataType) -> Column:
 def float_text(col: Column) -> Column:
     """Text of a double as Python prints it (``12345678.9``, ``1e+16``, ``1e-05``).
 
-    Spark switches to an exponent at 1e7 and below 1e-3, Python at 1e16 and below 1e-4; the
-    digits are the same. 38 digits with 22 behind the point hold every double in between.
+    Spark switches to an exponent at 1e7 and below 1e-3, Python at 1e16 and below 1e-4. Older
+    JVMs print some doubles with digits too many: 16 are taken if they read back the same, else 17.
+    38 decimal digits with 22 behind the point hold every double printed without exponent.
     """
     raw, size = col.cast("string"), F.abs(col)
-    plain = F.regexp_replace(raw.cast("decimal(38,22)").cast("string"), r"(?<!\.)0+\z", "")
-    power = F.regexp_replace(F.regexp_replace(raw, r"(\.0)?E(?=\d)", "e+"), r"(\.0)?E-", "e-")
+    short = F.format_string("%.15e", col)
+    text = (F.when(F.length(raw) < 18, F.replace(raw, F.lit("E"), F.lit("e")))
+            .when(short.try_cast("double") == col, short).otherwise(F.format_string("%.16e", col)))
+    plain = F.regexp_replace(text.cast("decimal(38,22)").cast("string"), r"(?<!\.)0+\z", "")
+    power = F.regexp_replace(F.regexp_replace(text, r"\.?0+(?=e)", ""), r"e(?=\d)", "e+")
     power = F.regexp_replace(power, r"e([+-])(\d)\z", "e$10$2")
-    return (F.when(~raw.contains("E"), F.replace(F.replace(raw, F.lit("Infinity"), F.lit("inf")),
-                                                 F.lit("NaN"), F.lit("nan")))
+    return (F.when(col.isNull(), None).when(~text.contains("e"), F.replace(F.replace(text, F.lit("Infinity"), F.lit("inf")),
+                                                  F.lit("NaN"), F.lit("nan")))
             .when((size >= 1e-4) & (size < 1e16), plain)
             .otherwise(power))
 
@@ -102,7 +106,7 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
 
 # directive -> (shape, Spark letters alone, Spark letters next to another number)
 _DIRECTIVES = {
-    "Y": (r"\d{4}", "yyyy", "yyyy"),
+    "Y": (r"(?!0000)\d{4}", "yyyy", "yyyy"),  # there is no year 0
     "m": (r"\d{1,2}", "M", "MM"),
     "d": (r"\d{1,2}", "d", "dd"),
     "H": (r"\d{1,2}", "H", "HH"),

@@ -2,6 +2,10 @@
 
 Nothing is changed without an approval row. Every function returns a new frame; writing a new
 version of the table is left to ``sinks``.
+
+Approved items and cells are joined to the whole table. Pass them written and read back
+(``session.materialise``): Spark then knows their true size and broadcasts them only if they
+are small, so that the table itself need not be shuffled.
 """
 
 from __future__ import annotations

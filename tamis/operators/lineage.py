@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Weight of a severity; a missing one counts as warning, an unknown one as 1.
 SEVERITY_WEIGHTS = {"critical": 10.0, "warning": 5.0, "info": 1.0}
@@ -55,45 +55,52 @@ def impact_summary(scored: DataFrame) -> DataFrame:
                       F.coalesce(F.round(F.avg("impact_score"), 2), F.lit(0.0)).alias("avg_impact_score"))
 
 
+def traced_lineage(lineage: DataFrame, changes: DataFrame) -> DataFrame:
+    """Lineage with, per table, a map from column to its upstream column and whether that drifted.
+
+    Works on catalog rows only: one per table column, then one per table again.
+    """
+    links = (lineage.select("table_name", F.explode("column_lineage").alias("column_name", "source"))
+             .filter(F.instr("source", ".") > 0)
+             .select("table_name", "column_name", F.substring_index("source", ".", 1).alias("source_table"),
+                     F.substr("source", F.instr("source", ".") + 1).alias("source_column")))
+    drift = changes.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"),
+                           "change", "changed")
+    found = links.join(drift, ["source_table", "source_column"], "left").select(
+        "table_name", F.struct("column_name", F.struct(
+            F.col("column_name").alias("column"), "source_table", "source_column",
+            F.coalesce("changed", F.lit(False)).alias("changed"), "change").alias("to")).alias("link"))
+    maps = found.groupBy("table_name").agg(F.map_from_entries(F.collect_list("link")).alias("traces"))
+    return lineage.join(maps, "table_name", "left")
+
+
 def root_causes(suspects: DataFrame, lineage: DataFrame, changes: DataFrame) -> DataFrame:
     """The upstream column behind each violation.
 
     Of the columns a violation names, those with column lineage are traced to ``table.column``;
-    one whose profile changed lately beats one that did not, the first named wins ties. The pick
-    is made inside the row: a violation names a few columns, and the sources a rule can reach
-    are few, so scores are looked up per distinct source, not per suspect.
+    one whose profile changed lately beats one that did not, the first named wins ties. Drift is
+    joined to the lineage beforehand, so a suspect needs one join with the catalog and the pick
+    is made inside the row.
     """
-    found = lookup(suspects, lineage)
-    # Every distinct (tables, columns) combination is scored once; there are as many as rules.
-    combos = found.select("table_name", "target_columns").distinct()
-    placed = lookup(combos, lineage)
-    traced = (
-        placed.select("table_name", "target_columns", F.posexplode("target_columns").alias("pos", "violation_column"),
-                      F.try_element_at("column_lineage", F.col("violation_column")).alias("source"))
-        .filter(F.instr("source", ".") > 0)
-        .withColumn("source_table", F.substring_index("source", ".", 1))
-        .withColumn("source_column", F.substr("source", F.instr("source", ".") + 1)))
-    drift = changes.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"),
-                           "change", "changed")
-    scored = (traced.join(drift, ["source_table", "source_column"], "left")
-              .withColumn("changed", F.coalesce("changed", F.lit(False))))
-    best = Window.partitionBy("table_name", "target_columns").orderBy(F.desc("changed"), "pos")
-    chosen = scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(
-        "table_name", "target_columns", "violation_column", "source_table", "source_column", "changed", "change")
-    traced_row = F.col("source_table").isNotNull()
+    found = lookup(suspects, traced_lineage(lineage, changes))
+    sources = F.filter(F.transform("target_columns", lambda c: F.try_element_at(F.col("traces"), c)),
+                       lambda s: s.isNotNull())
+    best = F.coalesce(F.try_element_at(F.filter("_sources", lambda s: s["changed"]), F.lit(1)),
+                      F.try_element_at("_sources", F.lit(1)))
+    out = found.withColumn("_sources", sources).withColumn("_best", best)
+    traced, changed = F.col("_best").isNotNull(), F.coalesce("_best.changed", F.lit(False))
     up = F.size("upstream_tables") > 0
-    return (found.join(chosen, ["table_name", "target_columns"], "left").select(
+    where = F.concat(F.lit("Upstream "), F.col("_best.source_table"), F.lit("."), F.col("_best.source_column"))
+    return out.select(
         *suspects.columns,
-        F.when(traced_row, "success").when(up, "partial").otherwise("no_lineage").alias("root_cause_status"),
-        F.coalesce("source_table", F.try_element_at("upstream_tables", F.lit(1)), F.lit("")).alias("root_cause_table"),
-        F.coalesce("source_column", F.lit("")).alias("root_cause_column"),
-        F.when(traced_row & F.col("changed"), "HIGH").when(traced_row, "MEDIUM").otherwise("LOW")
-        .alias("root_cause_confidence"),
-        F.coalesce("changed", F.lit(False)).alias("profile_change_detected"),
-        F.when(traced_row & F.col("changed"), F.concat_ws("", F.lit("Upstream "), "source_table", F.lit("."),
-               "source_column", F.lit(" profile change detected: "), "change", F.lit(" changed")))
-        .when(traced_row, F.concat_ws("", F.lit("Upstream "), "source_table", F.lit("."), "source_column",
-                                      F.lit(" is source for violated column "), "violation_column"))
+        F.when(traced, "success").when(up, "partial").otherwise("no_lineage").alias("root_cause_status"),
+        F.coalesce("_best.source_table", F.try_element_at("upstream_tables", F.lit(1)), F.lit(""))
+        .alias("root_cause_table"),
+        F.coalesce("_best.source_column", F.lit("")).alias("root_cause_column"),
+        F.when(changed, "HIGH").when(traced, "MEDIUM").otherwise("LOW").alias("root_cause_confidence"),
+        changed.alias("profile_change_detected"),
+        F.when(changed, F.concat(where, F.lit(" profile change detected: "), F.col("_best.change"), F.lit(" changed")))
+        .when(traced, F.concat(where, F.lit(" is source for violated column "), F.col("_best.column")))
         .when(up, F.concat(F.lit("No column lineage available. Upstream tables: "),
                            F.array_join("upstream_tables", ", ")))
-        .otherwise("No upstream lineage information available.").alias("root_cause_description")))
+        .otherwise("No upstream lineage information available.").alias("root_cause_description"))

@@ -1,75 +1,93 @@
 """Row numbers over a whole table without gathering it in one task.
 
 ``row_number()`` over an unpartitioned window sends every row to a single task. Here the
-order key is cut into ranges first: bounds come from a bounded, hash-chosen sample, counting
-rows per range gives each range its offset, and rows are numbered inside their range.
+order key is cut into ranges first: bounds come from a bounded sample, counting rows per range
+gives each range its offset, and rows are numbered inside their range. A key that fills a
+range or more by itself is cut out of its neighbours and dealt over many parts, as the order
+among equal keys is free.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_PER_RANGE = 40
-
+from ..session import materialise
 
-def _key(columns) -> Column:
-    return F.struct(*[F.col(c) for c in columns])
+SAMPLE_PER_RANGE = 40
+PART = ["_range", "_part"]
 
 
 def _range_of(key_columns, bounds, low=0) -> Column:
-    """Binary search over literal bounds: range i holds keys in [bounds[i-1], bounds[i])."""
+    """Binary search over literal bounds. A bound is (key, after): rows up to the key, or up to
+    and including it when ``after``, are below."""
     if not bounds:
         return F.lit(low)
     mid = len(bounds) // 2
-    below = F.lit(False)
-    for name, value in reversed(list(zip(key_columns, bounds[mid]))):
+    values, after = bounds[mid]
+    below = F.lit(after)
+    for name, value in reversed(list(zip(key_columns, values))):
         col, value = F.col(name), F.lit(value)
         below = (col < value) | ((col == value) & below)
     return (F.when(below, _range_of(key_columns, bounds[:mid], low))
             .otherwise(_range_of(key_columns, bounds[mid + 1:], low + mid + 1)))
 
 
-def _ranges(df: DataFrame, key_columns, ranges: int):
-    """(df with its range number, rows per range). Both small results are bounded by ``ranges``."""
-    # A hash order picks an even sample, the same one each time it is computed.
-    sample = (df.select(*key_columns).orderBy(F.xxhash64(*key_columns), *key_columns)
-              .limit(ranges * SAMPLE_PER_RANGE).distinct().collect())
+def _bounds(df: DataFrame, key_columns, ranges: int):
+    """(bounds, numbers of the ranges that hold one hot key)."""
+    # A random sample of fixed size: rows, not keys, so a hot key shows as often as it occurs.
+    sample = df.select(*key_columns).orderBy(F.rand(7)).limit(ranges * SAMPLE_PER_RANGE).collect()
     points = sorted(tuple(r) for r in sample)
     step = max(1, len(points) // ranges)
-    bounds = points[step::step][:ranges - 1]
-    tagged = df.withColumn("_range", _range_of(key_columns, bounds))
-    counts = {r["_range"]: r["n"] for r in tagged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    return tagged, [counts.get(i, 0) for i in range(len(bounds) + 1)]
-
-
-def _numbered(tagged, key_columns, counts, keep=None):
-    offsets, total = [], 0
-    for n in counts:
-        offsets.append(total)
-        total += n
-    if keep is not None:
-        tagged = tagged.filter(F.col("_range").isin(keep(offsets, counts)))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*key_columns)).cast("long")
-    start = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range") + 1)
-    return tagged.withColumn("row_no", within + start).drop("_range")
+    picked = points[step::step][:ranges - 1]
+    bounds, hot = [], []
+    for key in sorted(set(picked)):
+        bounds.append((key, False))
+        if picked.count(key) > 1:
+            hot.append(len(bounds))
+            bounds.append((key, True))
+    return bounds, hot
+
+
+def _tagged(df: DataFrame, key_columns, ranges: int):
+    """(df with its range and part, rows per range and part); the counts are bounded by ``ranges``."""
+    bounds, hot = _bounds(df, key_columns, ranges)
+    tagged = df.withColumn("_range", _range_of(key_columns, bounds)).withColumn("_part", F.lit(0))
+    if hot:
+        # Dealing at random must not be redone differently when a task runs again: write it down.
+        tagged = materialise(tagged.withColumn("_part", F.when(
+            F.col("_range").isin(hot), (F.rand() * ranges).cast("int")).otherwise(0)), "dealt")
+    counted = tagged.groupBy(*PART).agg(F.count("*").alias("n")).collect()
+    return tagged, sorted((r["_range"], r["_part"], r["n"]) for r in counted)
+
+
+def _numbered(tagged, key_columns, counts, first=None, last=None) -> DataFrame:
+    """Number the rows; with first and last, only the parts that reach into them."""
+    keep, offset = [], 0
+    for rng, part, n in counts:
+        if first is None or (offset < last and offset + n >= first):
+            keep.append((rng, part, offset))
+        offset += n
+    if not keep:
+        return tagged.limit(0).withColumn("row_no", F.lit(0).cast("long")).drop(*PART)
+    starts = tagged.sparkSession.createDataFrame(keep, "_range int, _part int, _start long")
+    within = F.row_number().over(Window.partitionBy(*PART).orderBy(*key_columns))
+    # A row per range and part, so this side is small; parts outside the page drop out here.
+    return (tagged.join(F.broadcast(starts), PART)
+            .withColumn("row_no", F.col("_start") + within).drop(*PART, "_start"))
 
 
 def number_rows(df: DataFrame, key_columns, ranges: int = 200) -> DataFrame:
-    """Add ``row_no`` 1..n in key order. The key columns must not be NULL and should identify a row."""
-    tagged, counts = _ranges(df, key_columns, ranges)
+    """Add ``row_no`` 1..n in key order. Key columns must not be NULL; equal keys come in any order."""
+    tagged, counts = _tagged(df, key_columns, ranges)
     return _numbered(tagged, key_columns, counts)
 
 
 def page(df: DataFrame, key_columns, size: int, index: int, ranges: int = 200) -> DataFrame:
     """Slice ``index`` of ``ceil(n / size)`` slices in key order; other ranges are never sorted."""
-    tagged, counts = _ranges(df, key_columns, ranges)
+    tagged, counts = _tagged(df, key_columns, ranges)
     first, last = index * size + 1, (index + 1) * size
-
-    def overlapping(offsets, counts):
-        return [i for i, (o, n) in enumerate(zip(offsets, counts)) if o < last and o + n >= first]
-
-    total = sum(counts)
-    return (_numbered(tagged, key_columns, counts, overlapping)
+    total = sum(n for _, _, n in counts)
+    return (_numbered(tagged, key_columns, counts, first, last)
             .filter(F.col("row_no").between(first, last))
             .withColumn("total_count", F.lit(total).cast("long"))
             .withColumn("chunk_count", F.lit(-(-total // size)).cast("long")))

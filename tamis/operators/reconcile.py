@@ -72,7 +72,8 @@ def cache_entries(judgments: DataFrame, suspects: DataFrame, written_at, ttl_day
     """
     high = judgments.filter(F.upper("confidence") == "HIGH")
     verdict = F.to_json(F.struct("is_error", "error_type", "confidence", "reasoning", "suggested_correction"))
-    keyed = high.join(suspects.select(*KEYS, pattern_key().alias("pattern_key")), KEYS)
+    patterns = suspects.groupBy(*KEYS).agg(F.min(pattern_key()).alias("pattern_key"))
+    keyed = high.join(patterns, KEYS)
     written = F.lit(written_at).cast("timestamp")
     return (keyed.groupBy("pattern_key")
             .agg(F.max_by(verdict, F.struct(*KEYS)).alias("judgment"))
@@ -83,18 +84,21 @@ def cache_entries(judgments: DataFrame, suspects: DataFrame, written_at, ttl_day
 # --- opinions --------------------------------------------------------------
 
 def last_answer(judgments: DataFrame) -> DataFrame:
-    """One judgment per (record, rule): the last one given."""
+    """One judgment per (record, rule): the last one given (by batch and position, if known).
+
+    Grouping by the keys of the join that follows costs no extra shuffle, and keeps repeated
+    answers about one record from multiplying in it.
+    """
     order = [c for c in ("batch_id", "pos") if c in judgments.columns]
-    if not order:
-        return judgments
     rest = [c for c in judgments.columns if c not in (*KEYS, *order)]
-    return (judgments.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("j"))
+    by = F.struct(*order) if order else F.to_json(F.struct(*rest))
+    return (judgments.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), by).alias("j"))
             .select(*KEYS, "j.*"))
 
 
 def reconcile(primary: DataFrame, reflection: DataFrame) -> DataFrame:
     """Second opinion against the first: where they differ the verdict stays and drops to LOW."""
-    second = reflection.select(*KEYS, F.col("is_error").alias("_second"))
+    second = last_answer(reflection).select(*KEYS, F.col("is_error").alias("_second"))
     differs = F.coalesce(F.col("_second") != F.col("is_error"), F.lit(False))
     return (primary.join(second, KEYS, "left")
             .withColumn("reflection_match", ~differs)
@@ -109,7 +113,7 @@ def mismatches(reconciled: DataFrame) -> DataFrame:
 
 def apply_deep(reconciled: DataFrame, deep: DataFrame) -> DataFrame:
     """A third, deeper opinion on the mismatches replaces verdict and confidence."""
-    third = deep.select(*KEYS, F.struct("is_error", "confidence", "reasoning").alias("_deep"))
+    third = last_answer(deep).select(*KEYS, F.struct("is_error", "confidence", "reasoning").alias("_deep"))
     found = F.col("_deep").isNotNull()
     return (reconciled.join(third, KEYS, "left")
             .withColumn("confidence", F.coalesce("_deep.confidence", "confidence"))
@@ -146,7 +150,8 @@ def ranked(judgments: DataFrame) -> DataFrame:
 
 def with_impact(judgments: DataFrame, scored: DataFrame) -> DataFrame:
     """Carry the impact score of the suspect over to its judgment."""
-    return (judgments.join(scored.select(*KEYS, "impact_score"), KEYS, "left")
+    scores = scored.groupBy(*KEYS).agg(F.max("impact_score").alias("impact_score"))
+    return (judgments.join(scores, KEYS, "left")
             .withColumn("impact_score", F.coalesce("impact_score", F.lit(0.0))))
 
 

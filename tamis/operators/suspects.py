@@ -31,9 +31,9 @@ def _violations(df: DataFrame, table: Table, groups, found: list[Column], key: s
         found, checks = [F.lit(None).cast("int")], []
     hit = F.col("_check")
 
-    def label(values, kind="string"):
-        """Constant text by check number: a lookup in a literal array."""
-        return F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), hit + 1)
+    def label(values):
+        """Constant text by check number: a lookup in a literal list."""
+        return F.element_at(F.split(F.lit("\u0001".join(values)), "\u0001"), hit + 1)
 
     def by_check(columns, default):
         out = default
@@ -42,7 +42,7 @@ def _violations(df: DataFrame, table: Table, groups, found: list[Column], key: s
         return out
 
     def text_of(field):
-        fixed = label([getattr(c, field) if isinstance(getattr(c, field), str) else None for c in checks])
+        fixed = label([getattr(c, field) if isinstance(getattr(c, field), str) else "" for c in checks])
         own = [(i, getattr(c, field)) for i, c in enumerate(checks) if not isinstance(getattr(c, field), str)]
         return by_check(own, None).otherwise(fixed) if own else fixed
 
@@ -53,7 +53,7 @@ def _violations(df: DataFrame, table: Table, groups, found: list[Column], key: s
     if not checks:
         return rows.select(F.col(f"`{key}`").cast("string").alias("record_id"),
                            *[F.lit(None).cast(k).alias(n) for n, k in SUSPECT_TYPES], *carry)
-    names = F.element_at(F.array(*[F.array(*[F.lit(n) for n in c.columns]) for c in checks]), hit + 1)
+    names = F.split(label(["\u0002".join(c.columns) for c in checks]), "\u0002")
     return rows.select(
         F.col(f"`{key}`").cast("string").alias("record_id"),
         label([c.rule.rule_id for c in checks]).alias("rule_id"),

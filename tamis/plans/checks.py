@@ -46,6 +46,7 @@ class Table:
     def __init__(self, schema: T.StructType):
         self.types = {f.name: f.dataType for f in schema.fields}
         self.derived: dict[str, Column] = {}
+        self._columns: dict = {}  # building a Column is a round trip to the JVM; keep them
 
     def derive(self, what: str, build) -> Column:
         if what not in self.derived:
@@ -59,10 +60,14 @@ class Table:
         return self.types.get(name, T.StringType())
 
     def col(self, name) -> Column:
-        return F.col(f"`{name}`") if name in self.types else F.lit(None).cast("string")
+        if name not in self._columns:
+            self._columns[name] = F.col(f"`{name}`") if name in self.types else F.lit(None).cast("string")
+        return self._columns[name]
 
     def text(self, name) -> Column:
-        return cells.cell_text(self.col(name), self.dtype(name))
+        if ("text", name) not in self._columns:
+            self._columns["text", name] = cells.cell_text(self.col(name), self.dtype(name))
+        return self._columns["text", name]
 
     def member(self, name, values) -> Column:
         """Type-strict membership: '1' is not 1, but 1.0 and True are."""

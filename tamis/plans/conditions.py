@@ -14,7 +14,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from ..functions.cells import is_numeric
 
-# A value is (kind, Column); kind is num, text, bool, none or bad. A NULL bool means "failed".
+# A value is (kind, Column); kind is num, calc (a computed number), text, bool, none or bad.
+# A NULL test or a NULL computed number means "failed".
 
 
 def _literal(value):
@@ -46,6 +47,9 @@ def _same(a, b) -> Column:
     """``==``: never fails; missing equals missing; text never equals a number."""
     if "bad" in (a[0], b[0]):
         return F.lit(None).cast("boolean")
+    for one, other in ((a, b), (b, a)):
+        if one[0] == "calc":
+            return F.when(one[1].isNotNull(), _same(("num", one[1]), other))
     if a[0] == "none":
         return b[1].isNull()
     if b[0] == "none":
@@ -74,8 +78,10 @@ def _truth(value) -> Column:
         return F.lit(False)
     if kind == "bad":
         return F.lit(None).cast("boolean")
+    if kind == "calc":
+        return col != 0
     if kind == "bool":
-        return col
+        return F.coalesce(col, F.lit(False))
     present = (col != "") if kind == "text" else (col != 0)
     return F.coalesce(present, F.lit(False))
 
@@ -108,16 +114,16 @@ class _Reader:
             return kind, col.cast("string") if kind == "text" else col
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
             kind, col = self.value(node.operand)
-            if kind not in ("num", "bool"):
+            if kind not in ("num", "calc", "bool"):
                 return "bad", F.lit(None)
             col = _number((kind, col))
-            return "num", -col if isinstance(node.op, ast.USub) else col
+            return "calc", -col if isinstance(node.op, ast.USub) else col
         if isinstance(node, ast.BinOp) and type(node.op) in _MATH:
             a, b = self.value(node.left), self.value(node.right)
-            if a[0] not in ("num", "bool") or b[0] not in ("num", "bool"):
+            if not {a[0], b[0]} <= {"num", "calc", "bool"}:
                 return "bad", F.lit(None)
             x, y = _number(a).cast("double"), _number(b).cast("double")
-            return "num", _MATH[type(node.op)](x, y)
+            return "calc", _MATH[type(node.op)](x, y)
         if isinstance(node, (ast.Compare, ast.BoolOp, ast.UnaryOp)):
             return "bool", self.test(node)
         raise ValueError(f"not allowed in a condition: {ast.unparse(node)}")

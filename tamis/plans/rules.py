@@ -135,13 +135,13 @@ def rules_df(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def rules_from_df(df: DataFrame, max_rules: int = 5000) -> list[Rule]:
+def rules_from_df(df: DataFrame, max_rules: int = 5000, generated: bool = False) -> list[Rule]:
     """Rules held in a table. Every rule becomes expressions in one plan, so their number is
     checked: too many is an error, never a silent cut."""
-    rows = df.limit(max_rules + 1).collect()
+    rows = [r.asDict(recursive=True) for r in df.limit(max_rules + 1).collect()]
     if len(rows) > max_rules:
         raise ValueError(f"more than {max_rules} rules in the rule table")
-    return [Rule.of(r.asDict(recursive=True)) for r in rows]
+    return number_generated(rows) if generated else [Rule.of(r) for r in rows]
 
 
 # --- picking ---------------------------------------------------------------

@@ -25,9 +25,13 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every cell as text, empty cells NULL (a leading BOM is dropped by Spark)."""
-    return spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+def read_csv_text(spark: SparkSession, path: str, line_breaks_in_cells: bool = False) -> DataFrame:
+    """CSV with a header, every cell as text, empty cells NULL (a leading BOM is dropped by Spark).
+
+    Quoted line breaks need whole files as tasks; without them files are split.
+    """
+    return (spark.read.option("header", True).option("multiLine", line_breaks_in_cells)
+            .option("escape", '"').csv(path))
 
 
 def coerce_csv(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
