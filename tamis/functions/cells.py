@@ -73,7 +73,8 @@ def float_text(col: Column) -> Column:
     """Text of a double as Python prints it (``12345678.9``, ``1e+16``, ``1e-05``).
 
     Spark switches to an exponent at 1e7 and below 1e-3, Python at 1e16 and below 1e-4. Older
-    JVMs print some doubles with digits too many: 16 are taken if they read back the same, else 17.
+    JVMs print some doubles with digits too many: 16 are taken if they read back the same, else 17
+    (for one large double in a thousand the last digit then differs; it always reads back the same).
     38 decimal digits with 22 behind the point hold every double printed without exponent.
     """
     raw, size = col.cast("string"), F.abs(col)
