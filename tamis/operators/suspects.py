@@ -16,63 +16,144 @@ SUSPECT_TYPES = (("rule_id", "string"), ("error_type", "string"), ("target_colum
                  ("current_values", "map<string,string>"), ("reason", "string"), ("severity", "string"))
 
 
+WORD = 60  # checks per bit mask
+
+
 def _with_derived(df: DataFrame, table: Table) -> DataFrame:
     return df.withColumns(table.derived) if table.derived else df
 
 
-def _violations(df: DataFrame, table: Table, groups, found: list[Column], key: str, carry) -> DataFrame:
-    """Rows of violated checks.
+def _joined(columns: list[Column]) -> Column:
+    """Balanced bitwise OR, so that hundreds of checks do not make a deep expression."""
+    while len(columns) > 1:
+        columns = [columns[i].bitwiseOR(columns[i + 1]) if i + 1 < len(columns) else columns[i]
+                   for i in range(0, len(columns), 2)]
+    return columns[0]
+
+
+def _one_of(columns: list[Column]) -> Column:
+    out = columns[0]
+    for col in columns[1:]:
+        out = out | col
+    return out
 
-    Each row first gets an array of check numbers, a cheap value that stays inside generated
-    code; the texts that describe a violation are made only for the suspects that come out.
+
+def _masks(groups, first_only: bool):
+    """(first check, last check, mask Column) per word of at most WORD checks.
+
+    Bit i of a word stands for its i-th check. With ``first_only`` a rule sets one bit, that of
+    its first violated check; a rule is kept within a word unless it alone is larger.
     """
-    checks = [c for g in groups for c in g]
-    if not checks:
-        found, checks = [F.lit(None).cast("int")], []
+    words, start, number = [], 0, 0
+    bits: list[Column] = []
+
+    def close():
+        nonlocal start, bits
+        if bits:
+            words.append((start, number - 1, _joined(bits)))
+        start, bits = number, []
+
+    for group in groups:
+        if number - start + len(group) > WORD:
+            close()
+        earlier: list[Column] = []
+        for at in range(0, len(group), WORD):
+            if number - start >= WORD:
+                close()
+            piece, case = group[at:at + WORD], None
+            for c in piece:
+                bit = F.lit(1 << (number - start)).cast("long")
+                if case is None or not first_only:
+                    if case is not None:
+                        bits.append(case.otherwise(F.lit(0).cast("long")))
+                    case = F.when(c.violated, bit)
+                else:
+                    case = case.when(c.violated, bit)
+                number += 1
+            case = case.otherwise(F.lit(0).cast("long"))
+            if earlier and first_only:
+                case = F.when(_one_of(earlier), F.lit(0).cast("long")).otherwise(case)
+            bits.append(case)
+            earlier += [c.violated for c in piece]
+    close()
+    return words
+
+
+def _mark(df: DataFrame, groups, first_only: bool) -> DataFrame:
+    """Rows with ``_check``, the number of a violated check; one row per violation.
+
+    A row's violations are first gathered in bit masks, plain numbers inside generated code.
+    Most rows are clean: their masks are 0 and nothing else is made for them.
+    """
+    words = _masks(groups, first_only)
+    names = [f"_mask{w}" for w in range(len(words))]
+
+    def numbers(name, first, last):
+        """The checks whose bits are set."""
+        mask = F.col(name)
+        return F.when(mask == 0, F.array().cast("array<int>")).otherwise(
+            F.filter(F.sequence(F.lit(first), F.lit(last)), lambda i: F.getbit(mask, i - first) == 1))
+
+    found = [numbers(name, first, last) for name, (first, last, _) in zip(names, words)]
+    # explode_outer, as below a plain explode the optimizer would put a second copy of all checks
+    # (a filter on the array's size); clean rows give one NULL, dropped by the filter.
+    return (df.withColumns({n: mask for n, (_, _, mask) in zip(names, words)})
+            .withColumn("_found", found[0] if len(found) == 1 else F.concat(*found))
+            .withColumn("_check", F.explode_outer("_found"))
+            .filter(F.col("_check").isNotNull()).drop("_found", *names))
+
+
+def _describe(rows: DataFrame, checks, key: str, carry) -> DataFrame:
+    """The suspect schema, from rows and their check numbers."""
     hit = F.col("_check")
 
     def label(values):
         """Constant text by check number: a lookup in a literal list."""
         return F.element_at(F.split(F.lit("\u0001".join(values)), "\u0001"), hit + 1)
 
-    def by_check(columns, default):
-        out = default
-        for i, col in columns:
-            out = F.when(hit == i, col) if out is None else out.when(hit == i, col)
+    def by_check(groups):
+        out = None
+        for numbers, col in groups:
+            test = hit == numbers[0] if len(numbers) == 1 else hit.isin(numbers)
+            out = F.when(test, col) if out is None else out.when(test, col)
         return out
 
     def text_of(field):
         fixed = label([getattr(c, field) if isinstance(getattr(c, field), str) else "" for c in checks])
-        own = [(i, getattr(c, field)) for i, c in enumerate(checks) if not isinstance(getattr(c, field), str)]
-        return by_check(own, None).otherwise(fixed) if own else fixed
+        own = [([i], getattr(c, field)) for i, c in enumerate(checks) if not isinstance(getattr(c, field), str)]
+        return by_check(own).otherwise(fixed) if own else fixed
+
+    # Checks that show the same values share one expression, however many rules there are.
+    shown: dict = {}
+    for i, c in enumerate(checks):
+        shown.setdefault(tuple((name, id(text)) for name, text in c.current), []).append(i)
+    values = [(numbers, checks[numbers[0]].current_values()) for numbers in shown.values()]
 
-    # explode_outer, as the optimizer would put a second copy of all checks below a plain explode
-    # (a filter on the array's size) and the array is never empty.
-    rows = (_with_derived(df, table).withColumn("_found", F.array(*found))
-            .withColumn("_check", F.explode_outer("_found")).filter(hit.isNotNull()))
-    if not checks:
-        return rows.select(F.col(f"`{key}`").cast("string").alias("record_id"),
-                           *[F.lit(None).cast(k).alias(n) for n, k in SUSPECT_TYPES], *carry)
-    names = F.split(label(["\u0002".join(c.columns) for c in checks]), "\u0002")
     return rows.select(
         F.col(f"`{key}`").cast("string").alias("record_id"),
         label([c.rule.rule_id for c in checks]).alias("rule_id"),
         label([c.rule.error_type for c in checks]).alias("error_type"),
-        names.alias("target_columns"),
-        by_check([(i, c.current_values()) for i, c in enumerate(checks)], None).alias("current_values"),
+        F.split(label(["\u0002".join(c.columns) for c in checks]), "\u0002").alias("target_columns"),
+        by_check(values).alias("current_values"),
         text_of("reason").alias("reason"), text_of("severity").alias("severity"), *carry)
 
 
+def _evaluate(df: DataFrame, rules, key: str, carry, first_only: bool) -> DataFrame:
+    table = Table(df.schema)
+    groups = compile_rules(rules, table)
+    checks = [c for g in groups for c in g]
+    if not checks:
+        return df.limit(0).select(F.col(f"`{key}`").cast("string").alias("record_id"),
+                                  *[F.lit(None).cast(k).alias(n) for n, k in SUSPECT_TYPES], *carry)
+    return _describe(_mark(_with_derived(df, table), groups, first_only), checks, key, carry)
+
+
 def find_suspects(df: DataFrame, rules, key: str = "record_id", carry=()) -> DataFrame:
     """One row per violated check (a rule over two columns can give two).
 
     ``carry`` names columns of the table to keep next to the suspect.
     """
-    table = Table(df.schema)
-    groups = compile_rules(rules, table)
-    checks = [c for g in groups for c in g]
-    found = [F.when(c.violated, F.lit(i)) for i, c in enumerate(checks)]
-    return _violations(df, table, groups, found, key, carry)
+    return _evaluate(df, rules, key, carry, first_only=False)
 
 
 def find_first_suspects(df: DataFrame, rules, key: str = "record_id", unique_key: bool = True,
@@ -82,16 +163,7 @@ def find_first_suspects(df: DataFrame, rules, key: str = "record_id", unique_key
     With unique keys the choice is made inside the row and nothing is shuffled. Otherwise the
     rows of a key are reduced with ``min_by``, combined map-side.
     """
-    table = Table(df.schema)
-    groups = compile_rules(rules, table)
-    found, number = [], 0
-    for group in groups:
-        first = None
-        for c in group:
-            first = F.when(c.violated, F.lit(number)) if first is None else first.when(c.violated, F.lit(number))
-            number += 1
-        found.append(first)
-    out = _violations(df, table, groups, found, key, carry)
+    out = _evaluate(df, rules, key, carry, first_only=True)
     return out if unique_key else dedup_suspects(out)
 
 

@@ -34,6 +34,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores when it has fewer partitions than there are cores.
+
+    Many rules are heavy work per row, and a file of one row group is one task. Only such small
+    inputs are dealt out; a large table has partitions in plenty and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
