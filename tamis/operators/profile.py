@@ -8,6 +8,7 @@ from ..functions import cells
 from ..plans.checks import Table
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
@@ -62,10 +63,14 @@ def top_values(df: DataFrame, columns=None, n: int = 10, counts: DataFrame | Non
 def _column_stats(df: DataFrame, columns, approx: bool, group: str | None) -> DataFrame:
     """One aggregate over the table, turned into one row per column."""
     table = Table(df.schema)
+    # Reading a text as a number is dear, and five aggregates need it: once per row, below them.
+    read = {f"_n{i}": cells.to_number(table.col(c), table.dtype(c)) for i, c in enumerate(columns)
+            if isinstance(table.dtype(c), T.StringType)}
+    df = df.withColumns(read) if read else df
     aggs, rows = [], []
     for i, name in enumerate(columns):
         dtype, col = table.dtype(name), table.col(name)
-        number = cells.to_number(col, dtype)
+        number = F.col(f"_n{i}") if f"_n{i}" in read else cells.to_number(col, dtype)
         numeric = cells.is_numeric(dtype) or isinstance(dtype, (T.StringType, T.BooleanType))
         aggs.append(F.count(col).alias(f"p{i}"))
         if numeric:
@@ -73,13 +78,14 @@ def _column_stats(df: DataFrame, columns, approx: bool, group: str | None) -> Da
                      F.avg(number).alias(f"m{i}"), F.stddev_pop(number).alias(f"d{i}"),
                      F.count(number).alias(f"k{i}")]
         if not cells.is_numeric(dtype):
-            text = table.text(name)
+            # Times sort like their text, and are printed once, not per row.
+            text = col if isinstance(dtype, _TIMES) else table.text(name)
             aggs += [F.min(text).alias(f"tlo{i}"), F.max(text).alias(f"thi{i}")]
         if approx:
             aggs.append(F.approx_count_distinct(col, 0.02).alias(f"u{i}"))
         lo, hi = (cells.float_text(F.col(f"{x}{i}")) if numeric else F.lit(None) for x in ("lo", "hi"))
         if not cells.is_numeric(dtype):  # text bounds only when nothing reads as a number
-            lo, hi = F.coalesce(lo, F.col(f"tlo{i}")), F.coalesce(hi, F.col(f"thi{i}"))
+            lo, hi = (F.coalesce(x, F.col(f"{y}{i}").cast("string")) for x, y in ((lo, "tlo"), (hi, "thi")))
         rows.append(F.struct(
             F.lit(i).alias("pos"), F.lit(name).alias("column_name"), F.col("total").alias("total_count"),
             F.col(f"p{i}").alias("present"), lo.cast("string").alias("min_value"), hi.cast("string").alias("max_value"),
