@@ -104,22 +104,25 @@ def batch_payload(spark, sf):
     return judge.batch_payloads(numbered(spark, sf), 50)
 
 
-def stand_in_judge(items):
-    """Answers as a model would: prose around a JSON array, tokens counted by length."""
-    answers = []
-    for i in items:
-        k = int(i["record_id"])
-        answers.append({"record_id": i["record_id"], "rule_id": i["rule_id"], "is_error": k % 7 != 0,
-                        "confidence": "LOW" if k % 5 == 0 else "HIGH" if i["severity"] == "critical" else "MEDIUM",
-                        "error_type": i["error_type"], "evidence": f"seen {i['rule_id']}"})
-    return "Here is my view:\n" + json.dumps(answers) + "\nDone.", 10 * len(items), 2 * len(items)
+def stand_in_judge():
+    def judge_items(items):  # local, so that it travels to the executors by value
+        answers = []
+        for i in items:
+            k = int(i["record_id"])
+            answers.append({"record_id": i["record_id"], "rule_id": i["rule_id"], "is_error": k % 7 != 0,
+                            "confidence": "LOW" if k % 5 == 0 else "HIGH" if i["severity"] == "critical" else "MEDIUM",
+                            "error_type": i["error_type"], "evidence": f"seen {i['rule_id']}"})
+        # as a model would: prose around the array, tokens counted
+        return "Here is my view:\n" + json.dumps(answers) + "\nDone.", 10 * len(items), 2 * len(items)
+
+    return judge_items
 
 
 @query("judge_rules", sql("SELECT record_id, rule_id, is_error, confidence, error_type, reasoning FROM j", "j"))
 def judge_rules(spark, sf):
     """Suspects through a Python judge in batches, answers parsed in the JVM."""
     items = suspects(spark, sf).select("record_id", "rule_id", "error_type", "severity")
-    found, _ = judge.parse_responses(judge.call_judge(items, stand_in_judge))
+    found, _ = judge.parse_responses(judge.call_judge(items, stand_in_judge()))
     return found.select("record_id", "rule_id", "is_error", "confidence", "error_type", "reasoning")
 
 

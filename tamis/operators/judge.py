@@ -1,8 +1,9 @@
 """Handing suspects to an outside judge in batches, and reading its answers.
 
 The judge is a Python function given by the user; it gets a list of at most ``batch_size``
-items and returns text (or ``(text, input_tokens, output_tokens)``). This is the one place
-where rows leave the JVM. Batches are cut inside each partition, so nothing is ordered or
+items and returns text (or ``(text, input_tokens, output_tokens)``). It must be importable on the
+executors, or be defined inside another function, when it is shipped by value. This is the one
+place where rows leave the JVM. Batches are cut inside each partition, so nothing is ordered or
 gathered for it.
 """
 
