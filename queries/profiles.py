@@ -52,10 +52,32 @@ def profile_lineitem(spark, sf):
                                    ["l_quantity", "l_discount", "l_returnflag", "l_partkey", "l_shipdate"])
 
 
-@query("profile_events_sketch")
+@query("profile_events_sketch", f"SELECT * EXCLUDE (unique_count, uniqueness_rate), true AS close FROM ({_profile_sql('events', [('event_id', 'n'), ('user_id', 'n'), ('event_type', 's'), ('value', 'n')])})")
 def profile_events(spark, sf):
-    """Distinct counts from sketches: one aggregate, nothing shuffled but one row per task."""
-    return profile.profile_columns(spread(table(spark, sf, "events")), approx=True)
+    """Distinct counts from sketches: one aggregate, nothing shuffled but one row per task.
+
+    Checked against exact counts, which may differ by a tenth at most.
+    """
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"))
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in events.columns]).select(F.inline(F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in events.columns])))
+    sketch = profile.profile_columns(events, approx=True)
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= F.col("exact") / 10
+    return (sketch.join(F.broadcast(exact), "column_name").withColumn("close", near)  # a row per column
+            .drop("unique_count", "uniqueness_rate", "exact"))
+
+
+@query("json_key_presence", """SELECT 'o_orderkey' AS column_name, count(*) AS total_count, 0 AS null_count, 0.0::double AS null_rate FROM orders
+UNION ALL SELECT 'status', count(*) FILTER (o_orderkey % 4 <> 0), count(*) FILTER (o_orderkey % 4 = 1),
+round(count(*) FILTER (o_orderkey % 4 = 1) / count(*) FILTER (o_orderkey % 4 <> 0), 6) FROM orders""")
+def json_key_presence(spark, sf):
+    """A quarter of the records lacks a key, a quarter has it as null."""
+    line = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN concat('{"o_orderkey":', o_orderkey, '}')
+      WHEN 1 THEN concat('{"o_orderkey":', o_orderkey, ',"status":null}')
+      ELSE concat('{"o_orderkey":', o_orderkey, ',"status":"', o_orderstatus, '"}') END""")
+    path = fresh_path(spark, "records")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return profile.key_presence(spark.read.option("singleVariantColumn", "v").json(path))
 
 
 def _top_sql(source, columns, n):

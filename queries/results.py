@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from tamis import flow
 from tamis.functions import clean_record_id
 from tamis.operators import correct, details, health, judge, lineage, order, reconcile
 from tamis.operators import suspects as sus
 from tamis.plans import DEFAULT_RULES, merge_rules
-from tamis.session import fresh_path
+from tamis.session import fresh_path, materialise
 from tamis.sinks import audit_rows, upsert, write_report
 
 from .base import (ACTION, AS_OF, CONFIDENCE, IS_ERROR, K, REFLECTED, approved_items, decisions, flat, judged, parcel,
@@ -91,7 +92,7 @@ def cache_write(spark, sf):
 # --- judging in batches -------------------------------------------------------------
 
 def numbered(spark, sf):
-    found = suspects(spark, sf).select("record_id", "rule_id", "error_type", "severity")
+    found = materialise(suspects(spark, sf).select("record_id", "rule_id", "error_type", "severity"), "suspects")
     return order.number_rows(found, KEYS, ranges=16)
 
 
@@ -104,12 +105,14 @@ def batch_payload(spark, sf):
     return judge.batch_payloads(numbered(spark, sf), 50)
 
 
-def stand_in_judge():
+def stand_in_judge(flip=None):
+    """A judge for the queries; with ``flip`` it takes the opposite view of every flip-th record."""
     def judge_items(items):  # local, so that it travels to the executors by value
         answers = []
         for i in items:
             k = int(i["record_id"])
-            answers.append({"record_id": i["record_id"], "rule_id": i["rule_id"], "is_error": k % 7 != 0,
+            answers.append({"record_id": i["record_id"], "rule_id": i["rule_id"],
+                            "is_error": (k % 7 != 0) != (flip is not None and k % flip == 0),
                             "confidence": "LOW" if k % 5 == 0 else "HIGH" if i["severity"] == "critical" else "MEDIUM",
                             "error_type": i["error_type"], "evidence": f"seen {i['rule_id']}"})
         # as a model would: prose around the array, tokens counted
@@ -441,7 +444,9 @@ count(*) FILTER (is_error AND confidence = 'HIGH') AS correction_proposals,
 (SELECT string_agg(error_type || '=' || n, ',' ORDER BY error_type) FROM (SELECT error_type, count(*) AS n FROM s GROUP BY 1))
   AS distribution, round((SELECT count(*) FROM s) / (SELECT count(*) FROM p), 6) AS filtering_ratio FROM r""", "r"))
 def dq_report(spark, sf):
-    report = health.report_summary(parcel(spark, sf), suspects(spark, sf), reconciled(spark, sf))
+    data = parcel(spark, sf)
+    found = flow.check(data, DEFAULT_RULES)
+    report = health.report_summary(data, found, reconcile.reconcile(judged(found), second_opinions(found)))
     path = write_report(report, fresh_path(spark, "report"))
     back = spark.read.schema(report.schema).json(path)
     pairs = F.transform(F.sort_array(F.map_entries("error_type_distribution")),
@@ -449,6 +454,22 @@ def dq_report(spark, sf):
     return back.withColumn("distribution", F.array_join(pairs, ",")).drop("error_type_distribution")
 
 
+@query("whole_run", sql(f"""SELECT (SELECT count(*) FROM s) AS total_suspects, count(*) FILTER (is_error) AS total_errors,
+count(*) FILTER (is_error AND confidence = 'HIGH') AS high_confidence_errors,
+count(*) FILTER (NOT reflection_match) AS mismatches FROM (SELECT *, CASE WHEN {K} % 13 = 0 THEN 'LOW' ELSE c END AS confidence,
+{K} % 13 <> 0 AS reflection_match FROM (SELECT *, confidence AS c FROM j) AS x (record_id, rule_id, error_type, is_error, c0,
+reasoning, fix_column, fix_value, severity, c))""", "j"))
+def whole_run(spark, sf):
+    """Check, two opinions, report: the suspects are found once."""
+    data = parcel(spark, sf)
+    found = flow.check(data, DEFAULT_RULES)
+    out = flow.judge(found, stand_in_judge(), AS_OF, reflect=stand_in_judge(flip=13))
+    summary = flow.report(data, found, out.judgments)
+    differ = out.judgments.agg(F.count_if(~F.col("reflection_match")).alias("mismatches"), F.lit(1).alias("one"))
+    return summary.withColumn("one", F.lit(1)).join(differ, "one").select(  # one row each
+        "total_suspects", "total_errors", "high_confidence_errors", "mismatches")
+
+
 @query("approval_queue", sql("SELECT record_id, rule_id, confidence FROM q", "q"))
 def approval_queue(spark, sf):
     return health.approval_queue(reconciled(spark, sf)).select("record_id", "rule_id", "confidence")

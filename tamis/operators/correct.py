@@ -76,30 +76,26 @@ def _typed(text: Column, dtype: T.DataType) -> Column:
     return text.try_cast(dtype)
 
 
-def _cells_by_record(cells: DataFrame, columns) -> DataFrame:
-    """One row per record, one struct per corrected column (NULL where nothing is proposed).
-
-    When several rules propose a value for the same cell the highest rule id wins; ``max_by``
-    combines map-side.
-    """
-    def pick(name):
-        here = F.col("column_name") == name
-        return F.max_by(F.when(here, F.struct("value")), F.when(here, F.col("rule_id"))).alias(f"_fix_{name}")
-
-    return (cells.filter(F.col("column_name").isin(list(columns)))
-            .groupBy("record_id").agg(*[pick(c) for c in columns]))
+def _winners(cells: DataFrame) -> DataFrame:
+    """One row per cell: when several rules propose a value the highest rule id wins."""
+    rest = [c for c in cells.columns if c not in ("record_id", "column_name")]
+    return cells.groupBy("record_id", "column_name").agg(F.max_by(F.struct(*rest), "rule_id").alias("c"))
 
 
 def apply_corrections(df: DataFrame, cells: DataFrame, key: str = "record_id") -> DataFrame:
     """The table with approved cells replaced; a value that does not fit the column is left out."""
     columns = [c for c in df.columns if c != key]
     table = Table(df.schema)
-    fixes = _cells_by_record(cells, columns).withColumnRenamed("record_id", "_rid")
+    # A map per record, with at most as many entries as the table has columns.
+    fixes = (_winners(cells.filter(F.col("column_name").isin(columns)))
+             .groupBy(F.col("record_id").alias("_rid"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("column_name", "c.value"))).alias("_fix")))
     joined = df.join(fixes, F.col(f"`{key}`").cast("string") == F.col("_rid"), "left")
 
     def cell(name):
-        fix, typed = F.col(f"`_fix_{name}`"), _typed(F.col(f"`_fix_{name}`.value"), table.dtype(name))
-        usable = fix.isNotNull() & (typed.isNotNull() | F.col(f"`_fix_{name}`.value").isNull())
+        proposed = F.try_element_at(F.col("_fix"), F.lit(name))
+        typed = _typed(proposed, table.dtype(name))
+        usable = F.map_contains_key(F.col("_fix"), F.lit(name)) & (typed.isNotNull() | proposed.isNull())
         return F.when(usable, typed).otherwise(F.col(f"`{name}`")).alias(name)
 
     return joined.select(F.col(f"`{key}`"), *[cell(c) for c in columns]).select(*df.columns)
@@ -109,14 +105,12 @@ def correction_log(df: DataFrame, cells: DataFrame, run_id: str, key: str = "rec
     """One audit row per corrected cell with the value the source really held."""
     table = Table(df.schema)
     columns = [c for c in df.columns if c != key]
-    winners = cells.groupBy("record_id", "column_name").agg(
-        F.max_by(F.struct(*[c for c in cells.columns if c not in ("record_id", "column_name")]), "rule_id").alias("c"))
     old = F.coalesce(*[F.when(F.col("column_name") == c, table.text(c)) for c in columns])
     fits = F.lit(False)
     for c in columns:
         typed = _typed(F.col("c.value"), table.dtype(c))
         fits = fits | ((F.col("column_name") == c) & (typed.isNotNull() | F.col("c.value").isNull()))
-    return (winners.withColumnRenamed("record_id", "_rid")
+    return (_winners(cells).withColumnRenamed("record_id", "_rid")
             .join(df, F.col(f"`{key}`").cast("string") == F.col("_rid"))
             .select(F.lit(run_id).alias("run_id"), F.col("_rid").alias("record_id"), "column_name",
                     old.alias("original_value"), F.col("c.value").alias("corrected_value"),

@@ -139,6 +139,18 @@ def profile_groups(df: DataFrame, group: str, columns) -> DataFrame:
     return _rates(_column_stats(df, list(columns), True, group), [group])
 
 
+def key_presence(records: DataFrame, column: str = "v") -> DataFrame:
+    """Per key of raw JSON records (a variant column): rows that have it, and those where it is null.
+
+    A DataFrame cannot tell a missing key from a null one, so this reads the records themselves.
+    """
+    cells = F.explode(F.try_variant_get(F.col(column), "$", "map<string,variant>")).alias("column_name", "cell")
+    return (records.select(cells).groupBy("column_name")
+            .agg(F.count("*").alias("total_count"),
+                 F.count_if(F.col("cell").isNull() | F.is_variant_null("cell")).alias("null_count"))
+            .withColumn("null_rate", F.round(F.col("null_count") / F.col("total_count"), 6)))
+
+
 def condition_counts(df: DataFrame, targets: list[dict]) -> DataFrame:
     """Rows matching each textual condition, all conditions in one pass."""
     from ..plans.conditions import condition_column
