@@ -189,10 +189,15 @@ def second_opinions(found: DataFrame) -> DataFrame:
             .select("record_id", "rule_id", F.expr(REFLECTED).alias("is_error")))
 
 
-def reconciled(spark: SparkSession, sf: str) -> DataFrame:
+def found_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Suspects written and read back, for queries that need them more than once."""
+    return materialise(suspects(spark, sf), "suspects")
+
+
+def reconciled(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
     from tamis.operators.reconcile import reconcile
 
-    found = suspects(spark, sf)
+    found = found_once(spark, sf) if found is None else found
     return reconcile(judged(found), second_opinions(found))
 
 

@@ -7,14 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from tamis import flow
-from tamis.functions import clean_record_id
+from tamis.functions import clean_record_id, pattern_key
 from tamis.operators import correct, details, health, judge, lineage, order, reconcile
 from tamis.operators import suspects as sus
 from tamis.plans import DEFAULT_RULES, merge_rules
 from tamis.session import fresh_path, materialise
 from tamis.sinks import audit_rows, upsert, write_report
 
-from .base import (ACTION, AS_OF, CONFIDENCE, IS_ERROR, K, REFLECTED, approved_items, decisions, flat, judged, parcel,
+from .base import (ACTION, AS_OF, CONFIDENCE, IS_ERROR, K, REFLECTED, approved_items, decisions, flat, found_once, judged, parcel,
                    query, reconciled, second_opinions, sql, suspects, table)
 
 KEYS = ["record_id", "rule_id"]
@@ -23,14 +23,11 @@ OLD, LATER = "2024-01-01 00:00:00", "2030-01-01 00:00:00"
 
 # --- judgment cache ---------------------------------------------------------------
 
-def cache(spark, sf):
+def cache(found):
     """Verdicts stored for every pattern but the address rule; those of temporal rules have expired."""
     verdict = F.to_json(F.struct(F.lit(True).alias("is_error"), "error_type", F.lit("HIGH").alias("confidence"),
                                  F.concat(F.lit("cached "), "rule_id").alias("reasoning")))
-    from tamis.functions import pattern_key
-
-    found = suspects(spark, sf).filter("rule_id NOT LIKE 'R004-address%'")
-    return (found.groupBy(pattern_key().alias("pattern_key"), "error_type", "rule_id").agg(F.count("*").alias("n"))
+    return (found.filter("rule_id NOT LIKE 'R004-address%'").groupBy(pattern_key().alias("pattern_key"), "error_type", "rule_id").agg(F.count("*").alias("n"))
             .select("pattern_key", verdict.alias("judgment"), F.lit("HIGH").alias("confidence"),
                     F.lit(OLD).cast("timestamp").alias("cached_at"),
                     F.when(F.col("error_type") == "temporal_violation", F.lit(OLD)).otherwise(F.lit(LATER))
@@ -43,7 +40,8 @@ CACHED = "rule_id NOT LIKE 'R004-address%' AND error_type <> 'temporal_violation
 def lookup(spark, sf):
     data = parcel(spark, sf)
     keys = reconcile.rule_pattern_keys(DEFAULT_RULES, data.schema)
-    return reconcile.cache_lookup(suspects(spark, sf), cache(spark, sf), AS_OF, keys)
+    found = found_once(spark, sf)
+    return reconcile.cache_lookup(found, cache(found), AS_OF, keys)
 
 
 @query("cache_hits", sql("SELECT record_id, rule_id, error_type || ':' || rule_id || ':' || target_columns AS pattern_key "
@@ -82,7 +80,8 @@ WHERE r.confidence = 'HIGH' GROUP BY 1""".replace(
     "max((s.record_id, s.rule_id)).record_id AS from_record, ", ""), "r"))
 def cache_write(spark, sf):
     """HIGH verdicts only, one per pattern, expiring 30 days after they were written."""
-    new = reconcile.cache_entries(reconciled(spark, sf), suspects(spark, sf), AS_OF)
+    found = found_once(spark, sf)
+    new = reconcile.cache_entries(reconciled(spark, sf, found), found, AS_OF)
     path = fresh_path(spark, "cache")
     new.write.parquet(path)
     return spark.read.parquet(path).select("pattern_key", "confidence", F.col("expires_at").cast("timestamp_ntz")
@@ -349,8 +348,9 @@ def record_rollup(spark, sf):
 
 def detail(spark, sf):
     """Suspects of nine records in ten next to judgments of five in six: every kind of source."""
-    found = suspects(spark, sf).filter(f"{K} % 10 <> 0")
-    return details.record_detail(found, reconciled(spark, sf).filter(f"{K} % 6 <> 0")).select(
+    found = found_once(spark, sf)
+    verdicts = reconciled(spark, sf, found).filter(f"{K} % 6 <> 0")
+    return details.record_detail(found.filter(f"{K} % 10 <> 0"), verdicts).select(
         "record_id", "violation_count", "error_types", "rule_ids", "source", "has_error", "confidence")
 
 
@@ -397,7 +397,8 @@ def clean_ids(spark, sf):
 @query("proposals", sql("""SELECT r.record_id, r.rule_id, r.confidence, fix_column, fix_value, s.current_values FROM r JOIN s
 ON r.record_id = s.record_id AND r.rule_id = s.rule_id WHERE is_error AND fix_column IS NOT NULL""", "r"))
 def proposals(spark, sf):
-    found = details.proposals(reconciled(spark, sf), suspects(spark, sf))
+    found = found_once(spark, sf)
+    found = details.proposals(reconciled(spark, sf, found), found)
     pair = F.map_entries("suggested_correction")[0]
     return flat(found.withColumn("target_columns", F.array())).select(
         "record_id", "rule_id", "confidence", pair["key"].alias("fix_column"), pair["value"].alias("fix_value"), "current_values")
