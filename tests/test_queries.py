@@ -14,8 +14,7 @@ def con(sf):
 
 
 def test_registry():
-    assert set(ORACLE) <= set(entry.queries())
-    assert set(entry.queries()) - set(ORACLE) == {"profile_events_sketch"}
+    assert set(ORACLE) == set(entry.queries())
 
 
 def test_entry(spark):
