@@ -244,3 +244,26 @@ def test_checks_are_evaluated_once(spark, sf):
     rule = Rule("T", "temporal_violation", ("o_orderpriority", "o_orderstatus"), "timestamp_compare")
     text = plan(sus.find_first_suspects(spark.read.parquet(f"{sf}/orders.parquet"), [rule], "o_orderkey"))
     assert text.count("gettimestamp") == 8  # four formats for each of two columns
+
+
+def test_more_checks_than_bits_in_a_word(spark):
+    """One rule over 130 columns between rules over a few: masks span words, one suspect per rule."""
+    n, rng = 130, random.Random(9)
+    data = [[rng.choice([0] * 30 + [9]) for _ in range(n)] for _ in range(40)] + [[0] * n, [9] * n]
+    df = spark.createDataFrame([(str(i), *row) for i, row in enumerate(data)],
+                               "record_id string, " + ", ".join(f"c{i} int" for i in range(n)))
+
+    def rule(name, columns):
+        return Rule(name, "out_of_range", tuple(f"c{i}" for i in columns), "range_check", {"max_value": 5})
+
+    spans = {"a": range(0, 7), "wide": range(n), "b": range(50, 120), **{f"r{i}": [i] for i in range(0, n, 3)}}
+    rules = [rule(name, columns) for name, columns in spans.items()]
+    want_all, want_first = [], []
+    for i, row in enumerate(data):
+        for name, columns in spans.items():
+            bad = [f"c{c}" for c in columns if row[c] > 5]
+            want_all += [(str(i), name, [c]) for c in bad]
+            want_first += [(str(i), name, [c]) for c in bad[:1]]
+    key = ("record_id", "rule_id", "target_columns")
+    assert rows(sus.find_suspects(df, rules), *key) == sorted(want_all, key=repr)
+    assert rows(sus.find_first_suspects(df, rules), *key) == sorted(want_first, key=repr)
