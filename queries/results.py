@@ -466,8 +466,8 @@ def whole_run(spark, sf):
     found = flow.check(data, DEFAULT_RULES)
     out = flow.judge(found, stand_in_judge(), AS_OF, reflect=stand_in_judge(flip=13))
     summary = flow.report(data, found, out.judgments)
-    differ = out.judgments.agg(F.count_if(~F.col("reflection_match")).alias("mismatches"), F.lit(1).alias("one"))
-    return summary.withColumn("one", F.lit(1)).join(differ, "one").select(  # one row each
+    differ = out.judgments.agg(F.count_if(~F.col("reflection_match")).alias("mismatches"))
+    return health.side_by_side(summary, differ).select(
         "total_suspects", "total_errors", "high_confidence_errors", "mismatches")
 
 

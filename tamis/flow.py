@@ -79,10 +79,8 @@ def judge(suspects: DataFrame, ask: Callable, as_of, cache: DataFrame | None = N
 
 def report(df: DataFrame, suspects: DataFrame, judgments: DataFrame) -> DataFrame:
     """Counts of the run and the health of the table, one row."""
-    one = F.lit(1).alias("_one")
-    summary = health.report_summary(df, suspects, judgments).withColumn("_one", one)
-    score = health.health_score(judgments, df).select("health_score", "status", one)
-    return summary.join(score, "_one").drop("_one")
+    score = health.health_score(judgments, df).select("health_score", "status")
+    return health.side_by_side(health.report_summary(df, suspects, judgments), score)
 
 
 @dataclass

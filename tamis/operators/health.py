@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames as one row. A union and an aggregate over so many rows, no join."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
+
+
 def health_score(judgments: DataFrame, scanned: int | DataFrame, count_non_errors: bool = False) -> DataFrame:
     """1 - (HIGH + half of MEDIUM and LOW) / rows scanned, clamped to [0, 1].
 
@@ -20,9 +28,7 @@ def health_score(judgments: DataFrame, scanned: int | DataFrame, count_non_error
     weighted = F.col("critical_violation_count") * 1.0 + F.col("warning_violation_count") * 0.5
     score = F.when(F.col("total_scanned") > 0, F.greatest(F.lit(0.0), F.least(
         F.lit(1.0), 1.0 - weighted / F.col("total_scanned")))).otherwise(1.0)
-    one = F.lit(1).alias("_one")
-    return (counts.withColumn("_one", one).join(total.withColumn("_one", one), "_one").drop("_one")  # 1 row x 1 row
-            .withColumn("score", score)
+    return (side_by_side(counts, total).withColumn("score", score)
             .withColumn("status", F.when(F.col("score") >= 0.8, "healthy").when(F.col("score") >= 0.5, "warning")
                         .otherwise("critical"))
             .withColumn("health_score", F.round("score", 4)).drop("score"))
@@ -30,16 +36,15 @@ def health_score(judgments: DataFrame, scanned: int | DataFrame, count_non_error
 
 def report_summary(scanned: DataFrame, suspects: DataFrame, judgments: DataFrame) -> DataFrame:
     """One row: rows scanned, suspects, errors, proposals, share of rows that needed judging, types."""
-    one = F.lit(1).alias("_one")
-    rows = scanned.agg(F.count("*").alias("total_scanned"), one)
+    rows = scanned.agg(F.count("*").alias("total_scanned"))
     types = suspects.groupBy("error_type").agg(F.count("*").alias("n"))  # four rows at most
     found = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_suspects"),
                       F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_type", "n"))))
-                      .alias("error_type_distribution"), one)
+                      .alias("error_type_distribution"))
     high = F.count_if(F.col("is_error") & (F.col("confidence") == "HIGH"))
     judged = judgments.agg(F.count_if("is_error").alias("total_errors"), high.alias("high_confidence_errors"),
-                           high.alias("correction_proposals"), one)
-    return (rows.join(found, "_one").join(judged, "_one").drop("_one")
+                           high.alias("correction_proposals"))
+    return (side_by_side(rows, found, judged)
             .withColumn("filtering_ratio", F.when(F.col("total_scanned") > 0, F.round(
                 F.col("total_suspects") / F.col("total_scanned"), 6)).otherwise(0.0)))
 
