@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .near_dup import near_duplicates
 from .packing import pack
 from .quality import THRESHOLD, fit_quality, score_quality
 from .substring import repeated_windows
@@ -68,6 +69,23 @@ def toxicity(spark, sf_dir):
                                               (score >= 0.7).cast("int").alias("predicted"), "toxicity.sentences")
 
 
+@query("op4_superminhash", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(words[i:i + 1], ' ') FOR i IN range(1, greatest(len(words) - 1, 1) + 1)]) AS g
+      FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def superminhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
 @query("op5_packing")
 def packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 1).drop("ids")

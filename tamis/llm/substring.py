@@ -26,7 +26,7 @@ from .common import U64, chain, find_words, in_batches, mix, sorted_docs, spans_
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 IS_COVER = np.isin(np.arange(PERIOD), COVER)
-BUCKET_BYTES = 32 << 20  # of text per bucket: its hashes are a few MB
+BUCKET_BYTES = 16 << 20  # of text per bucket: its hashes are a few MB
 BLOB = "batch long, bucket long, blob binary"
 NO_ID = np.iinfo(np.int64).min
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])
