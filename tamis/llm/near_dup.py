@@ -5,11 +5,13 @@ j + r, and a place keeps its least value. The places of a document are thus fill
 a full signature, a document stops after a few steps (all of a document's shingles take a step at once, in numpy).
 
 Documents of the same set are one class from the start. The signatures of the classes are cut into 40 bands of 5, which misses a pair
-of similarity 0.8 with a chance of 1.3e-7. In every bucket all classes are first compared with the least one; then, round by
-round, only buckets whose members still belong to different groups go on, with up to 32 further classes, of the
-smallest groups first, compared with all members of other groups. A class that has been compared leaves the bucket. So no bucket
-is ever expanded into its pairs, and yet no pair of different groups that share a bucket goes untested. Groups are found by
-alternating large-star and small-star steps on tables in the shared folder.
+of similarity 0.8 with a chance of 1.3e-7. In every bucket all classes are first compared with the least one. Buckets whose
+members still belong to different groups go on: first some members of the bucket's largest group are compared with the
+members outside it; then, round by round, up to 256 members outside the largest group are compared with all members of other
+groups and leave the bucket. So no bucket is ever expanded into its pairs, and yet no pair of different groups that
+share a bucket goes untested. In these rounds a pair is compared by its signatures first and goes to the full sets only if they
+agree in 0.68 of the places or more (4.5 standard deviations below 0.8). Groups are found by alternating large-star
+and small-star steps on tables in the shared folder.
 
 Defined results: texts without words, null and empty ones, have no shingles and are linked with nothing; rows of the same
 doc_id are one document of the group; a null doc_id is linked with nothing, has no component and is kept; an empty table gives an
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import U64, chain, find_words, materialise, mix, partitions, slices
 
 BANDS, ROWS = 40, 5
-LEADERS = 32  # of a bucket and round
-SALT = 256  # members of a leader that one task compares
+DRAWN, LEADERS = 32, 256  # of a bucket and round
+SALT, BUCKET_SALT = 256, 4096  # members that one task compares with a leader, with a bucket's leaders
+LIKELY = 0.68  # of the places, to compare full sets
 CHUNK = 1 << 17  # shingles that are ranked at once
 LOW = U64((1 << 48) - 1)
 
@@ -104,18 +107,20 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
             for batch in slices(whole, size=1 << 20):
                 h, first = shingle_sets(batch["text"], k)
                 bands = np.zeros((batch.num_rows, BANDS), U64)
+                low = np.zeros((batch.num_rows, BANDS * ROWS), np.uint8)  # a byte per place, to compare pairs by
                 i = 0
                 while i < batch.num_rows:  # some 100,000 shingles at a time
                     j = max(i + 1, int(np.searchsorted(first, first[i] + CHUNK, side="right")) - 1)
                     j = min(j, batch.num_rows)
-                    bands[i:j] = bands_of(super_minhash(h[first[i]:first[j]], first[i:j + 1] - first[i], BANDS * ROWS))
+                    signature = super_minhash(h[first[i]:first[j]], first[i:j + 1] - first[i], BANDS * ROWS)
+                    bands[i:j], low[i:j] = bands_of(signature), mix(signature).astype(np.uint8)
                     i = j
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch["doc_id"], "n_shingles": pa.array(np.diff(first)),
                     "set_a": pa.array(_sums(mix(h + U64(11)), first).view(np.int64)), "set_b": pa.array(_sums(mix(h + U64(12)), first).view(np.int64)),
-                    "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))})
+                    "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), "places": pa.array([x.tobytes() for x in low], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, places binary")
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -166,31 +171,73 @@ def _similar(x, y, percent):
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node that each node of the edges (a, b) reaches, by large-star and small-star."""
+def _likely(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a member and a leader of the same bucket and of different groups that their signatures and sizes allow.
+    A task holds the leaders of a bucket and streams its members; a large bucket's members are dealt out."""
+    spark = members.sparkSession
+    columns = ["rep", "n", "component", "places"]
+    salts = members.groupBy("bucket").agg((F.floor(F.count("*") / BUCKET_SALT) + 1).alias("salts"))
+    rows = (members.join(salts, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), "salts").alias("salt"), F.lit(1).alias("kind"), *columns)
+            .unionByName(leaders.join(salts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                                                              F.lit(0).alias("kind"), *columns)))
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            key = np.stack([batch["bucket"].to_numpy(), batch["salt"].to_numpy()], axis=1)
+            kind, rep, n, group = (batch[c].to_numpy() for c in ("kind", "rep", "n", "component"))
+            places = np.frombuffer(b"".join(batch["places"].to_pylist()), np.uint8).reshape(len(rep), -1)
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (kind[1:] != kind[:-1])])) if len(rep) else []
+            out_a, out_b = [], []
+            for i, j in zip(cut, [*cut[1:], len(rep)]):
+                if (own := tuple(key[i])) != now:
+                    now, held = own, []
+                if kind[i] == 0:
+                    held.append((rep[i:j], n[i:j], group[i:j], places[i:j]))
+                    continue
+                for lead_rep, lead_n, lead_group, lead_places in held:
+                    for k in range(i, j, 256):
+                        e = min(k + 256, j)
+                        ok = (group[k:e, None] != lead_group) & (100 * np.minimum(n[k:e, None], lead_n) >= percent * np.maximum(n[k:e, None], lead_n))
+                        x, y = np.nonzero(ok)
+                        same = (places[k + x] == lead_places[y]).mean(axis=1) >= LIKELY if len(x) else np.zeros(0, bool)
+                        out_a.append(rep[k + x[same]]), out_b.append(lead_rep[y[same]])
+            a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+    return (rows.repartition(partitions(spark), "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+            .mapInArrow(run, "a long, b long").distinct())
 
-    def state(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    both = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): the least node that each node of the edges (a, b) reaches, by large-star and small-star steps
+    until every node points at one node that points at none."""
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = state(now)
+    both = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     for _ in range(max_rounds):
+        # a node that points at two others, or is pointed at and points itself, is not settled
+        pointing = now.groupBy("u").agg(F.count("*").alias("n")).unionByName(now.select(F.col("v").alias("u"), F.lit(1).alias("n")).distinct())
+        if pointing.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").join(now.select("u").distinct(), "u", "left_semi").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         around = now.select(F.explode(both).alias("e")).select("e.u", "e.v")
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = materialise(large, "large-star")
+        large = materialise(around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         now = materialise(small.filter("u > v").distinct(), "small-star")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (node, component) after further links: only the links between groups are worked on."""
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b"))
+    moved = components(between)
+    old = groups.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialise(old.select("node", F.coalesce("to", "component").alias("component"))
+                       .unionByName(moved.join(groups.select("node"), "node", "left_anti")).distinct(), "groups")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,41 +246,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = materialise(_sketches(own, shingle), "sketches")
     classes = materialise(sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_a", "set_b")
-                          .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+                          .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+                               F.first("places").alias("places")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     least = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
     members = materialise(banded.join(least, "bucket").select("bucket", "rep", "leader"), "members")
-    # the full sets of all classes that share a bucket with another one
+    # the full sets and signatures of all classes that share a bucket with another one
     reps = members.select("rep").distinct()
     texts = own.join(reps, own["doc_id"] == reps["rep"], "left_semi")
     chosen = classes.join(reps, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_a", "set_b")
     sets = materialise(_full_sets(texts, shingle).join(chosen, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
                        .select(F.col("doc_id").alias("rep"), "shingles"), "sets")
     # a document that is the least of two classes, by rows of the same id, stands for both
+    signatures = materialise(classes.join(reps, "rep", "left_semi").select("rep", "n", "places"), "signatures")
     pairs = members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialise(_links(pairs, sets, percent), "links")
-    groups = materialise(components(links), "groups")
-    open_members = members.select("bucket", "rep").filter("rep <> leader")
+    groups = materialise(components(materialise(_links(pairs, sets, percent), "links")), "groups")
+    open_members, draw = members.select("bucket", "rep").filter("rep <> leader"), True
     while True:
         labelled = (open_members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                     .select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
-        unsettled = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        left = materialise(labelled.join(unsettled, "bucket"), "open")
+        sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        largest = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+                   .select("bucket", F.col("top.component").alias("largest")))
+        left = materialise(labelled.join(largest, "bucket"), "open")
         if left.isEmpty():
             break
-        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "rep"))
-        leaders = (left.join(sizes, ["bucket", "component"]).withColumn("place", order).filter(F.col("place") <= LEADERS)
-                   .select("bucket", F.col("rep").alias("b"), F.col("component").alias("of")))
-        leaders = materialise(leaders, "leaders")
-        pairs = (left.join(leaders, "bucket").filter("component <> of")
-                 .select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct())
-        fresh = materialise(_links(pairs, sets, percent), "links")
+        inside = F.col("component") == F.col("largest")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
+        leaders = left.filter(inside if draw else ~inside).withColumn("turn", turn).filter(F.col("turn") <= (DRAWN if draw else LEADERS))
+        leaders = materialise(leaders.drop("turn"), "leaders")
+        likely = _likely((left.filter(~inside) if draw else left).join(signatures, "rep"), leaders.join(signatures, "rep"), percent)
+        fresh = materialise(_links(materialise(likely, "likely"), sets, percent), "links")
         if not fresh.isEmpty():
-            links = materialise(links.union(fresh).distinct(), "links")
-            groups = materialise(components(links), "groups")
-        open_members = materialise(left.join(leaders, (left["bucket"] == leaders["bucket"]) & (left["rep"] == leaders["b"]), "left_anti")
-                                   .select("bucket", "rep"), "open")
+            groups = _joined(groups, fresh)
+        if not draw:  # these have met all others of their bucket
+            open_members = materialise(left.join(leaders, ["bucket", "rep"], "left_anti").select("bucket", "rep"), "open")
+        draw = False
     of_set = (classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set")))
     return (sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
