@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .near_dup import near_duplicates
 from .packing import pack
+from .pii import BASE, find_pii, fit_pii
 from .quality import THRESHOLD, fit_quality, score_quality
 from .substring import repeated_windows
 from .tables import ORACLE, QUERIES, query, table  # noqa: F401
@@ -75,8 +76,8 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, unnest([array_to_string(words[i:i + 1], ' ') FOR i IN range(1, greatest(len(words) - 1, 1) + 1)]) AS g
       FROM w WHERE len(words) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 80 * (na.n + nb.n - n_both)),
 r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a),
 c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
@@ -91,6 +92,21 @@ def packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 1).drop("ids")
 
 
+@query("op6_pii")
+def pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_pii(docs)).drop("text")
+    base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(of, BASE), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"))
+
+
 @query("op7_decontamination", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
