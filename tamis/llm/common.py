@@ -192,12 +192,13 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def in_batches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(batch, doc_id, text), dealt by batch. A document's batch depends on its id and text alone, so that a
+def in_batches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES,
+               **more) -> DataFrame:
+    """(batch, doc_id, text) and ``more`` columns, dealt by batch. A document's batch depends on its id and text alone, so that a
     repeated task sees the same batches; one batch holds about ``batch_bytes`` at any size of the input."""
     n = max(1, -(-size // batch_bytes))
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"), "doc_id", "text")
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
+            .select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"), "doc_id", "text", *more)
             .repartition(partitions(docs.sparkSession), "batch"))
 
 

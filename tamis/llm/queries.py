@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .language_model import score_texts
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE, find_pii, fit_pii
@@ -136,6 +137,12 @@ def token_files(spark, sf_dir):
     return read_token_files(spark, path).drop("ids")
 
 
+@query("op9_pitman_yor")
+def pitman_yor(spark, sf_dir):
+    scored = score_texts(table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return scored.select("doc_id", F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op10_quality")
 def quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
