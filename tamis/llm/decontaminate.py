@@ -113,15 +113,16 @@ def _assemble(texts, words, kept, begin, length, items, with_text):
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", with_text: bool = True, max_entries: int = 1_000_000) -> DataFrame:
-    """The documents with a struct ``contamination``: n_words, n_hit (words inside an occurrence), items (ids with
-    an occurrence, sorted) and clean_text (the text without those words; null unless ``with_text``)."""
+                       item_text: str = "text", with_text: bool = True, max_entries: int = 1_000_000, name: str = "contamination") -> DataFrame:
+    """The documents with a struct ``name``: n_words, n_hit (words inside an occurrence), items (ids with
+    an occurrence, sorted) and clean_text (the text without those words; null unless ``with_text``). A column of
+    that name is replaced."""
     entries = benchmark_windows(items, window, item_id, item_text)
-    added = "contamination"
+    added = name
     schema = T.StructType([f for f in docs.schema if f.name != added] + [T.StructField(added, T.StructType(FIELDS))])
     docs = docs.drop(added)
     if entries.count() > max_entries:
-        return _by_join(docs, entries, text, with_text, schema)
+        return _by_join(docs, entries, text, with_text, schema, added)
     sets: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
     for r in entries.collect():
         sets[r["length"]][r["hash"]][bytes(r["words"])].add(r["item_id"])
@@ -150,7 +151,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text
     return docs.mapInArrow(run, schema)
 
 
-def _by_join(docs, entries, text, with_text, schema):
+def _by_join(docs, entries, text, with_text, schema, added):
     """The same for a benchmark too large to broadcast: windows meet entries by a shuffled join."""
     lengths = {r[0] for r in entries.select("length").distinct().collect()}  # at most ``window`` values
     keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
@@ -187,7 +188,7 @@ def _by_join(docs, entries, text, with_text, schema):
                 out = _assemble(batch[text], words, kept, begin, length, items_of, with_text)
                 names = [n for n in batch.schema.names if n not in ("__row", "__hits")]
                 yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.StructArray.from_arrays(out, [f.name for f in FIELDS])],
-                                                 [*names, "contamination"])
+                                                 [*names, added])
 
     return joined.mapInArrow(run, schema)
 
@@ -195,7 +196,7 @@ def _by_join(docs, entries, text, with_text, schema):
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", max_share: float = 0.5, **options) -> DataFrame:
     """The documents without benchmark passages: hit words are cut out of the text, and a document goes as a whole
     when more than ``max_share`` of its words are hit. Clean documents stay as they are."""
-    found = find_contamination(docs, items, window, text, with_text=True, **options)
-    c = F.col("contamination")
+    found = find_contamination(docs, items, window, text, with_text=True, name="__contamination", **options)
+    c = F.col("__contamination")
     return (found.filter((c["n_hit"] == 0) | (c["n_hit"] <= max_share * c["n_words"]))
             .withColumn(text, c["clean_text"]).select(*docs.columns))

@@ -134,12 +134,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     return ToxicityModel(features, x[:n], float(x[n]), float(np.log1p(np.exp(x[n + 1]))))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", offending: float = 0.5) -> DataFrame:
-    """The documents with a struct ``toxicity``: score, and sentences (start, end, score; code points, end exclusive)
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", offending: float = 0.5, name: str = "toxicity") -> DataFrame:
+    """The documents with a struct ``name``, in place of any such column: score, and sentences (start, end, score; code points, end exclusive)
     that offend with a chance of ``offending`` or more."""
-    added = "toxicity"
-    docs = docs.drop(added)
-    schema = T.StructType([*docs.schema, T.StructField(added, T.StructType(FIELDS))])
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema, T.StructField(name, T.StructType(FIELDS))])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features numbers
 
     def run(batches):
@@ -167,7 +166,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", of
                         chars = np.cumsum((own[:end] & 0xC0) != 0x80)
                         places[d].append({"start": int(chars[begin - 1]) if begin else 0, "end": int(chars[end - 1]), "score": float(sigmoid(z[k]))})
                 fields = [pa.array(np.clip(score, 0.0, 1.0)), pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, ["score", "sentences"])], [*batch.schema.names, added])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, ["score", "sentences"])], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
