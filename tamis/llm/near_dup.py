@@ -6,12 +6,13 @@ a full signature, a document stops after a few steps (all of a document's shingl
 
 Documents of the same set are one class from the start. The signatures of the classes are cut into 40 bands of 5, which misses a pair
 of similarity 0.8 with a chance of 1.3e-7. In every bucket all classes are first compared with the least one. Buckets whose
-members still belong to different groups go on: first some members of the bucket's largest group are compared with the
-members outside it; then, round by round, up to 256 members outside the largest group are compared with all members of other
-groups and leave the bucket. So no bucket is ever expanded into its pairs, and yet no pair of different groups that
-share a bucket goes untested. In these rounds a pair is compared by its signatures first and goes to the full sets only if they
-agree in 0.68 of the places or more (4.5 standard deviations below 0.8). Groups are found by alternating large-star
-and small-star steps on tables in the shared folder.
+members still belong to different groups go on, those with the same largest group together: first some members of that group
+are compared with the members outside it; then, round by round, members outside it are compared with all members of other
+groups and leave. A task holds some of these leaders with their sets and streams the other members past them, so no bucket is ever
+expanded into its pairs, and yet no pair of different groups that share a bucket goes untested. In these rounds a pair is
+compared by size and signature first and by the full sets only if the signatures agree in 0.7 of the places or
+more (4 standard deviations below 0.8). Groups are found by alternating large-star and small-star steps on tables in
+the shared folder.
 
 Defined results: texts without words, null and empty ones, have no shingles and are linked with nothing; rows of the same
 doc_id are one document of the group; a null doc_id is linked with nothing, has no component and is kept; an empty table gives an
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import U64, chain, find_words, materialise, mix, partitions, slices
 
 BANDS, ROWS = 40, 5
-DRAWN, LEADERS = 32, 256  # of a bucket and round
-SALT, BUCKET_SALT = 256, 4096  # members that one task compares with a leader, with a bucket's leaders
-LIKELY = 0.68  # of the places, to compare full sets
+DRAWN, LEADERS = 32, 2048  # held at once for the buckets of a largest group
+SALT = 256  # members of a leader, or of those buckets, that one task compares
+LIKELY = 0.7  # of the places, to compare full sets
 CHUNK = 1 << 17  # shingles that are ranked at once
 LOW = U64((1 << 48) - 1)
 
@@ -171,42 +172,41 @@ def _similar(x, y, percent):
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _likely(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of a member and a leader of the same bucket and of different groups that their signatures and sizes allow.
-    A task holds the leaders of a bucket and streams its members; a large bucket's members are dealt out."""
+def _compared(members: DataFrame, leaders: DataFrame, store: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs (a, b) of a member and a leader with the same key and of different groups. A task holds the
+    leaders of a key and streams members past them; the members of a key are dealt out over as many tasks as they need."""
     spark = members.sparkSession
-    columns = ["rep", "n", "component", "places"]
-    salts = members.groupBy("bucket").agg((F.floor(F.count("*") / BUCKET_SALT) + 1).alias("salts"))
-    rows = (members.join(salts, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), "salts").alias("salt"), F.lit(1).alias("kind"), *columns)
-            .unionByName(leaders.join(salts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-                                                              F.lit(0).alias("kind"), *columns)))
+    columns = ["rep", "component", "n", "places", "shingles"]
+    salts = members.groupBy("key").agg((F.floor(F.count("*") / SALT) + 1).alias("salts"))
+    rows = (members.join(salts, "key").select("key", F.pmod(F.xxhash64("rep"), "salts").alias("salt"), F.lit(1).alias("kind"), "rep", "component")
+            .unionByName(leaders.join(salts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                                                           F.lit(0).alias("kind"), "rep", "component")))
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            key = np.stack([batch["bucket"].to_numpy(), batch["salt"].to_numpy()], axis=1)
-            kind, rep, n, group = (batch[c].to_numpy() for c in ("kind", "rep", "n", "component"))
+            key = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy()], axis=1)
+            kind, rep, group, n = (batch[c].to_numpy() for c in ("kind", "rep", "component", "n"))
             places = np.frombuffer(b"".join(batch["places"].to_pylist()), np.uint8).reshape(len(rep), -1)
+            sets = [np.frombuffer(x, "<u8") for x in batch["shingles"].to_pylist()]
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (kind[1:] != kind[:-1])])) if len(rep) else []
-            out_a, out_b = [], []
+            found = []
             for i, j in zip(cut, [*cut[1:], len(rep)]):
                 if (own := tuple(key[i])) != now:
                     now, held = own, []
                 if kind[i] == 0:
-                    held.append((rep[i:j], n[i:j], group[i:j], places[i:j]))
+                    held.append((rep[i:j], group[i:j], n[i:j], places[i:j], sets[i:j]))
                     continue
-                for lead_rep, lead_n, lead_group, lead_places in held:
-                    for k in range(i, j, 256):
-                        e = min(k + 256, j)
-                        ok = (group[k:e, None] != lead_group) & (100 * np.minimum(n[k:e, None], lead_n) >= percent * np.maximum(n[k:e, None], lead_n))
-                        x, y = np.nonzero(ok)
-                        same = (places[k + x] == lead_places[y]).mean(axis=1) >= LIKELY if len(x) else np.zeros(0, bool)
-                        out_a.append(rep[k + x[same]]), out_b.append(lead_rep[y[same]])
-            a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
-
-    return (rows.repartition(partitions(spark), "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
-            .mapInArrow(run, "a long, b long").distinct())
+                for lead_rep, lead_group, lead_n, lead_places, lead_sets in held:
+                    for k in range(i, j):
+                        y = np.flatnonzero((lead_group != group[k]) & (100 * np.minimum(n[k], lead_n) >= percent * np.maximum(n[k], lead_n)))
+                        for y in y[(lead_places[y] == places[k]).mean(axis=1) >= LIKELY].tolist():
+                            if _similar(sets[k], lead_sets[y], percent):
+                                found.append((int(rep[k]), int(lead_rep[y])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([max(x) for x in found], pa.int64()), "b": pa.array([min(x) for x in found], pa.int64())})
+
+    return (rows.join(store, "rep").select("key", "salt", "kind", *columns).repartition(partitions(spark), "key", "salt")
+            .sortWithinPartitions("key", "salt", "kind").mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -251,14 +251,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     least = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
     members = materialise(banded.join(least, "bucket").select("bucket", "rep", "leader"), "members")
-    # the full sets and signatures of all classes that share a bucket with another one
+    # the full sets and signatures of all classes that share a bucket with another one; a document that is the least of two classes,
+    # by rows of the same id, stands for both
     reps = members.select("rep").distinct()
     texts = own.join(reps, own["doc_id"] == reps["rep"], "left_semi")
-    chosen = classes.join(reps, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_a", "set_b")
-    sets = materialise(_full_sets(texts, shingle).join(chosen, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
-                       .select(F.col("doc_id").alias("rep"), "shingles"), "sets")
-    # a document that is the least of two classes, by rows of the same id, stands for both
-    signatures = materialise(classes.join(reps, "rep", "left_semi").select("rep", "n", "places"), "signatures")
+    chosen = classes.join(reps, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n", "places")
+    store = materialise(_full_sets(texts, shingle).join(chosen, ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a", "set_b"])
+                        .select(F.col("doc_id").alias("rep"), "n", "places", "shingles"), "sets")
+    sets = store.select("rep", "shingles")
     pairs = members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     groups = materialise(components(materialise(_links(pairs, sets, percent), "links")), "groups")
     open_members, draw = members.select("bucket", "rep").filter("rep <> leader"), True
@@ -268,19 +268,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
         sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         largest = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
                    .select("bucket", F.col("top.component").alias("largest")))
-        left = materialise(labelled.join(largest, "bucket"), "open")
+        left = materialise(labelled.join(largest, "bucket").withColumnRenamed("largest", "key"), "open")
         if left.isEmpty():
             break
-        inside = F.col("component") == F.col("largest")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
-        leaders = left.filter(inside if draw else ~inside).withColumn("turn", turn).filter(F.col("turn") <= (DRAWN if draw else LEADERS))
+        # the buckets of a largest group are one from here on
+        at_key = left.select("key", "rep", "component").distinct()
+        inside = F.col("component") == F.col("key")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
+        leaders = at_key.filter(inside if draw else ~inside).withColumn("turn", turn).filter(F.col("turn") <= (DRAWN if draw else LEADERS))
         leaders = materialise(leaders.drop("turn"), "leaders")
-        likely = _likely((left.filter(~inside) if draw else left).join(signatures, "rep"), leaders.join(signatures, "rep"), percent)
-        fresh = materialise(_links(materialise(likely, "likely"), sets, percent), "links")
+        fresh = materialise(_compared(at_key.filter(~inside) if draw else at_key, leaders, store, percent), "links")
         if not fresh.isEmpty():
             groups = _joined(groups, fresh)
-        if not draw:  # these have met all others of their bucket
-            open_members = materialise(left.join(leaders, ["bucket", "rep"], "left_anti").select("bucket", "rep"), "open")
+        if not draw:  # these have met all others of their buckets
+            open_members = materialise(left.join(leaders, ["key", "rep"], "left_anti").select("bucket", "rep"), "open")
         draw = False
     of_set = (classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set")))
