@@ -1,12 +1,12 @@
-"""A whole run over the hundred records."""
+"""A whole run over the seeded records."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from catalogue import SCHEMA, records
 from conftest import rows
+from parcels import NUMBER, SCHEMA, SOUND, TOTAL, records
 from tamis import flow
 from tamis.operators.reconcile import rule_pattern_keys
 from tamis.plans import DEFAULT_RULES
@@ -29,30 +29,31 @@ def asker(verdict):
 def test_whole_run(spark, parcels):
     found = flow.check(parcels, DEFAULT_RULES)
     first = asker(lambda i: {"is_error": True, "confidence": "HIGH"})
-    # the second opinion is shown the first, and differs on record 98
-    second = asker(lambda i: {"is_error": i["first_opinion"]["is_error"] and i["record_id"] != "98"})
+    # the second opinion is shown the first, and differs on one record
+    odd, heavy, status = (str(NUMBER[n]) for n in ("everything", "piano", "unheard status"))
+    second = asker(lambda i: {"is_error": i["first_opinion"]["is_error"] and i["record_id"] != odd})
     third = asker(lambda i: {"is_error": False, "confidence": "MEDIUM"})
     out = flow.judge(found, first, "2024-01-01", reflect=second, deep=third)
-    n, doubtful = found.count(), found.filter("record_id = '98'").count()
+    n, doubtful = found.count(), found.filter(F.col("record_id") == odd).count()
     assert out.judgments.count() == n and out.failures.count() == 0
     assert out.judgments.filter("confidence = 'HIGH' and is_error").count() == n - doubtful
-    assert rows(out.judgments.filter("record_id = '98'").select("is_error", "confidence", "reflection_note").distinct()) == [
+    assert rows(out.judgments.filter(F.col("record_id") == odd).select("is_error", "confidence", "reflection_note").distinct()) == [
         (False, "MEDIUM", "DEEP_ANALYSIS: e")]
     kinds = {r["analysis_type"] for r in out.calls.collect()}
     assert kinds == {"PRIMARY", "REFLECTION", "DEEP_ANALYSIS"}
 
     summary = flow.report(parcels, found, out.judgments).head()
-    assert (summary["total_scanned"], summary["total_suspects"], summary["total_errors"]) == (100, n, n - doubtful)
-    assert summary["health_score"] == round(1 - (n - doubtful) / 100, 4)
+    assert (summary["total_scanned"], summary["total_suspects"], summary["total_errors"]) == (TOTAL, n, n - doubtful)
+    assert summary["health_score"] == round(1 - (n - doubtful) / TOTAL, 4)
 
-    decisions = spark.createDataFrame([("55", "approved", "kim", "2024-01-02", None), ("52", "rejected", "kim", "2024-01-02", "fine")],
+    decisions = spark.createDataFrame([(heavy, "approved", "kim", "2024-01-02", None), (status, "rejected", "kim", "2024-01-02", "fine")],
                                       "record_id string, action string, reviewer string, decided_at string, reason string")
     done = flow.correct(parcels, out.judgments, decisions, "run-1", "2024-01-03")
-    assert rows(done.log, "record_id", "column_name", "original_value", "corrected_value") == [("55", "weight_kg", "55.0", "15")]
-    assert done.table.filter("weight_kg > 30").select("record_id").collect() == [("98",)] and done.table.count() == 100
-    assert rows(done.snapshot, "record_id", "weight_kg") == [("55", 55.0)] == rows(
+    assert rows(done.log, "record_id", "column_name", "original_value", "corrected_value") == [(heavy, "weight_kg", "212.5", "15")]
+    assert done.table.filter("weight_kg > 30").select("record_id").collect() == [(odd,)] and done.table.count() == TOTAL
+    assert rows(done.snapshot, "record_id", "weight_kg") == [(heavy, 212.5)] == rows(
         done.quarantine.select("record_id", F.get_json_object("original_data", "$.weight_kg").cast("double").alias("w")))
-    assert rows(done.feedback, "record_id", "rejection_reason") == [("52", "fine")]
+    assert rows(done.feedback, "record_id", "rejection_reason") == [(status, "fine")]
 
 
 def test_cached_patterns_are_not_asked_again(spark, parcels, tmp_path):
@@ -69,7 +70,7 @@ def test_cached_patterns_are_not_asked_again(spark, parcels, tmp_path):
 
 
 def test_clean_table_asks_nobody(spark, parcels):
-    found = flow.check(parcels.filter("cast(record_id as int) <= 50"), DEFAULT_RULES)
+    found = flow.check(parcels.filter(f"cast(record_id as int) <= {SOUND}"), DEFAULT_RULES)
 
     def never(items):
         raise RuntimeError("asked")

@@ -9,8 +9,8 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from catalogue import SCHEMA, records
 from conftest import rows
+from parcels import SCHEMA, TOTAL, records
 from tamis.operators import correct, details, health, judge, lineage, order, profile, reconcile, schema
 from tamis.operators import suspects as sus
 from tamis.plans import DEFAULT_RULES, merge_rules, rules_df
@@ -384,7 +384,7 @@ def test_health(spark):
 def test_report_without_suspects(spark, parcels):
     empty = sus.find_suspects(parcels, [])
     out = health.report_summary(parcels, empty, spark.createDataFrame([], J)).head()
-    assert (out["total_scanned"], out["total_suspects"], out["filtering_ratio"], out["error_type_distribution"]) == (100, 0, 0.0, {})
+    assert (out["total_scanned"], out["total_suspects"], out["filtering_ratio"], out["error_type_distribution"]) == (TOTAL, 0, 0.0, {})
 
 
 DEC = "record_id string, action string, reviewer string, decided_at timestamp, reason string"

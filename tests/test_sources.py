@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from catalogue import SCHEMA, records
+from parcels import SCHEMA, records
 from conftest import rows
 from tamis import sinks, sources, streaming
 from tamis.operators.suspects import find_first_suspects

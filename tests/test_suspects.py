@@ -7,8 +7,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from catalogue import EXPECTED, SCHEMA, records
 from conftest import rows
+from parcels import NUMBER, SCHEMA, TOTAL, expected, records
 from tamis.functions.cells import DEFAULT_TIME_FORMATS
 from tamis.operators import suspects as sus
 from tamis.plans import DEFAULT_RULES, DELIVERY_RULES, Rule, number_generated, parse_rules, rules_df, rules_from_df
@@ -30,39 +30,39 @@ def one_rule(spark, data, schema, kind, columns, params, tool="range_check"):
     return [int(r[0]) for r in rows(found, "record_id")]
 
 
-def test_catalogue(parcels):
-    found = sus.find_first_suspects(parcels, DEFAULT_RULES)
-    for kind, expected in EXPECTED.items():
-        assert ids(found, F.col("error_type") == kind) == expected, kind
+@pytest.mark.parametrize("kind", ["out_of_range", "format_inconsistency", "temporal_violation", "cross_column_inconsistency"])
+def test_seeds_are_found_and_nothing_else(parcels, kind):
+    assert ids(sus.find_first_suspects(parcels, DEFAULT_RULES), F.col("error_type") == kind) == expected(kind)
 
 
 def test_boundary_weights_do_not_violate(parcels):
     found = sus.find_first_suspects(parcels, DEFAULT_RULES)
-    assert not set(ids(found, "rule_id = 'R001-weight_kg_range'")) & {86, 87, 88, 100}
+    assert not set(ids(found, "rule_id = 'R001-weight_kg_range'")) & {NUMBER[n] for n in ("lightest allowed", "heaviest allowed", "no weight")}
 
 
 def test_two_columns_of_a_rule_give_one_suspect_the_first(parcels):
-    every = sus.find_suspects(parcels, DEFAULT_RULES).filter("record_id = '58'")
+    short = F.col("record_id") == str(NUMBER["hour and minute"])
+    every = sus.find_suspects(parcels, DEFAULT_RULES).filter(short)
     assert rows(every, "target_columns") == [(["arrival_time"],), (["dispatch_time"],)]
-    first = sus.find_first_suspects(parcels, DEFAULT_RULES).filter("record_id = '58'")
+    first = sus.find_first_suspects(parcels, DEFAULT_RULES).filter(short)
     assert rows(first, "target_columns") == [(["dispatch_time"],)]
 
 
 def test_suspect_fields(parcels):
     found = {(r["record_id"], r["rule_id"]): r for r in sus.find_first_suspects(parcels, DEFAULT_RULES).collect()}
-    weight = found["55", "R001-weight_kg_range"]
-    assert weight["current_values"] == {"weight_kg": "55.0"}
+    weight = found[str(NUMBER["piano"]), "R001-weight_kg_range"]
+    assert weight["current_values"] == {"weight_kg": "212.5"}
     assert weight["reason"] == "min:0.01, max:30.0" and weight["severity"] == "critical"
-    time = found["60", "R003-dispatch_before_arrival"]
-    assert time["current_values"] == {"dispatch_time": "20:00:00", "arrival_time": "08:00:00"}
+    time = found[str(NUMBER["late night"]), "R003-dispatch_before_arrival"]
+    assert time["current_values"] == {"dispatch_time": "22:10:05", "arrival_time": "06:45:00"}
     assert time["reason"] == "dispatch_time < arrival_time"
-    flag = found["96", "R004-address_road_yn_match"]
+    flag = found[str(NUMBER["street as lot"]), "R004-address_road_yn_match"]
     assert flag["reason"] == "Address is road type but road_addr_yn=0" and flag["severity"] == "warning"
 
 
 def test_unparsable_times_are_reported_apart(parcels):
     got = rows(sus.parse_failures(parcels, DEFAULT_RULES), "record_id", "column_name", "value")
-    assert got == [("58", "dispatch_time", "14:30")]
+    assert got == [(str(NUMBER["hour and minute"]), "dispatch_time", "09:40")]
 
 
 def test_missing_columns_are_skipped(spark):
@@ -143,7 +143,7 @@ def test_conditional_unlike_types(spark):
 def test_columns_that_should_differ(parcels):
     rule = Rule("A", "cross_column_inconsistency", ("sender_name", "receiver_name"), "custom_check",
                 {"check_type": "equality", "should_differ": True})
-    assert ids(sus.find_suspects(parcels, [rule]), "true") == [84, 99]
+    assert ids(sus.find_suspects(parcels, [rule]), "true") == [NUMBER["to oneself"]]
 
 
 def test_address_flag_with_missing_values(spark):
@@ -165,7 +165,7 @@ def test_repeated_ids_are_deduplicated(spark):
 def test_rates(parcels):
     got = {(r["rule_id"], r["columns"]): r for r in sus.rule_rates(parcels, DEFAULT_RULES).collect()}
     tracking = got["R002-tracking_id_format", "tracking_id"]
-    assert (tracking["violation_count"], tracking["total_checked"], tracking["alert"]) == (3, 99, False)
+    assert (tracking["violation_count"], tracking["total_checked"], tracking["alert"]) == (3, TOTAL - 1, False)
     assert got["R003-dispatch_before_arrival", "dispatch_time,arrival_time"]["total_checked"] == 99
 
 
@@ -178,8 +178,8 @@ def test_statistics(parcels):
 
 
 def test_search(parcels):
-    assert ids(sus.rows_matching(parcels, "한소연"), "true") == [99]
-    assert ids(sus.rows_matching(parcels, "abcd12"), "true") == [56]
+    assert ids(sus.rows_matching(parcels, "윤가람"), "true") == [NUMBER["to oneself"]]
+    assert ids(sus.rows_matching(parcels, "qx77"), "true") == [NUMBER["letters in number"]]
 
 
 # --- rule sets ----------------------------------------------------------------
