@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import DEFAULT_RULES
-from tamis.session import materialise, spread, tune
+from tamis.session import materialise, tune
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,8 +65,8 @@ FROM {orders}
 
 
 def parcel(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(PARCEL, orders=spread(table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")))
+    return spark.sql(PARCEL, orders=table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
 
 
 def suspects(spark: SparkSession, sf: str, carry=()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.operators import order, profile, schema
-from tamis.session import fresh_path, spread
+from tamis.session import fresh_path
 from tamis.sinks import write_profiles
 
 from .base import AS_OF, parcel, query, sql, table
@@ -35,7 +35,7 @@ def _profile_sql(source, columns):
 @query("profile_columns", _profile_sql("orders", [("o_orderkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"),
                                                   ("o_orderdate", "s"), ("o_orderpriority", "s")]))
 def profile_orders(spark, sf):
-    return profile.profile_columns(spread(table(spark, sf, "orders")), ORDER_COLUMNS)
+    return profile.profile_columns(table(spark, sf, "orders"), ORDER_COLUMNS)
 
 
 @query("profile_parcels", sql(_profile_sql("p", [("tracking_id", "m"), ("weight_kg", "n"), ("road_addr_yn", "n"),
@@ -48,7 +48,7 @@ def profile_parcels(spark, sf):
 @query("profile_lineitem", _profile_sql("lineitem", [("l_quantity", "n"), ("l_discount", "n"), ("l_returnflag", "s"),
                                                      ("l_partkey", "n"), ("l_shipdate", "s")]))
 def profile_lineitem(spark, sf):
-    return profile.profile_columns(spread(table(spark, sf, "lineitem")),
+    return profile.profile_columns(table(spark, sf, "lineitem"),
                                    ["l_quantity", "l_discount", "l_returnflag", "l_partkey", "l_shipdate"])
 
 
@@ -58,7 +58,7 @@ def profile_events(spark, sf):
 
     Checked against exact counts, which may differ by a tenth at most.
     """
-    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     exact = events.agg(*[F.count_distinct(c).alias(c) for c in events.columns]).select(F.inline(F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in events.columns])))
     sketch = profile.profile_columns(events, approx=True)

@@ -222,6 +222,29 @@ def change_feed_after(spark, sf):
     return sources.read_feed_after(spark, write_envelopes(spark, sf), image, "000000000500").select("event_id", "event_type")
 
 
+@query("change_feed_numbers", """SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 > 2
+UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <= 2 AND s_suppkey > 25""")
+def change_feed_numbers(spark, sf):
+    """After a sequence number, with numbers of different lengths, leading zeros and more digits than a bigint has."""
+    number = F.expr("CASE WHEN s_suppkey % 7 > 2 THEN concat('9', lpad(cast(s_suppkey AS string), 36, '0')) "
+                    "WHEN s_suppkey % 7 = 2 THEN concat('000', cast(s_suppkey AS string)) ELSE cast(s_suppkey AS string) END")
+    path = fresh_path(spark, "feed")
+    (table(spark, sf, "supplier").select(number.alias("sequence_number"), F.lit("INSERT").alias("event_name"), F.struct("s_suppkey").alias("new_image"))
+     .write.json(path))
+    return sources.read_feed_after(spark, path, T.StructType.fromDDL("s_suppkey bigint"), "25").select("s_suppkey")
+
+
+@query("change_feed_bad", "SELECT count(*) AS n FROM supplier WHERE s_suppkey % 4 = 0")
+def change_feed_bad(spark, sf):
+    """Cut envelopes are kept aside as text."""
+    envelope = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("sequence_number"), F.lit("INSERT").alias("event_name"),
+                                  F.struct("s_suppkey").alias("new_image")))
+    path = fresh_path(spark, "feed")
+    cut = F.when(F.col("s_suppkey") % 4 == 0, F.left(envelope, F.lit(20))).otherwise(envelope)
+    table(spark, sf, "supplier").select(cut.alias("value")).write.text(path)
+    return sources.bad_envelopes(spark, path, T.StructType.fromDDL("s_suppkey bigint")).agg(F.count("*").alias("n"))
+
+
 @query("stream_batches", f"SELECT rule_id, count(*) AS n FROM ({_EVENT_SUSPECTS}) GROUP BY rule_id")
 def stream_batches(spark, sf):
     """A batch job per micro-batch: validate, append."""

@@ -22,12 +22,11 @@ from .operators import correct as fixing
 from .operators import health, reconcile
 from .operators import judge as judging
 from .operators.suspects import find_first_suspects
-from .session import materialise, tune
+from .session import materialise
 
 
 def check(df: DataFrame, rules, key: str = "record_id", unique_key: bool = True, carry=()) -> DataFrame:
     """Suspects of a table, at most one per (record, rule)."""
-    tune(df.sparkSession)
     return materialise(find_first_suspects(df, rules, key, unique_key, carry), "suspects")
 
 
@@ -41,12 +40,15 @@ class Judged:
 
 def judge(suspects: DataFrame, ask: Callable, as_of, cache: DataFrame | None = None, pattern_keys=None,
           reflect: Callable | None = None, deep: Callable | None = None, batch_size: int = 50,
-          deep_batch_size: int = 20) -> Judged:
+          deep_batch_size: int = 20, parallel_calls: int | None = None) -> Judged:
     """Verdicts on suspects.
 
     Patterns with a live cache entry are not asked again. ``reflect`` gives the second opinion
-    and is shown the first; ``deep`` looks again at suspects on which the two differ.
+    and is shown the first; ``deep`` looks again at suspects on which the two differ. ``parallel_calls``
+    tasks call at the same time.
     """
+    if deep is not None and reflect is None:
+        raise ValueError("deep looks at what two opinions differ on: give reflect as well")
     hits, open_items = None, suspects
     if cache is not None:
         hits, misses = reconcile.cache_lookup(suspects, cache, as_of, pattern_keys)
@@ -54,7 +56,7 @@ def judge(suspects: DataFrame, ask: Callable, as_of, cache: DataFrame | None = N
     keys = reconcile.KEYS
 
     def opinion(items, function, kind, size):
-        calls = judging.call_judge(items, function, kind, size)
+        calls = judging.call_judge(items, function, kind, size, parallel_calls=parallel_calls)
         good, bad = judging.parse_responses(calls)
         return calls, reconcile.last_answer(good), bad
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F, types as T
 
 # The time formats tried, in this order, when a rule names none.
@@ -37,12 +39,43 @@ def is_numeric(dtype: T.DataType) -> bool:
 def java_pattern(pattern: str) -> str:
     """Check a Python pattern on the driver and respell it for the JVM.
 
-    Spark reports a bad pattern only once tasks run, so it is compiled here first.
+    Spark reports a bad pattern only once tasks run, so both engines compile it here first. In a class of the JVM a
+    bracket opens another class and && intersects; in Python both are plain characters.
     """
     re.compile(pattern)
     pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    return pattern.replace(r"\Z", r"\z")
+    pattern = _plain_classes(pattern.replace(r"\Z", r"\z"))
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(f"(?U){pattern}")
+        except Py4JJavaError as e:
+            raise ValueError(f"the JVM cannot read the pattern: {e.java_exception.getMessage()}") from None
+    return pattern
+
+
+def _plain_classes(pattern: str) -> str:
+    out, at, opened = [], 0, None  # opened: where the class's members begin
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            out.append(pattern[at:at + 2])
+            at += 2
+            continue
+        if opened is None:
+            if char == "[":
+                opened = at + (2 if pattern[at + 1:at + 2] == "^" else 1)
+                out.append(pattern[at:opened])
+                at = opened
+                continue
+        elif char == "]" and at > opened:
+            opened = None
+        elif char in "[]&":
+            char = "\\" + char
+        out.append(char)
+        at += 1
+    return "".join(out)
 
 
 def full_match(col: Column, pattern: str) -> Column:

@@ -40,13 +40,15 @@ def batch_payloads(numbered: DataFrame, batch_size: int = 50) -> DataFrame:
 
 
 def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY", batch_size: int = 50,
-               retries: int = 2, keep: bool = True) -> DataFrame:
+               retries: int = 2, keep: bool = True, parallel_calls: int | None = None) -> DataFrame:
     """One row per call: the items, the response text, tokens used, or the error.
 
-    The result is written and read back (``keep``), because each run of the plan would call the
-    judge again.
+    Items are dealt by their keys over ``parallel_calls`` tasks (the session's shuffle partitions if not given), however
+    few files they came from. A call that raises is repeated at most ``retries`` times, then its items are
+    failures. The result is written and read back (``keep``), because each run of the plan would call the judge again.
     """
-    packed = items.select("record_id", "rule_id", judge_item(items).alias("item"))
+    tasks = parallel_calls or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = items.select("record_id", "rule_id", judge_item(items).alias("item")).repartition(tasks, "record_id", "rule_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -56,7 +58,7 @@ def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY"
 
         def call(batch):
             nonlocal number
-            row = {"batch_id": f"{part}-{number}", "analysis_type": analysis_type,
+            row = {"batch_id": f"{part:08d}-{number:08d}", "analysis_type": analysis_type,
                    "items": [{"record_id": r, "rule_id": q} for r, q, _ in batch],
                    "response": None, "input_tokens": 0, "output_tokens": 0, "error": None}
             number += 1
@@ -95,40 +97,54 @@ def _array_text(text: Column) -> Column:
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(judgments, failures) from response texts, one shot of JVM JSON functions.
+    """(judgments, failures) from response texts, in JVM JSON functions within each batch's row: no shuffle.
 
-    An answer must give evidence (or reasoning). A batch that failed, or whose text is no JSON,
-    fails each of its items. An answer that names no rule takes the rule of its record in the
-    batch.
+    Every item of a batch ends up in one of the two. An answer must give evidence (or reasoning). It belongs to the item of
+    its record and rule; without a rule, to the item that comes as far down among its record's items as the answer
+    does among the record's answers without a rule. Items without a usable answer are failures, and so is
+    an answer to something that was not asked. A batch that failed, or whose text is no JSON, fails each of its items.
     """
     text = _array_text(F.col("response"))
-    read = responses.withColumn("text", text).withColumn("ok", F.try_parse_json("text").isNotNull())
-
-    def get(path, kind="string"):
-        return F.try_variant_get("v", f"$.{path}", kind)
-
-    asked = F.try_element_at(F.filter("items", lambda i: i["record_id"] == F.col("record_id")), F.lit(1))
-    fix = F.try_variant_get("v", "$.suggested_correction", "map<string,string>")
-    answers = (
-        read.filter("ok")
-        .select("batch_id", "analysis_type", "items",
-                F.posexplode(F.from_json("text", "array<variant>")).alias("pos", "v"))
-        .withColumn("record_id", F.coalesce(get("record_id"), F.lit("")))
-        .withColumn("grounded", get("evidence", "variant").isNotNull() | get("reasoning", "variant").isNotNull()))
-    judgments = answers.filter("grounded").select(
+    read = (responses.withColumn("text", text).withColumn("ok", F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False)))
+            .withColumn("asked", F.transform("items", lambda i, k: F.struct(k.alias("k"), i["record_id"].alias("record_id"), i["rule_id"].alias("rule_id")))))
+
+    def get(v, path, kind="string"):
+        return F.try_variant_get(v, f"$.{path}", kind)
+
+    said = F.transform(F.from_json("text", "array<variant>"), lambda v, k: F.struct(
+        k.alias("pos"), v.alias("v"), F.coalesce(get(v, "record_id"), F.lit("")).alias("record_id"), get(v, "rule_id").alias("named"),
+        (get(v, "evidence", "variant").isNotNull() | get(v, "reasoning", "variant").isNotNull()).alias("grounded")))
+
+    def item_of(x):
+        mine = F.filter("asked", lambda i: i["record_id"] == x["record_id"])
+        unnamed = F.filter("said", lambda y: (y["record_id"] == x["record_id"]) & y["named"].isNull() & (y["pos"] <= x["pos"]))
+        place = F.greatest(F.least(F.size(unnamed), F.size(mine)), F.lit(1))
+        return F.when(x["named"].isNotNull(), F.try_element_at(F.filter(mine, lambda i: i["rule_id"] == x["named"]), F.lit(1))["k"]).otherwise(
+            F.try_element_at(mine, place)["k"])
+
+    fine = (read.filter("ok").withColumn("said", said)
+            .withColumn("said", F.transform("said", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "v", "record_id", "grounded")], item_of(x).alias("item")))))
+    answers = fine.select("batch_id", "analysis_type", "asked", F.explode("said").alias("x")).select("batch_id", "analysis_type", "asked", "x.*")
+    v = F.col("v")
+    judgments = answers.filter(F.col("grounded") & F.col("item").isNotNull()).select(
         "batch_id", "pos", "record_id",
-        F.coalesce(get("rule_id"), asked["rule_id"]).alias("rule_id"),
-        F.coalesce(get("is_error", "boolean"), F.lit(False)).alias("is_error"),
-        F.coalesce(get("error_type"), F.lit("")).alias("error_type"),
-        F.coalesce(get("confidence"), F.lit("LOW")).alias("confidence"),
-        F.when(get("evidence", "variant").isNotNull(), get("evidence")).otherwise(get("reasoning")).alias("reasoning"),
-        fix.alias("suggested_correction"))
-    no_ground = answers.filter(~F.col("grounded")).select(
-        "batch_id", "analysis_type", "record_id", F.lit("Missing evidence field").alias("error"))
-    lost = (read.filter(~F.col("ok") | F.col("ok").isNull())
-            .select("batch_id", "analysis_type", F.explode("items.record_id").alias("record_id"),
-                    F.coalesce("error", F.lit("JSON parse error")).alias("error")))
-    return judgments, lost.unionByName(no_ground)
+        F.try_element_at("asked", F.col("item") + 1)["rule_id"].alias("rule_id"),
+        F.coalesce(get(v, "is_error", "boolean"), F.lit(False)).alias("is_error"),
+        F.coalesce(get(v, "error_type"), F.lit("")).alias("error_type"),
+        F.coalesce(get(v, "confidence"), F.lit("LOW")).alias("confidence"),
+        F.when(get(v, "evidence", "variant").isNotNull(), get(v, "evidence")).otherwise(get(v, "reasoning")).alias("reasoning"),
+        F.try_variant_get("v", "$.suggested_correction", "map<string,string>").alias("suggested_correction"))
+    # The reasons "JSON parse error" and "Missing evidence field".
+    reason = F.when(F.exists("said", lambda x: x["item"] == F.col("i.k")), F.lit("Missing evidence field")).otherwise(F.lit("No answer"))
+    unanswered = (fine.select("batch_id", "analysis_type", "said", F.explode("asked").alias("i"))
+                  .filter(~F.exists("said", lambda x: F.coalesce((x["item"] == F.col("i.k")) & x["grounded"], F.lit(False))))
+                  .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", reason.alias("error")))
+    unasked = answers.filter(F.col("item").isNull()).select("batch_id", "analysis_type", "record_id", get(v, "rule_id").alias("rule_id"),
+                                                            F.lit("Not asked").alias("error"))
+    lost = (read.filter(~F.col("ok")).select("batch_id", "analysis_type", F.explode("items").alias("i"),
+                                             F.coalesce("error", F.lit("JSON parse error")).alias("error"))
+            .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", "error"))
+    return judgments, lost.unionByName(unanswered).unionByName(unasked)
 
 
 def failure_reasons(failures: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ table lacks reads as missing.
 
 from __future__ import annotations
 
+import logging
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F, types as T
@@ -15,6 +17,8 @@ from pyspark.sql import Column, functions as F, types as T
 from ..functions import cells
 from .rules import Rule, enabled
 
+log = logging.getLogger(__name__)
+
 ADDRESS_TOOLS = ("address_normalize", "address_classify")
 DEFERRED = "Address type ambiguous — deferred to LLM Analyzer"  # fixed value: reason text
 
@@ -122,6 +126,11 @@ def _value_check(rule, table, name, reason, violated, nullable) -> Check:
     return Check(rule, [name], violated, present, [(name, text)], reason, rule.severity)
 
 
+def _once(shown):
+    """A pair per column name: a rule may name a column twice."""
+    return list(dict(reversed(shown)).items())[::-1]
+
+
 def range_checks(rule: Rule, table: Table) -> list[Check]:
     p = rule.params
     allowed, low, high = p.get("allowed_values"), p.get("min_value"), p.get("max_value")
@@ -204,7 +213,7 @@ def address_checks(rule: Rule, table: Table) -> list[Check]:
     mismatch = ((kind == "road") & (flag_text != "1")) | ((kind == "jibun") & (flag_text != "0"))
     return [Check(
         rule, [address, flag], (text != "") & ((kind == "ambiguous") | mismatch), text != "",
-        [(address, text), (flag, table.text(flag))],
+        _once([(address, text), (flag, table.text(flag))]),
         F.when(kind == "ambiguous", F.lit(DEFERRED)).otherwise(
             F.concat(F.lit("Address is "), kind, F.lit(f" type but {flag}="), flag_text)),
         F.when(kind == "ambiguous", F.lit("info")).otherwise(F.lit(rule.severity)))]
@@ -224,7 +233,7 @@ def conditional_checks(rule: Rule, table: Table) -> list[Check]:
             bad = F.lit(False)  # an unknown operator never violates
         out.append(Check(
             rule, list(rule.target_columns[:2]), applies & bad, applies,
-            [(when_name, table.text(when_name)), (check_name, table.text(check_name))],
+            _once([(when_name, table.text(when_name)), (check_name, table.text(check_name))]),
             cond.get("reason", "Cross-column condition violation"), rule.severity))
     return out
 
@@ -238,7 +247,7 @@ def differ_checks(rule: Rule, table: Table) -> list[Check]:
     same = F.coalesce(table.text(a) == table.text(b), F.lit(False))
     differ = rule.params.get("should_differ", True)
     return [Check(rule, [a, b], both & (same if differ else ~same), both,
-                  [(a, table.text(a)), (b, table.text(b))],
+                  _once([(a, table.text(a)), (b, table.text(b))]),
                   f"{a} {'!=' if differ else '=='} {b}", rule.severity)]
 
 
@@ -267,7 +276,28 @@ _FAMILY_ORDER = {"out_of_range": 0, "format_inconsistency": 1, "temporal_violati
 
 def compile_rules(rules, schema: T.StructType | Table) -> list[list[Check]]:
     """Checks grouped by rule, families in reporting order."""
+    groups, errors = _compiled(rules, schema)
+    for rule_id, error in errors:
+        log.warning("rule %s does not run: %s", rule_id, error)
+    return groups
+
+
+def rule_errors(rules, schema: T.StructType | Table) -> list[tuple[str, str]]:
+    """(rule id, what is wrong) of enabled rules that cannot run at all; they stop no other rule."""
+    return _compiled(rules, schema)[1]
+
+
+def _compiled(rules, schema):
     table = schema if isinstance(schema, Table) else Table(schema)
-    ordered = sorted(enabled(rules), key=lambda r: _FAMILY_ORDER[r.error_type])
-    groups = [compile_rule(r, table) for r in ordered]
-    return [g for g in groups if g]
+    groups, errors = [], []
+    for rule in sorted(enabled(rules), key=lambda r: _FAMILY_ORDER[r.error_type]):
+        try:
+            checks = compile_rule(rule, table)
+        except (re.error, ValueError, KeyError, TypeError) as e:
+            errors.append((rule.rule_id, f"{type(e).__name__}: {e}"))
+            continue
+        if checks:
+            groups.append(checks)
+        elif all(c in table.types for c in rule.target_columns):
+            errors.append((rule.rule_id, "no check follows from its tool, columns and parameters"))
+    return groups, errors

@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import logging
 from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 log = logging.getLogger(__name__)
@@ -104,28 +104,39 @@ def parse_rules(text: str) -> list[Rule]:
     return [Rule.of(raw) for raw in data["rules"]]
 
 
-def load_rules(spark: SparkSession, path: str | None = None) -> list[Rule]:
-    """Rules from a file on any filesystem Spark can read; the default set if that fails."""
+def load_rules(spark: SparkSession, path: str | None = None, default_if_missing: bool = False) -> list[Rule]:
+    """Rules from a file on any filesystem Spark can read; the default set without a path.
+
+    A file that cannot be read or parsed is an error. Only a missing one gives the default set, and only if asked.
+    """
     if path is None:
         return list(DEFAULT_RULES)
     try:
-        if Path(path).is_file():
-            return parse_rules(Path(path).read_text(encoding="utf-8"))
-        return parse_rules(spark.read.text(path, wholetext=True).head()[0])
-    except Exception:
-        log.warning("could not load rules from %s, using the default set", path, exc_info=True)
-        return list(DEFAULT_RULES)
+        text = spark.read.text(path, wholetext=True).head()
+    except AnalysisException as e:
+        if default_if_missing and e.getCondition() == "PATH_NOT_FOUND":
+            log.warning("no rule file %s, using the default set", path)
+            return list(DEFAULT_RULES)
+        raise
+    return parse_rules(text[0] if text else "")
 
 
 def number_generated(raw_rules: list[dict]) -> list[Rule]:
-    """Proposed rules made usable: ids forced to AUTO-NNN by position, always enabled."""
-    out = []
-    for i, raw in enumerate(raw_rules, 1):
-        rule_id = raw.get("rule_id") or ""
-        if not rule_id.startswith("AUTO-"):
-            rule_id = f"AUTO-{i:03d}"
-        out.append(Rule.of({**raw, "rule_id": rule_id, "enabled": True,
-                            "severity": raw.get("severity") or "warning"}))
+    """Proposed rules made usable: always enabled, with ids AUTO-... that no two rules share.
+
+    A given id of that form is kept by its first holder; all others get the first free number from their position on.
+    """
+    given = [raw.get("rule_id") or "" for raw in raw_rules]
+    taken, out = {g for g in given if g.startswith("AUTO-")}, []
+    first_holder = {g: given.index(g) for g in taken}
+    for place, raw in enumerate(raw_rules):
+        rule_id, number = given[place], place + 1
+        if first_holder.get(rule_id) != place:
+            while f"AUTO-{number:03d}" in taken:
+                number += 1
+            rule_id = f"AUTO-{number:03d}"
+            taken.add(rule_id)
+        out.append(Rule.of({**raw, "rule_id": rule_id, "enabled": True, "severity": raw.get("severity") or "warning"}))
     return out
 
 
@@ -135,12 +146,9 @@ def rules_df(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def rules_from_df(df: DataFrame, max_rules: int = 5000, generated: bool = False) -> list[Rule]:
-    """Rules held in a table. Every rule becomes expressions in one plan, so their number is
-    checked: too many is an error, never a silent cut."""
-    rows = [r.asDict(recursive=True) for r in df.limit(max_rules + 1).collect()]
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules in the rule table")
+def rules_from_df(df: DataFrame, generated: bool = False) -> list[Rule]:
+    """Rules held in a table, however many: each becomes expressions of one plan."""
+    rows = [r.asDict(recursive=True) for r in df.collect()]
     return number_generated(rows) if generated else [Rule.of(r) for r in rows]
 
 

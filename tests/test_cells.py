@@ -107,6 +107,12 @@ def test_bad_pattern_fails_on_the_driver(spark):
         full_match(F.col("x"), "(")
 
 
+@pytest.mark.parametrize("pattern", [r"[[a]", r"[a&&b]", r"[]x]", r"[^]&]+", r"a[\]b]\[", r"x{1,2}&&"])
+def test_classes_read_as_in_python(spark, pattern):
+    texts = ["[", "a", "b", "&", "&&", "]", "x", "a][", "x&&"]
+    assert apply(spark, texts, "string", lambda c: full_match(c, pattern)) == [re.fullmatch(pattern, t) is not None for t in texts]
+
+
 def test_address_kind(spark):
     texts = ["강릉시 솔밭로 41", "광주광역시 남구 은행동 6-1", "전주시 한옥로3가 12", "None", "부산 10-2"]
     assert apply(spark, texts, "string", address_kind) == ["road", "jibun", "ambiguous", "ambiguous", "jibun"]

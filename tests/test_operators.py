@@ -229,14 +229,34 @@ def test_parse_responses(spark):
     got = {r["record_id"]: r for r in good.collect()}
     assert got["1"]["rule_id"] == "A" and got["1"]["suggested_correction"] == {"a": "1", "b": None}
     assert (got["2"]["rule_id"], got["2"]["is_error"], got["2"]["confidence"], got["2"]["reasoning"]) == ("B", False, "LOW", "r")
-    assert got["9"]["rule_id"] is None and got["9"]["reasoning"] is None
-    assert rows(bad, "record_id", "error") == [("3", "Missing evidence field")]
+    assert set(got) == {"1", "2"}
+    assert rows(bad, "record_id", "error") == [("3", "Not asked"), ("9", "Not asked")]
+
+
+def test_every_item_is_a_judgment_or_a_failure(spark):
+    """A judge that leaves out, repeats, invents, gives no evidence and names no rule."""
+    items = [("1", "A"), ("1", "B"), ("2", "A"), ("3", "A"), ("3", "B"), ("4", "A")]
+    text = json.dumps([{"record_id": "1", "evidence": "x"}, {"record_id": "1", "evidence": "y"}, {"record_id": "2", "rule_id": "Z", "evidence": "e"},
+                       {"record_id": "3", "rule_id": "B", "evidence": "e"}, {"record_id": "3", "rule_id": "B", "evidence": "again"},
+                       {"record_id": "4", "rule_id": "A"}])
+    good, bad = judge.parse_responses(spark.createDataFrame([("0", "PRIMARY", items, text, 0, 0, None)], judge.RESPONSE_SCHEMA))
+    assert rows(reconcile.last_answer(good).select("record_id", "rule_id", "reasoning")) == [("1", "A", "x"), ("1", "B", "y"), ("3", "B", "again")]
+    assert rows(bad, "record_id", "rule_id", "error") == [
+        ("2", "A", "No answer"), ("2", "Z", "Not asked"), ("3", "A", "No answer"), ("4", "A", "Missing evidence field")]
+
+
+def test_calls_follow_the_argument_not_the_files(spark, found):
+    answer = lambda items: json.dumps([{**i, "evidence": "e"} for i in items])
+    one_file = materialise(found.coalesce(1), "one-file")
+    calls = judge.call_judge(one_file, answer, batch_size=1000, parallel_calls=7)
+    assert 1 < len({r["batch_id"].split("-")[0] for r in calls.collect()}) <= 7
+    assert judge.parse_responses(calls)[0].count() == found.count()
 
 
 def test_parse_single_object_and_broken_text(spark):
     good, bad = judge.parse_responses(responses(spark, '{"record_id": "1", "evidence": "e"}', '[{"record_id": "1"', "sorry"))
     assert rows(good, "record_id", "rule_id") == [("1", "A")]
-    assert rows(bad, "record_id", "error") == [(r, "JSON parse error") for r in ("1", "1", "2", "2")]
+    assert rows(bad, "record_id", "error") == [*[("1", "JSON parse error")] * 2, *[("2", "JSON parse error")] * 2, ("2", "No answer")]
 
 
 def test_batch_payloads(spark, found):

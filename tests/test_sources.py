@@ -87,6 +87,26 @@ def test_upsert_and_versions(spark, tmp_path):
         sinks.write_version(out, str(tmp_path), "1")
 
 
+def test_upsert_takes_one_update_per_key(spark):
+    base = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int")
+    updates = spark.createDataFrame([(1, "late", 2), (1, "early", 1), (2, "x", 0), (2, "x", 0)], "k int, v string, n int")
+    assert rows(sinks.upsert(base, updates, "k", "n")) == [(1, "late", 2), (2, "x", 0)]
+
+
+def test_feed_numbers_and_bad_envelopes(spark, tmp_path):
+    image = T.StructType.fromDDL("a int")
+    lines = ['{"sequence_number": "%s", "event_name": "INSERT", "new_image": {"a": %d}}' % (n, i) for i, n in enumerate(
+        ["99", "900", "1000", "00901", "9" * 40, "1" + "0" * 40])]
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    good.mkdir(), bad.mkdir()
+    (good / "f.json").write_text("\n".join(lines))
+    (bad / "f.json").write_text("\n".join([lines[0], lines[1][:30]]))
+    assert sorted(r["a"] for r in sources.read_feed_after(spark, str(good), image, "900").collect()) == [2, 3, 4, 5]
+    with pytest.raises(Exception):
+        sources.read_feed_after(spark, str(bad), image).collect()
+    assert rows(sources.bad_envelopes(spark, str(bad), image)) == [(lines[1][:30],)] and sources.bad_envelopes(spark, str(good), image).isEmpty()
+
+
 def test_logs_append_and_newest_state(spark, tmp_path):
     for n in (1, 2):
         sinks.append_log(spark.createDataFrame([("k", n, f"v{n}")], "key string, at int, v string"), str(tmp_path / "log"))

@@ -11,7 +11,7 @@ from conftest import rows
 from parcels import NUMBER, SCHEMA, TOTAL, expected, records
 from tamis.functions.cells import DEFAULT_TIME_FORMATS
 from tamis.operators import suspects as sus
-from tamis.plans import DEFAULT_RULES, DELIVERY_RULES, Rule, number_generated, parse_rules, rules_df, rules_from_df
+from tamis.plans import DEFAULT_RULES, DELIVERY_RULES, Rule, number_generated, parse_rules, rule_errors, rules_df, rules_from_df
 from tamis.plans.rules import by_column, by_error_type, by_tool, load_rules, relations
 
 
@@ -166,7 +166,7 @@ def test_rates(parcels):
     got = {(r["rule_id"], r["columns"]): r for r in sus.rule_rates(parcels, DEFAULT_RULES).collect()}
     tracking = got["R002-tracking_id_format", "tracking_id"]
     assert (tracking["violation_count"], tracking["total_checked"], tracking["alert"]) == (3, TOTAL - 1, False)
-    assert got["R003-dispatch_before_arrival", "dispatch_time,arrival_time"]["total_checked"] == 99
+    assert got["R003-dispatch_before_arrival", "dispatch_time,arrival_time"]["total_checked"] == TOTAL - 1
 
 
 def test_statistics(parcels):
@@ -205,11 +205,29 @@ def test_rules_from_text_and_table(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(text)
     assert load_rules(spark, str(path)) == [rule]
-    assert load_rules(spark, str(tmp_path / "absent")) == list(DEFAULT_RULES)
+    assert load_rules(spark, str(tmp_path / "absent"), default_if_missing=True) == list(DEFAULT_RULES) == load_rules(spark)
+    for bad in (tmp_path / "absent", tmp_path / "typo.json"):
+        (tmp_path / "typo.json").write_text(text.replace("out_of_range", "out_of_rang"))
+        with pytest.raises(Exception):
+            load_rules(spark, str(bad))
     assert sorted(rules_from_df(rules_df(spark, DEFAULT_RULES)), key=lambda r: r.rule_id) == sorted(
         DEFAULT_RULES, key=lambda r: r.rule_id)
-    with pytest.raises(ValueError):
-        rules_from_df(rules_df(spark, DEFAULT_RULES), max_rules=3)
+    many = [rule.__class__(f"R{i}", "out_of_range", ("c",), "range_check", {"max_value": i}) for i in range(6000)]
+    assert len(rules_from_df(rules_df(spark, many))) == 6000
+
+
+def test_a_broken_rule_stops_no_other(parcels):
+    broken = Rule("bad", "format_inconsistency", ("tracking_id",), "regex_validate", {"pattern": "("})
+    empty = Rule("idle", "cross_column_inconsistency", ("weight_kg",), "custom_check", {})
+    assert [i for i, _ in rule_errors([broken, empty, *DEFAULT_RULES], parcels.schema)] == ["bad", "idle"]
+    assert sus.find_suspects(parcels, [broken, *DEFAULT_RULES]).count() == sus.find_suspects(parcels, DEFAULT_RULES).count()
+
+
+def test_a_rule_may_name_a_column_twice(parcels):
+    rule = Rule("twice", "cross_column_inconsistency", ("status_code", "status_code"), "value_condition",
+                {"conditions": [{"when_column": "status_code", "when_values": ["LIMBO"], "check_column": "status_code", "check_op": "eq",
+                                 "check_value": "PICKUP", "reason": "r"}]})
+    assert [r["current_values"] for r in sus.find_suspects(parcels, [rule]).collect()] == [{"status_code": "LIMBO"}]
 
 
 def test_disabled_rules_do_not_run(parcels):
@@ -222,6 +240,8 @@ def test_generated_rule_ids():
     raw = {"error_type": "out_of_range", "target_columns": ["c"], "validation_tool": "range_check"}
     out = number_generated([{**raw, "rule_id": "x"}, {**raw, "rule_id": "AUTO-77"}, {**raw, "enabled": False}])
     assert [r.rule_id for r in out] == ["AUTO-001", "AUTO-77", "AUTO-003"]
+    clash = number_generated([{**raw, "rule_id": "AUTO-002"}, raw, {**raw, "rule_id": "AUTO-002"}])
+    assert [r.rule_id for r in clash] == ["AUTO-002", "AUTO-003", "AUTO-004"]
     assert all(r.enabled and r.severity == "warning" for r in out)
 
 
