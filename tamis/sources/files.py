@@ -8,6 +8,8 @@ from ..functions.cells import csv_cell_type
 
 CORRUPT = "_corrupt_record"
 
+WIDE = "decimal(38,0)"  # whole numbers beyond bigint
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, keep_bad_lines: bool = False) -> DataFrame:
     """One object per line. A bad line fails the read, or is kept in ``_corrupt_record``."""
@@ -37,32 +39,47 @@ def read_csv_text(spark: SparkSession, path: str, line_breaks_in_cells: bool = F
 def coerce_csv(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Text cells to numbers where a whole column reads as such.
 
-    ``types`` maps columns to integer / float / string, as ``infer_schema(untyped=True)`` gives
+    ``types`` maps columns to integer / wide / float / string, as ``infer_schema(untyped=True)`` gives
     them; without it one aggregate over the table finds out.
     """
     if types is None:
         types = csv_types(df)
-    plain = {"integer": "bigint", "float": "double"}
+    plain = {"integer": "bigint", "wide": WIDE, "float": "double"}
 
     def cell(name):
         col, kind = F.col(f"`{name}`"), plain.get(types.get(name))
         col = F.when(col != "", col)
         if kind is None:
             return col.alias(name)
-        return F.regexp_replace(F.btrim(col, F.lit(" \t\n\r\f\v")), "_", "").try_cast(kind).alias(name)
+        return _bare(col).try_cast(kind).alias(name)
 
     return df.select(*[cell(c) for c in df.columns])
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\f\v")), "_", "")
+
+
 def csv_types(df: DataFrame) -> dict[str, str]:
-    """Widest reading of each text column: one row of counts comes back to the driver."""
+    """Widest reading of each text column: one row of counts comes back to the driver.
+
+    Whole numbers that no bigint holds make a column ``wide`` (38 digits), longer ones leave it text.
+    """
     aggs = []
     for i, c in enumerate(df.columns):
         kind = csv_cell_type(F.col(f"`{c}`"))
         aggs += [F.count_if(kind == k).alias(f"{k}{i}") for k in ("integer", "float", "string")]
+        aggs += [F.count_if((kind == "integer") & _bare(F.col(f"`{c}`")).try_cast(t).isNull()).alias(f"{k}{i}") for k, t in (("wide", "bigint"), ("huge", WIDE))]
     seen = df.agg(*aggs).head()
-    return {c: "string" if seen[f"string{i}"] or not (seen[f"float{i}"] or seen[f"integer{i}"])
-            else "float" if seen[f"float{i}"] else "integer" for i, c in enumerate(df.columns)}
+
+    def kind_of(i):
+        if seen[f"string{i}"] or not (seen[f"float{i}"] or seen[f"integer{i}"]):
+            return "string"
+        if seen[f"float{i}"]:
+            return "float"
+        return "string" if seen[f"huge{i}"] else "wide" if seen[f"wide{i}"] else "integer"
+
+    return {c: kind_of(i) for i, c in enumerate(df.columns)}
 
 
 # --- typed JSON ({"col": {"S": "x"}}) ----------------------------------------
@@ -113,12 +130,15 @@ def typed_json_schema(items: DataFrame) -> T.StructType:
                          .alias("name", "cell"))
             .select("name", F.explode("cell").alias("tag", "x"))
             .groupBy("name").agg(F.collect_set("tag").alias("tags"),
-                                 F.max(F.when(F.col("tag") == "N", F.to_json("x").contains("."))).alias("point"))
+                                 F.max(F.when(F.col("tag") == "N", F.to_json("x").contains("."))).alias("point"),
+                                 *[F.max(F.when(F.col("tag") == "N", F.try_variant_get("x", "$", "string").try_cast(t).isNull())).alias(n)
+                                   for n, t in (("wide", "bigint"), ("huge", WIDE))])
             .collect())
     fields = []
     for r in sorted(tags, key=lambda r: r["name"]):
         kinds = set(r["tags"]) - {"NULL"}
         dtype = (T.BooleanType() if kinds == {"BOOL"} else
-                 (T.DoubleType() if r["point"] else T.LongType()) if kinds == {"N"} else T.StringType())
+                 T.StringType() if kinds != {"N"} or r["huge"] and not r["point"] else
+                 T.DoubleType() if r["point"] else T.DecimalType(38, 0) if r["wide"] else T.LongType())
         fields.append(T.StructField(r["name"], dtype))
     return T.StructType(fields)

@@ -87,6 +87,16 @@ def test_upsert_and_versions(spark, tmp_path):
         sinks.write_version(out, str(tmp_path), "1")
 
 
+def test_whole_numbers_beyond_bigint_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,w,h\n1,98765432109876543210,%s\n2,3,4\n" % ("9" * 50))
+    out = sources.coerce_csv(sources.read_csv_text(spark, str(tmp_path / "a.csv")))
+    assert [t for _, t in out.dtypes] == ["bigint", "decimal(38,0)", "string"]
+    assert {str(r["w"]) for r in out.collect()} == {"98765432109876543210", "3"} and {r["h"] for r in out.collect()} == {"9" * 50, "4"}
+    (tmp_path / "t.json").write_text('{"a": {"N": "98765432109876543210"}, "b": {"N": "1E+20"}, "c": {"N": "7"}}\n')
+    (row,) = sources.read_typed_json(spark, str(tmp_path / "t.json")).collect()
+    assert (int(row["a"]), int(row["b"]), row["c"]) == (98765432109876543210, 10 ** 20, 7)
+
+
 def test_upsert_takes_one_update_per_key(spark):
     base = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int")
     updates = spark.createDataFrame([(1, "late", 2), (1, "early", 1), (2, "x", 0), (2, "x", 0)], "k int, v string, n int")
