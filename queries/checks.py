@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from tamis.functions import address_kind, mask_prefix, pattern_key, record_key_json
 from tamis.operators import suspects as sus
 from tamis.operators.profile import condition_counts
-from tamis.plans import DEFAULT_RULES, Rule, relations, rules_df, rules_from_df
+from tamis.plans import DEFAULT_RULES, Rule, load_rules, relations, rules_df, rules_from_df
 from tamis.plans.rules import by_column, by_tool, enabled
+from tamis.session import fresh_path
 
-from .base import FORMATS, flat, parcel, query, sql, suspects, table
+from .base import FORMATS, TIME_OK, flat, parcel, query, sql, suspects, table
 
 SUSPECT = "record_id, rule_id, error_type, target_columns, current_values, reason, severity"
 
@@ -147,6 +151,42 @@ def check_columns_differ(spark, sf):
     return flat(sus.find_suspects(parcel(spark, sf), [rule])).select("record_id", "rule_id", "current_values")
 
 
+@query("check_custom", sql("""
+SELECT record_id, 'X-heavy' AS rule_id, 'status_code=' || status_code || '|weight_kg=' || cast(weight_kg AS varchar) AS current_values,
+  'weight_kg > 20 AND status_code == ''LOST''' AS reason FROM p WHERE weight_kg > 20 AND status_code = 'LOST'
+UNION ALL SELECT record_id, 'X-same', 'sender_phone=' || sender_phone || '|tracking_id=' || tracking_id, 'ends alike' FROM p
+  WHERE right(sender_phone, 2) = right(tracking_id, 2)
+UNION ALL SELECT record_id, 'X-place', 'address=' || address || '|status_code=' || status_code, 'delivered outside Seoul' FROM p
+  WHERE status_code = 'DELIVERED' AND NOT contains(address, '서울')
+UNION ALL SELECT record_id, 'X-number', 'table_name=' || table_name || '|tracking_id=' || tracking_id, 'number without record' FROM p
+  WHERE table_name = 'parcels' AND NOT contains(tracking_id, record_id)""", "p"))
+def check_custom(spark, sf):
+    """Conditions as text, a function of columns, and values that must lie within others."""
+    def alike(t):
+        return F.right(t.text("sender_phone"), F.lit(2)) == F.right(t.text("tracking_id"), F.lit(2))
+
+    def within(rule_id, when, value, column, op, wanted, reason):
+        return Rule(rule_id, "cross_column_inconsistency", (when, column), "value_condition", {"conditions": [
+            {"when_column": when, "when_values": [value], "check_column": column, "check_op": op, "check_value": wanted, "reason": reason}]})
+
+    cross = "cross_column_inconsistency"
+    rules = [Rule("X-heavy", cross, ("weight_kg", "status_code"), "custom_check", {"condition": "weight_kg > 20 AND status_code == 'LOST'"}),
+             Rule("X-same", cross, ("sender_phone", "tracking_id"), "custom_check", {"predicate": alike, "reason": "ends alike"}),
+             within("X-place", "status_code", "DELIVERED", "address", "contains", "서울", "delivered outside Seoul"),
+             within("X-number", "table_name", "parcels", "tracking_id", "contains_column", "record_id", "number without record")]
+    return flat(sus.find_suspects(parcel(spark, sf), rules)).select("record_id", "rule_id", "current_values", "reason")
+
+
+@query("rules_from_file", sql("SELECT rule_id, severity, count(*) AS n FROM s GROUP BY rule_id, severity", "s"))
+def rules_from_file(spark, sf):
+    """The rules written to a file in the shared folder, loaded from there and run."""
+    path = fresh_path(spark, "rules")
+    text = json.dumps({"rules": [{**asdict(r), "target_columns": list(r.target_columns)} for r in DEFAULT_RULES]}, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    found = sus.find_first_suspects(parcel(spark, sf), load_rules(spark, path))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 TARGETS = [
     {"condition": "payment_method == '착불' AND cod_amount == 0", "columns": ["payment_method", "cod_amount"],
      "description": "collect on delivery, nothing to collect"},
@@ -198,13 +238,21 @@ _RATES = [
     ("R001-road_addr_yn_enum", "road_addr_yn", "road_addr_yn NOT IN (0, 1)", "road_addr_yn IS NOT NULL"),
     ("R001-status_code_enum", "status_code", "status_code = 'LOST'", "status_code IS NOT NULL"),
     ("R001-weight_kg_range", "weight_kg", "weight_kg < 0.01 OR weight_kg > 30", "weight_kg IS NOT NULL"),
+    ("R002-time_format_hhmmss", "dispatch_time", f"NOT regexp_full_match(dispatch_time, '{TIME_OK}')", "dispatch_time IS NOT NULL"),
+    ("R002-time_format_hhmmss", "arrival_time", f"NOT regexp_full_match(arrival_time, '{TIME_OK}')", "arrival_time IS NOT NULL"),
     ("R002-tracking_id_format", "tracking_id", "NOT regexp_full_match(tracking_id, '[0-9]{10,15}')",
      "tracking_id IS NOT NULL"),
+    ("R002-phone_format", "sender_phone", "NOT regexp_full_match(sender_phone, '0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}')", "sender_phone IS NOT NULL"),
+    ("R002-phone_format", "receiver_phone", "false", "false"),  # the table has no such column
     ("R003-dispatch_before_arrival", "dispatch_time,arrival_time",
      f"try_strptime(dispatch_time, {FORMATS}) >= try_strptime(arrival_time, {FORMATS})",
      f"try_strptime(dispatch_time, {FORMATS}) IS NOT NULL AND try_strptime(arrival_time, {FORMATS}) IS NOT NULL"),
     ("R004-address_road_yn_match", "address,road_addr_yn",
      "kind = 'ambiguous' OR (kind = 'road' AND road_addr_yn <> 1) OR (kind = 'jibun' AND road_addr_yn <> 0)", "true"),
+    ("R004-cod_payment_consistency", "payment_method,cod_amount", "payment_method = '착불' AND NOT coalesce(cod_amount > 0, false)",
+     "payment_method = '착불'"),
+    ("R004-cod_payment_consistency", "payment_method,cod_amount",
+     "payment_method IN ('선불', '신용카드', '계좌이체') AND cod_amount IS DISTINCT FROM 0", "payment_method IN ('선불', '신용카드', '계좌이체')"),
 ]
 
 
@@ -213,8 +261,7 @@ _RATES = [
     f"SELECT '{r}' AS rule_id, '{c}' AS columns, count(*) FILTER ({v}) AS violation_count, "
     f"count(*) FILTER ({t}) AS total_checked FROM p" for r, c, v, t in _RATES) + ")", "p"))
 def rule_rates(spark, sf):
-    rules = only("R001") + only("R002-tracking") + only("R003") + only("R004-address")
-    return sus.rule_rates(parcel(spark, sf), rules, alert_above=0.3).drop("check_no")
+    return sus.rule_rates(parcel(spark, sf), DEFAULT_RULES, alert_above=0.3).drop("check_no")
 
 
 # --- over the suspects -----------------------------------------------------------
@@ -284,12 +331,13 @@ def rule_relations(spark, sf):
 @query("rules_by_tool", sql("SELECT 'regex_validate' AS tool, count(*) AS n FROM s WHERE rule_id LIKE 'R002%' "
                             "UNION ALL SELECT 'range_check', count(*) FROM s WHERE rule_id LIKE 'R001%'", "s"))
 def rules_by_tool(spark, sf):
-    data, out = parcel(spark, sf), None
-    for tool in ("regex_validate", "range_check"):
-        one = sus.find_first_suspects(data, by_tool(DEFAULT_RULES, tool)).agg(F.count("*").alias("n")).select(
-            F.lit(tool).alias("tool"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The rules of two tools, run in one scan, counted per tool."""
+    tools = ("regex_validate", "range_check")
+    rules = {r.rule_id: tool for tool in tools for r in by_tool(DEFAULT_RULES, tool)}
+    found = sus.find_first_suspects(parcel(spark, sf), [r for r in DEFAULT_RULES if r.rule_id in rules])
+    return (found.groupBy("rule_id").agg(F.count("*").alias("n"))
+            .select(F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), F.col("rule_id")).alias("tool"), "n")
+            .groupBy("tool").agg(F.sum("n").alias("n")))
 
 
 @query("pattern_key", sql("SELECT error_type || ':' || rule_id || ':' || target_columns AS pattern_key, count(*) AS n "

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.operators import order, profile, schema
+from tamis.operators.suspects import counts_by, find_first_suspects
+from tamis.plans import DEFAULT_RULES
 from tamis.session import fresh_path
-from tamis.sinks import write_profiles
+from tamis.sinks import append_log, write_profiles
 
 from .base import AS_OF, parcel, query, sql, table
 
-ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-PARCEL_COLUMNS = ["tracking_id", "weight_kg", "road_addr_yn", "status_code"]
+_ORDERS = [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"), ("o_orderdate", "s"),
+           ("o_orderpriority", "s")]
+_PARCELS = [(c, "m") for c in ("record_id", "tracking_id", "sender_name", "receiver_name", "sender_phone", "address", "dispatch_time",
+                               "arrival_time", "status_code", "payment_method", "table_name")] \
+    + [("road_addr_yn", "n"), ("weight_kg", "n"), ("cod_amount", "n"), ("order_date", "s")]
+_LINES = [(c, "n") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")] \
+    + [("l_returnflag", "s"), ("l_linestatus", "s"), ("l_shipdate", "s")]
+_EVENTS = [("event_id", "n"), ("ts", "s"), ("user_id", "n"), ("event_type", "s"), ("value", "n"), ("props", "s")]
 
 
 def _profile_sql(source, columns):
@@ -32,44 +40,44 @@ def _profile_sql(source, columns):
     return " UNION ALL ".join(out)
 
 
-@query("profile_columns", _profile_sql("orders", [("o_orderkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"),
-                                                  ("o_orderdate", "s"), ("o_orderpriority", "s")]))
+@query("profile_columns", _profile_sql("orders", _ORDERS))
 def profile_orders(spark, sf):
-    return profile.profile_columns(table(spark, sf, "orders"), ORDER_COLUMNS)
+    return profile.profile_columns(table(spark, sf, "orders"))
 
 
-@query("profile_parcels", sql(_profile_sql("p", [("tracking_id", "m"), ("weight_kg", "n"), ("road_addr_yn", "n"),
-                                                 ("status_code", "s")]), "p"))
+@query("profile_parcels", sql(_profile_sql("p", _PARCELS), "p"))
 def profile_parcels(spark, sf):
     """With NULLs, and text that mostly reads as numbers."""
-    return profile.profile_columns(parcel(spark, sf), PARCEL_COLUMNS)
+    return profile.profile_columns(parcel(spark, sf))
 
 
-@query("profile_lineitem", _profile_sql("lineitem", [("l_quantity", "n"), ("l_discount", "n"), ("l_returnflag", "s"),
-                                                     ("l_partkey", "n"), ("l_shipdate", "s")]))
+@query("profile_lineitem", _profile_sql("lineitem", _LINES))
 def profile_lineitem(spark, sf):
-    return profile.profile_columns(table(spark, sf, "lineitem"),
-                                   ["l_quantity", "l_discount", "l_returnflag", "l_partkey", "l_shipdate"])
+    return profile.profile_columns(table(spark, sf, "lineitem"))
 
 
-@query("profile_events_sketch", f"SELECT * EXCLUDE (unique_count, uniqueness_rate), true AS close FROM ({_profile_sql('events', [('event_id', 'n'), ('user_id', 'n'), ('event_type', 's'), ('value', 'n')])})")
+@query("profile_events_sketch", f"SELECT * EXCLUDE (unique_count, uniqueness_rate), unique_count AS exact, true AS close FROM ({_profile_sql('events', _EVENTS)})")
 def profile_events(spark, sf):
     """Distinct counts from sketches: one aggregate, nothing shuffled but one row per task.
 
     Checked against exact counts, which may differ by a tenth at most.
     """
-    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    events = table(spark, sf, "events")
     exact = events.agg(*[F.count_distinct(c).alias(c) for c in events.columns]).select(F.inline(F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in events.columns])))
     sketch = profile.profile_columns(events, approx=True)
     near = F.abs(F.col("unique_count") - F.col("exact")) <= F.col("exact") / 10
     return (sketch.join(F.broadcast(exact), "column_name").withColumn("close", near)  # a row per column
-            .drop("unique_count", "uniqueness_rate", "exact"))
+            .drop("unique_count", "uniqueness_rate"))
 
 
-@query("json_key_presence", """SELECT 'o_orderkey' AS column_name, count(*) AS total_count, 0 AS null_count, 0.0::double AS null_rate FROM orders
-UNION ALL SELECT 'status', count(*) FILTER (o_orderkey % 4 <> 0), count(*) FILTER (o_orderkey % 4 = 1),
-round(count(*) FILTER (o_orderkey % 4 = 1) / count(*) FILTER (o_orderkey % 4 <> 0), 6) FROM orders""")
+@query("json_key_presence", """WITH k AS (SELECT 'o_orderkey' AS column_name, cast(o_orderkey AS varchar) AS v FROM orders
+UNION ALL SELECT 'status', CASE WHEN o_orderkey % 4 <> 1 THEN o_orderstatus END FROM orders WHERE o_orderkey % 4 <> 0),
+c AS (SELECT column_name, v, count(*) AS n FROM k GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY v IS NULL, n DESC, v) AS rn FROM c)
+SELECT *, round(null_count / total_count, 6) AS null_rate FROM (SELECT column_name, cast(sum(n) AS bigint) AS total_count,
+  cast(coalesce(sum(n) FILTER (v IS NULL), 0) AS bigint) AS null_count, count(v) AS distinct_count,
+  string_agg(v || ':' || n, ';' ORDER BY rn) FILTER (rn <= 5 AND v IS NOT NULL) AS top FROM t GROUP BY column_name)""")
 def json_key_presence(spark, sf):
     """A quarter of the records lacks a key, a quarter has it as null."""
     line = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN concat('{"o_orderkey":', o_orderkey, '}')
@@ -77,7 +85,9 @@ def json_key_presence(spark, sf):
       ELSE concat('{"o_orderkey":', o_orderkey, ',"status":"', o_orderstatus, '"}') END""")
     path = fresh_path(spark, "records")
     table(spark, sf, "orders").select(line.alias("value")).write.text(path)
-    return profile.key_presence(spark.read.option("singleVariantColumn", "v").json(path))
+    out = profile.key_presence(spark.read.option("singleVariantColumn", "v").json(path))
+    pairs = F.transform("top_values", lambda x: F.concat_ws(":", x["value"], x["count"].cast("string")))
+    return out.withColumn("top", F.array_join(pairs, ";")).drop("top_values")
 
 
 def _top_sql(source, columns, n):
@@ -87,18 +97,17 @@ def _top_sql(source, columns, n):
             f"ORDER BY n DESC, \"value\") AS \"rank\" FROM ({' UNION ALL '.join(parts)})) WHERE \"rank\" <= {n}")
 
 
-@query("top_values", _top_sql("events", ["event_type", "user_id", "value"], 5))
+@query("top_values", _top_sql("events", [c for c, _ in _EVENTS], 5))
 def top_values(spark, sf):
-    return profile.top_values(table(spark, sf, "events"), ["event_type", "user_id", "value"], 5)
+    return profile.top_values(table(spark, sf, "events"), n=5)
 
 
 @query("top_values_array", f"""
 SELECT column_name, string_agg("value" || ':' || n, ';' ORDER BY "rank") AS top FROM
-({_top_sql("orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], 10)}) GROUP BY column_name""")
+({_top_sql("orders", [c for c, _ in _ORDERS], 10)}) GROUP BY column_name""")
 def top_values_array(spark, sf):
     """Top values as the profile carries them."""
-    cols = ["o_orderstatus", "o_orderpriority", "o_custkey"]
-    out = profile.profile_columns(table(spark, sf, "orders"), cols, top_n=10)
+    out = profile.profile_columns(table(spark, sf, "orders"), top_n=10)
     pairs = F.transform("top_values", lambda x: F.concat_ws(":", x["value"], x["count"].cast("string")))
     return out.select("column_name", F.array_join(pairs, ";").alias("top"))
 
@@ -135,12 +144,21 @@ def history_window(spark, sf):
             .select("column_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "total_count", "null_rate", "mean_value"))
 
 
-@query("profile_change", f"""WITH {_DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY ts DESC)
-AS rn, lead(null_rate) OVER (PARTITION BY column_name ORDER BY ts DESC) AS prev FROM h)
-SELECT column_name, null_rate, prev AS prev_null_rate, abs(null_rate - prev) > 0.05 AS changed FROM n WHERE rn = 1""")
+@query("profile_change", f"""WITH {_DAILY}, u AS (SELECT 'value' AS column_name, day AS ts, count(DISTINCT v) AS unique_count FROM d GROUP BY day
+  UNION ALL SELECT 'user_id', day, count(DISTINCT user_id) FROM d GROUP BY day),
+n AS (SELECT *, row_number() OVER w AS rn, lead(null_rate) OVER w AS prev, lead(unique_count) OVER w AS prev_unique_count
+  FROM h JOIN u USING (column_name, ts) WINDOW w AS (PARTITION BY column_name ORDER BY ts DESC))
+SELECT *, change <> 'none' AS changed FROM (SELECT column_name, null_rate, prev AS prev_null_rate, unique_count, prev_unique_count,
+  CASE WHEN abs(null_rate - prev) > 0.05 THEN 'null_rate'
+    WHEN abs(unique_count - prev_unique_count) / greatest(prev_unique_count, 1) > 0.2 THEN 'unique_count' ELSE 'none' END AS change
+  FROM n WHERE rn = 1)""")
 def profile_change(spark, sf):
-    h = history(spark, sf).withColumn("unique_count", F.lit(1).cast("long"))
-    return profile.profile_change(h).select("column_name", "null_rate", "prev_null_rate", "changed")
+    """With exact distinct counts, which SQL can tell as well."""
+    exact = (daily(spark, sf).groupBy(F.col("day").alias("ts")).agg(F.count_distinct("value").alias("v"), F.count_distinct("user_id").alias("u"))
+             .select("ts", F.inline(F.array(F.struct(F.lit("value").alias("column_name"), F.col("v").alias("unique_count")),
+                                            F.struct(F.lit("user_id").alias("column_name"), F.col("u").alias("unique_count"))))))
+    h = history(spark, sf).drop("unique_count").join(exact, ["ts", "column_name"])
+    return profile.profile_change(h).select("column_name", "null_rate", "prev_null_rate", "unique_count", "prev_unique_count", "change", "changed")
 
 
 @query("profile_anomaly", f"""WITH {_DAILY},
@@ -173,15 +191,17 @@ def freshness(spark, sf):
     f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, "
     f"round((count(*) - count({c})) / count(*), 6) AS null_rate, "
     f"round((count(*) - count({c})) / count(*), 6) <= 0.01 AS completeness_ok FROM p"
-    for c in ("tracking_id", "address", "weight_kg", "status_code")), "p"))
+    for c, _ in _PARCELS), "p"))
 def completeness(spark, sf):
-    return profile.completeness(parcel(spark, sf), ["tracking_id", "address", "weight_kg", "status_code"], 0.01)
+    return profile.completeness(parcel(spark, sf), max_null_rate=0.01)
 
 
 # --- schema -------------------------------------------------------------------------
 
-_KINDS = [("record_id", "string"), ("tracking_id", "string"), ("weight_kg", "float"), ("road_addr_yn", "integer"),
-          ("dispatch_time", "datetime"), ("status_code", "datetime"), ("address", "string")]
+_KINDS = [(c, "string") for c in ("record_id", "tracking_id", "sender_name", "receiver_name", "sender_phone", "address", "payment_method",
+                                  "table_name")] \
+    + [(c, "datetime") for c in ("dispatch_time", "arrival_time", "status_code", "order_date")] \
+    + [("weight_kg", "float"), ("cod_amount", "float"), ("road_addr_yn", "integer")]
 
 
 @query("infer_schema", sql(" UNION ALL ".join(
@@ -189,18 +209,19 @@ _KINDS = [("record_id", "string"), ("tracking_id", "string"), ("weight_kg", "flo
     for c, k in _KINDS), "p"))
 def infer_schema(spark, sf):
     """The substring hints also take "status_code" for a time."""
-    return schema.infer_schema(parcel(spark, sf).select(*[c for c, _ in _KINDS]))
+    return schema.infer_schema(parcel(spark, sf))
 
 
 @query("infer_schema_untyped", """
 SELECT 'c_custkey' AS column_name, CASE WHEN count(*) FILTER (NOT regexp_full_match(cast(c_custkey AS varchar), '-?[0-9]+')) = 0
   THEN 'integer' ELSE 'float' END AS data_type, count(c_custkey) < count(*) AS nullable FROM customer
+UNION ALL SELECT 'c_nationkey', 'integer', count(c_nationkey) < count(*) FROM customer
 UNION ALL SELECT 'c_acctbal', 'float', count(c_acctbal) < count(*) FROM customer
 UNION ALL SELECT 'c_name', 'string', count(c_name) < count(*) FROM customer
 UNION ALL SELECT 'c_mktsegment', 'string', count(*) FILTER (c_custkey % 7 = 0) > 0 FROM customer""")
 def infer_untyped(spark, sf):
     cells = table(spark, sf, "customer").select(
-        F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), "c_name",
+        F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_acctbal").cast("string"), "c_name",
         F.expr("CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END").alias("c_mktsegment"))
     return schema.infer_schema(cells, substring_hints=False, untyped=True).drop("sample_count")
 
@@ -208,12 +229,14 @@ def infer_untyped(spark, sf):
 @query("schema_fingerprint", """
 SELECT substring(sha256('[' || string_agg('["' || c || '", "' || t || '"]', ', ' ORDER BY c) || ']'), 1, 16) AS fingerprint,
   count(*) AS column_count FROM (SELECT 'o_orderkey' AS c, CASE WHEN count(o_orderkey) > 0 THEN 'integer' ELSE 'string' END AS t FROM orders
+UNION ALL SELECT 'o_custkey', CASE WHEN count(o_custkey) > 0 THEN 'integer' ELSE 'string' END FROM orders
+UNION ALL SELECT 'o_orderstatus', CASE WHEN count(*) >= 0 THEN 'datetime' END FROM orders
 UNION ALL SELECT 'o_totalprice', CASE WHEN count(o_totalprice) > 0 THEN 'float' ELSE 'string' END FROM orders
 UNION ALL SELECT 'o_orderdate', CASE WHEN count(*) >= 0 THEN 'datetime' END FROM orders
 UNION ALL SELECT 'o_orderpriority', CASE WHEN count(*) >= 0 THEN 'string' END FROM orders)""")
 def fingerprint(spark, sf):
-    cols = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    return schema.schema_fingerprint(schema.infer_schema(table(spark, sf, "orders").select(*cols)))
+    """The substring hints also take "o_orderstatus" for a time."""
+    return schema.schema_fingerprint(schema.infer_schema(table(spark, sf, "orders")))
 
 
 @query("detect_key", """
@@ -251,6 +274,18 @@ def rule_cache_lookup(spark, sf):
     return schema.cached_rules(cache, wanted, AS_OF).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
+@query("rule_cache_roundtrip", sql("SELECT rule_id, count(*) AS n FROM s GROUP BY rule_id", "s"))
+def rule_cache_roundtrip(spark, sf):
+    """A rule set stored under the fingerprint of the table's schema, found again by it, and run."""
+    data, path = parcel(spark, sf), fresh_path(spark, "rule-cache")
+    mark = schema.schema_fingerprint(schema.infer_schema(data)).head()["fingerprint"]
+    for key, rules, at in ((mark, DEFAULT_RULES[:1], "2024-01-30 23:10:00"), (mark, DEFAULT_RULES, "2024-01-30 23:30:00"),
+                           ("other", DEFAULT_RULES[:2], "2024-01-30 23:50:00")):
+        append_log(schema.rule_cache_entries(spark, rules, key, at), path)
+    rules = schema.newest_rules(spark.read.parquet(path), mark, AS_OF)
+    return counts_by(find_first_suspects(data, rules), "rule_id")
+
+
 # --- order and pages ------------------------------------------------------------------
 
 @query("page_records", """
@@ -269,3 +304,20 @@ def number_rows(spark, sf):
     """Few brands hold many rows each; the second key column splits them."""
     return order.number_rows(table(spark, sf, "part").select("p_brand", "p_partkey"), ["p_brand", "p_partkey"],
                              ranges=8).drop("p_brand")
+
+
+@query("number_rows_nulls", """
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_custkey % 3 > 0 THEN o_custkey END DESC NULLS LAST, o_orderkey) AS row_no FROM orders""")
+def number_rows_nulls(spark, sf):
+    """A third of the rows has no key; the highest key first."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.expr("CASE WHEN o_custkey % 3 > 0 THEN o_custkey END").alias("k"))
+    return order.number_rows(rows, [F.desc("k"), "o_orderkey"], ranges=8).drop("k")
+
+
+@query("page_after", """SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderkey) > (SELECT (o_custkey, o_orderkey) FROM orders
+ORDER BY o_custkey, o_orderkey LIMIT 1 OFFSET 199) ORDER BY o_custkey, o_orderkey LIMIT 200""")
+def page_after(spark, sf):
+    """The page after the last key of the page before."""
+    rows, keys = table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]
+    seen = order.page_after(rows, keys, 200).agg(F.max(F.struct(*keys)).alias("last")).head()["last"]
+    return order.page_after(rows, keys, 200, tuple(seen))

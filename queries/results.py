@@ -73,19 +73,22 @@ def judgments_union(spark, sf):
 
 @query("cache_write", sql("""
 SELECT s.error_type || ':' || s.rule_id || ':' || s.target_columns AS pattern_key, 'HIGH' AS confidence,
-  max((s.record_id, s.rule_id)).record_id AS from_record, TIMESTAMP '2024-03-01 00:00:00' AS expires_at
+  arg_max(r.is_error, r.record_id || chr(1) || r.rule_id) AS is_error, arg_max(r.error_type, r.record_id || chr(1) || r.rule_id) AS error_type,
+  arg_max(r.reasoning, r.record_id || chr(1) || r.rule_id) AS reasoning, arg_max(r.confidence, r.record_id || chr(1) || r.rule_id) AS said,
+  TIMESTAMP '2024-03-01 00:00:00' AS expires_at
 FROM r JOIN (SELECT record_id AS record_id, rule_id AS rule_id, target_columns, error_type FROM s) s
   ON r.record_id = s.record_id AND r.rule_id = s.rule_id
-WHERE r.confidence = 'HIGH' GROUP BY 1""".replace(
-    "max((s.record_id, s.rule_id)).record_id AS from_record, ", ""), "r"))
+WHERE r.confidence = 'HIGH' GROUP BY 1""", "r"))
 def cache_write(spark, sf):
     """HIGH verdicts only, one per pattern, expiring 30 days after they were written."""
     found = found_once(spark, sf)
     new = reconcile.cache_entries(reconciled(spark, sf, found), found, AS_OF)
     path = fresh_path(spark, "cache")
     new.write.parquet(path)
-    return spark.read.parquet(path).select("pattern_key", "confidence", F.col("expires_at").cast("timestamp_ntz")
-                                           .alias("expires_at"))
+    verdict = F.from_json("judgment", reconcile.JUDGMENT_JSON)
+    return spark.read.parquet(path).withColumn("j", verdict).select(
+        "pattern_key", "confidence", "j.is_error", "j.error_type", "j.reasoning", F.col("j.confidence").alias("said"),
+        F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
 # --- judging in batches -------------------------------------------------------------
@@ -246,8 +249,9 @@ def lineage_lookup(spark, sf):
         "certification_status", "lineage_status")
 
 
-def scored(spark, sf):
-    return lineage.impact_scores(suspects(spark, sf, ["table_name"]), lineage_table(spark))
+def scored(spark, sf, found=None):
+    found = suspects(spark, sf, ["table_name"]) if found is None else found
+    return lineage.impact_scores(found, lineage_table(spark))
 
 
 _IMPACT = """i AS (SELECT record_id, rule_id, w AS severity_weight, d AS downstream_table_count,
@@ -284,7 +288,8 @@ def suspects_topn(spark, sf):
 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS confidence_rank, cast(i.impact_score AS double) AS impact_score
 FROM r JOIN i ON r.record_id = i.record_id AND r.rule_id = i.rule_id""", "r"))
 def judgments_ranked(spark, sf):
-    return reconcile.ranked(reconcile.with_impact(reconciled(spark, sf), scored(spark, sf))).select(
+    found = materialise(suspects(spark, sf, ["table_name"]), "suspects")
+    return reconcile.ranked(reconcile.with_impact(reconciled(spark, sf, found), scored(spark, sf, found))).select(
         "record_id", "rule_id", "confidence", "confidence_rank", "impact_score")
 
 
@@ -312,14 +317,20 @@ SELECT record_id, rule_id, CASE WHEN src IS NOT NULL THEN 'success' WHEN table_n
     WHEN table_name = 'returns' THEN 'raw_returns' ELSE '' END AS root_cause_table,
   coalesce(substring(src, instr(src, '.') + 1), '') AS root_cause_column,
   CASE WHEN src = 'raw_hub.weight' THEN 'HIGH' WHEN src IS NOT NULL THEN 'MEDIUM' ELSE 'LOW' END AS root_cause_confidence,
-  coalesce(src = 'raw_hub.weight', false) AS profile_change_detected
+  coalesce(src = 'raw_hub.weight', false) AS profile_change_detected,
+  CASE WHEN src = 'raw_hub.weight' THEN 'Upstream raw_hub.weight profile change detected: null_rate changed'
+    WHEN src IS NOT NULL THEN 'Upstream ' || src || ' is source for violated column ' || split_part(target_columns, ',', 1)
+    WHEN table_name = 'parcels' THEN 'No column lineage available. Upstream tables: raw_orders, raw_hub'
+    WHEN table_name = 'returns' THEN 'No column lineage available. Upstream tables: raw_returns'
+    ELSE 'No upstream lineage information available.' END AS root_cause_description
 FROM (SELECT *, CASE WHEN table_name <> 'parcels' THEN NULL WHEN target_columns = 'weight_kg' THEN 'raw_hub.weight'
   WHEN target_columns = 'status_code' THEN 'raw_orders.status' WHEN target_columns LIKE 'dispatch_time%' THEN 'raw_hub.out_at'
   WHEN target_columns LIKE 'payment_method%' THEN 'raw_orders.pay.kind' END AS src FROM s)""", "s"))
 def root_cause(spark, sf):
-    return lineage.root_causes(suspects(spark, sf, ["table_name"]), lineage_table(spark), upstream_changes(spark, sf)).select(
+    found = materialise(suspects(spark, sf, ["table_name"]), "suspects")
+    return lineage.root_causes(found, lineage_table(spark), upstream_changes(spark, sf)).select(
         "record_id", "rule_id", "root_cause_status", "root_cause_table", "root_cause_column", "root_cause_confidence",
-        "profile_change_detected")
+        "profile_change_detected", "root_cause_description")
 
 
 # --- per record ---------------------------------------------------------------------
@@ -329,11 +340,13 @@ _ROLLUP = """u AS (SELECT record_id, count(*) AS violation_count,
   string_agg(DISTINCT severity, ',' ORDER BY severity) AS severities,
   string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids FROM s GROUP BY record_id)"""
 _DETAIL = _ROLLUP + """, m AS (SELECT record_id, max(rule_id) AS judged_rule_id, max_by(is_error, rule_id) AS is_error,
-  max_by(confidence, rule_id) AS confidence FROM r WHERE cast(record_id AS bigint) % 6 <> 0 GROUP BY record_id),
+  max_by(confidence, rule_id) AS confidence FROM (SELECT record_id, rule_id, is_error, confidence FROM r UNION ALL
+  SELECT 'J' || record_id, rule_id, is_error, confidence FROM r WHERE cast(record_id AS bigint) % 6 = 0) GROUP BY record_id),
 t AS (SELECT coalesce(u.record_id, m.record_id) AS record_id, coalesce(violation_count, 0) AS violation_count, error_types,
   rule_ids, CASE WHEN u.record_id IS NOT NULL AND m.record_id IS NOT NULL THEN 'both' WHEN m.record_id IS NOT NULL THEN 'llm'
   ELSE 'rule' END AS source, coalesce(is_error, u.record_id IS NOT NULL) AS has_error,
-  coalesce(confidence, 'N/A') AS confidence FROM (SELECT * FROM u WHERE cast(record_id AS bigint) % 10 <> 0) u
+  coalesce(confidence, 'N/A') AS confidence FROM (SELECT * FROM u UNION ALL
+  SELECT * REPLACE ('S' || record_id AS record_id) FROM u WHERE cast(record_id AS bigint) % 10 = 0) u
   FULL OUTER JOIN m ON u.record_id = m.record_id)"""
 
 
@@ -347,10 +360,12 @@ def record_rollup(spark, sf):
 
 
 def detail(spark, sf):
-    """Suspects of nine records in ten next to judgments of five in six: every kind of source."""
+    """All suspects and judgments, and for some records a copy that has only one of the two: every kind of source."""
+    def with_copies(df, every, mark):
+        return df.unionByName(df.filter(f"{K} % {every} = 0").withColumn("record_id", F.concat(F.lit(mark), "record_id")))
+
     found = found_once(spark, sf)
-    verdicts = reconciled(spark, sf, found).filter(f"{K} % 6 <> 0")
-    return details.record_detail(found.filter(f"{K} % 10 <> 0"), verdicts).select(
+    return details.record_detail(with_copies(found, 10, "S"), with_copies(reconciled(spark, sf, found), 6, "J")).select(
         "record_id", "violation_count", "error_types", "rule_ids", "source", "has_error", "confidence")
 
 
@@ -375,10 +390,9 @@ def search_any(spark, sf):
 
 @query("search_cells", """SELECT event_id FROM events WHERE cast(event_id AS varchar) LIKE '%4242%' OR
 cast(user_id AS varchar) LIKE '%4242%' OR lower(event_type) LIKE '%4242%' OR cast("value" AS varchar) LIKE '%4242%'
-OR lower(props) LIKE '%4242%'""")
+OR lower(props) LIKE '%4242%' OR cast(ts AS varchar) LIKE '%4242%'""")
 def search_cells(spark, sf):
-    events = table(spark, sf, "events")
-    return sus.rows_matching(events, "4242", ["event_id", "user_id", "event_type", "value", "props"]).select("event_id")
+    return sus.rows_matching(table(spark, sf, "events"), "4242").select("event_id")
 
 
 @query("detail_page", _with(_DETAIL, "SELECT * FROM t ORDER BY t.record_id LIMIT 15 OFFSET 30", "r"))
@@ -434,9 +448,9 @@ round(score, 4) AS health_score, CASE WHEN score >= 0.8 THEN 'healthy' WHEN scor
 FROM (SELECT *, greatest(0.0, least(1.0, 1 - (critical_violation_count + 0.5 * warning_violation_count) / total_scanned))::double AS score
 FROM (SELECT (SELECT count(*) FROM p) AS total_scanned, count(*) FILTER (is_error) AS violation_count,
 count(*) FILTER (is_error AND confidence = 'HIGH') AS critical_violation_count,
-count(*) FILTER (is_error AND confidence <> 'HIGH') AS warning_violation_count FROM r WHERE rule_id LIKE 'R001%'))""", "r"))
+count(*) FILTER (is_error AND confidence <> 'HIGH') AS warning_violation_count FROM r))""", "r"))
 def health_score(spark, sf):
-    return health.health_score(reconciled(spark, sf).filter("rule_id LIKE 'R001%'"), parcel(spark, sf))
+    return health.health_score(reconciled(spark, sf), parcel(spark, sf))
 
 
 @query("dq_report", sql("""SELECT (SELECT count(*) FROM p) AS total_scanned, (SELECT count(*) FROM s) AS total_suspects,
@@ -471,6 +485,16 @@ def whole_run(spark, sf):
         "total_suspects", "total_errors", "high_confidence_errors", "mismatches")
 
 
+@query("empty_run", sql("""SELECT count(*) AS total_scanned, count(*) AS total_suspects, count(*) AS total_errors,
+count(*) AS high_confidence_errors FROM p WHERE record_id IS NULL""", "p"))
+def empty_run(spark, sf):
+    """The whole flow over a table without rows."""
+    data = parcel(spark, sf).filter("record_id IS NULL")
+    found = flow.check(data, DEFAULT_RULES)
+    out = flow.judge(found, stand_in_judge(), AS_OF, reflect=stand_in_judge(flip=13))
+    return flow.report(data, found, out.judgments).select("total_scanned", "total_suspects", "total_errors", "high_confidence_errors")
+
+
 @query("approval_queue", sql("SELECT record_id, rule_id, confidence FROM q", "q"))
 def approval_queue(spark, sf):
     return health.approval_queue(reconciled(spark, sf)).select("record_id", "rule_id", "confidence")
@@ -487,9 +511,9 @@ _FIXED = _CELLS + """, n AS (SELECT record_id, max("value") FILTER (column_name
 PARCEL_OUT = ["record_id", "tracking_id", "weight_kg", "status_code", "road_addr_yn", "cod_amount"]
 
 
-@query("approved_items", sql("SELECT record_id, rule_id, 'kim' AS approved_by FROM a", "a"))
+@query("approved_items", sql(f"SELECT record_id, rule_id, 'kim' AS approved_by, TIMESTAMP '{AS_OF}' AS approved_at FROM a", "a"))
 def approved(spark, sf):
-    return approved_items(spark, sf).select("record_id", "rule_id", "approved_by")
+    return approved_items(spark, sf).select("record_id", "rule_id", "approved_by", F.col("approved_at").cast("timestamp_ntz").alias("approved_at"))
 
 
 @query("approved_all", sql("SELECT record_id, rule_id, 'lee' AS approved_by FROM q", "q"))
@@ -515,8 +539,8 @@ def correction_cells(spark, sf):
     return correct.correction_cells(items).select("record_id", "rule_id", "column_name", "value")
 
 
-def cells(spark, sf):
-    return correct.correction_cells(approved_items(spark, sf))
+def cells(spark, sf, items=None):
+    return correct.correction_cells(approved_items(spark, sf) if items is None else items)
 
 
 @query("apply_corrections", _with(_FIXED, "SELECT p.record_id, tracking_id, " + ", ".join(
@@ -533,15 +557,19 @@ def correction_log(spark, sf):
     return correct.correction_log(parcel(spark, sf), cells(spark, sf), "run-1")
 
 
-@query("audit_log", _with(_CELLS, "SELECT kind, count(*) AS n, count(DISTINCT item_id) AS items FROM (SELECT 'CORRECTION' AS kind, "
-                                  "record_id AS item_id FROM c UNION ALL SELECT DISTINCT 'SNAPSHOT', record_id FROM a) GROUP BY kind", "a"))
+@query("audit_log", _with(_CELLS, "SELECT 'run-1' AS run_id, 'CORRECTION' AS kind, record_id AS item_id, column_name, \"value\" AS corrected, "
+                                  f"NULL AS tracking_id, TIMESTAMP '{AS_OF}' AS created_at FROM c UNION ALL SELECT 'run-1', 'SNAPSHOT', record_id, "
+                                  f"NULL, NULL, tracking_id, TIMESTAMP '{AS_OF}' FROM p WHERE record_id IN (SELECT record_id FROM a)", "a"))
 def audit_log(spark, sf):
     """Corrections and snapshots appended to one audit log."""
-    path, data = fresh_path(spark, "audit"), parcel(spark, sf)
-    log = correct.correction_log(data, cells(spark, sf), "run-1")
+    path, data, items = fresh_path(spark, "audit"), parcel(spark, sf), approved_items(spark, sf)
+    log = correct.correction_log(data, cells(spark, sf, items), "run-1")
     audit_rows(log, "CORRECTION", "run-1", AS_OF).write.mode("append").parquet(path)
-    audit_rows(correct.snapshot(data, approved_items(spark, sf)), "SNAPSHOT", "run-1", AS_OF).write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("items"))
+    audit_rows(correct.snapshot(data, items), "SNAPSHOT", "run-1", AS_OF).write.mode("append").parquet(path)
+    field = F.from_json("data", "column_name string, corrected_value string, tracking_id string")
+    return spark.read.parquet(path).withColumn("d", field).select(
+        "run_id", "kind", "item_id", "d.column_name", F.col("d.corrected_value").alias("corrected"), "d.tracking_id",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 _P_OUT = ", ".join(PARCEL_OUT)
@@ -555,9 +583,9 @@ def snapshot_rows(spark, sf):
 @query("rollback", sql(f"SELECT {_P_OUT} FROM p", "p"))
 def rollback(spark, sf):
     """Corrected, then restored from the snapshot: the table as it was."""
-    data = parcel(spark, sf)
-    saved = correct.snapshot(data, approved_items(spark, sf))
-    return correct.rollback(correct.apply_corrections(data, cells(spark, sf)), saved).select(*PARCEL_OUT)
+    data, items = parcel(spark, sf), approved_items(spark, sf)
+    saved = correct.snapshot(data, items)
+    return correct.rollback(correct.apply_corrections(data, cells(spark, sf, items)), saved).select(*PARCEL_OUT)
 
 
 @query("quarantine_split", sql("SELECT record_id, record_id IN (SELECT record_id FROM a) AS quarantined, tracking_id FROM p", "a"))
@@ -579,11 +607,12 @@ def quarantine_write(spark, sf):
                                            source["weight_kg"].alias("weight_kg"))
 
 
-@query("quarantine_flag", sql("""SELECT record_id, record_id IN (SELECT record_id FROM a) AS _quarantined,
+@query("quarantine_flag", sql(f"""SELECT record_id, record_id IN (SELECT record_id FROM a) AS _quarantined,
+CASE WHEN record_id IN (SELECT record_id FROM a) THEN TIMESTAMP '{AS_OF}' END AS _quarantined_at,
 CASE WHEN record_id IN (SELECT record_id FROM a) THEN 'bad' END AS _quarantine_reason FROM p""", "a"))
 def quarantine_flag(spark, sf):
     return correct.flag_quarantined(parcel(spark, sf), approved_items(spark, sf), "bad", AS_OF).select(
-        "record_id", "_quarantined", "_quarantine_reason")
+        "record_id", "_quarantined", "_quarantine_reason", F.col("_quarantined_at").cast("timestamp_ntz").alias("_quarantined_at"))
 
 
 # --- keyed merges -----------------------------------------------------------------------

@@ -11,8 +11,9 @@ from tamis.session import fresh_path
 
 from .base import parcel, query, sql, table
 
-ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
-ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+ORDERS = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+          "o_orderpriority string")
+ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 ORDERS_SQL = f"SELECT {ORDER_COLS} FROM orders"
 
 
@@ -50,10 +51,10 @@ def scan_json_documents(spark, sf):
     return sources.read_json_documents(spark, path, T.StructType.fromDDL(ORDERS))
 
 
-@query("roundtrip_json", sql("SELECT record_id, tracking_id, weight_kg, address, cod_amount FROM p", "p"))
+@query("roundtrip_json", sql("SELECT * EXCLUDE (road, jibun, kind) FROM p", "p"))
 def roundtrip_json(spark, sf):
     """Missing values and Korean text survive."""
-    data = parcel(spark, sf).select("record_id", "tracking_id", "weight_kg", "address", "cod_amount")
+    data = parcel(spark, sf)
     path = sinks.write_json(data, fresh_path(spark, "jsonl"))
     return sources.read_json_lines(spark, path, data.schema)
 
@@ -65,17 +66,16 @@ def append_union(spark, sf):
     return sources.read_json_lines(spark, path, ORDERS)
 
 
-@query("csv_coerce", sql("""SELECT cast(record_id AS bigint) AS record_id, tracking_id, weight_kg, road_addr_yn, cod_amount,
-dispatch_time, address FROM p""", "p"))
+@query("csv_coerce", sql("""SELECT * EXCLUDE (road, jibun, kind) REPLACE (cast(record_id AS bigint) AS record_id,
+cast(order_date AS varchar) AS order_date) FROM p""", "p"))
 def csv_coerce(spark, sf):
-    data = parcel(spark, sf).select("record_id", "tracking_id", "weight_kg", "road_addr_yn", "cod_amount",
-                                    "dispatch_time", "address")
+    data = parcel(spark, sf).withColumn("order_date", F.col("order_date").cast("string"))
     path = fresh_path(spark, "csv")
     data.write.option("header", True).csv(path)
     return sources.coerce_csv(sources.read_csv_text(spark, path))
 
 
-@query("typed_json_flatten", """SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderkey % 2 = 0 AS paid,
+@query("typed_json_flatten", """SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderkey % 2 = 0 AS paid,
 CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, cast(o_custkey AS varchar) || ',x' AS tags,
 'c' || o_custkey AS city FROM orders""")
 def typed_json_flatten(spark, sf):
@@ -84,7 +84,8 @@ def typed_json_flatten(spark, sf):
         return F.struct(col.cast("string").alias(name))
 
     item = F.struct(
-        tag("N", F.col("o_orderkey")).alias("o_orderkey"), tag("N", F.col("o_totalprice")).alias("o_totalprice"),
+        tag("N", F.col("o_orderkey")).alias("o_orderkey"), tag("N", F.col("o_custkey")).alias("o_custkey"),
+        tag("N", F.col("o_totalprice")).alias("o_totalprice"), tag("S", F.col("o_orderdate")).alias("o_orderdate"),
         tag("S", F.col("o_orderpriority")).alias("o_orderpriority"),
         F.struct((F.expr("o_orderkey % 2 = 0")).alias("BOOL")).alias("paid"),
         F.struct(F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END").alias("S"),
@@ -96,16 +97,16 @@ def typed_json_flatten(spark, sf):
     (orders(spark, sf).select(F.to_json(F.struct(item.alias("Item"))).alias("value")).repartition(4)
      .write.option("compression", "gzip").text(path))
     flat = sources.read_typed_json(
-        spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string, paid boolean, status string, "
+        spark, path, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string, paid boolean, status string, "
                      "tags array<string>, place struct<city:string>", pattern="*.txt.gz")
     return flat.withColumn("tags", F.array_join("tags", ",")).withColumn("city", F.col("place.city")).drop("place")
 
 
-@query("typed_json_inferred", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+@query("typed_json_inferred", f"SELECT * REPLACE (cast(o_orderdate AS varchar) AS o_orderdate) FROM ({ORDERS_SQL})")
 def typed_json_inferred(spark, sf):
     """The same without a declared schema."""
     item = F.struct(*[F.struct(F.col(c).cast("string").alias(t)).alias(c) for c, t in
-                      (("o_orderkey", "N"), ("o_totalprice", "N"), ("o_orderpriority", "S"))])
+                      zip(ORDER_COLS.split(", "), "NNSNSS")])
     path = fresh_path(spark, "export")
     orders(spark, sf).select(F.to_json(item).alias("value")).write.text(path)
     return sources.read_typed_json(spark, path, pattern="*.txt")
@@ -122,7 +123,7 @@ def project_columns(spark, sf):
     return sources.project(orders(spark, sf), ["o_orderkey", "hub_code", "o_orderstatus"])
 
 
-@query("display_columns", "SELECT o_orderstatus, o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders")
+@query("display_columns", ORDERS_SQL)
 def display_columns(spark, sf):
     return sources.display_order(orders(spark, sf), ["o_orderstatus", "missing", "o_orderkey"])
 

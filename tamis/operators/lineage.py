@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
+
 # Weight of a severity; a missing one counts as warning, an unknown one as 1.
 SEVERITY_WEIGHTS = {"critical": 10.0, "warning": 5.0, "info": 1.0}
 
@@ -78,11 +80,14 @@ def root_causes(suspects: DataFrame, lineage: DataFrame, changes: DataFrame) ->
     """The upstream column behind each violation.
 
     Of the columns a violation names, those with column lineage are traced to ``table.column``;
-    one whose profile changed lately beats one that did not, the first named wins ties. Drift is
-    joined to the lineage beforehand, so a suspect needs one join with the catalog and the pick
-    is made inside the row.
+    one whose profile changed lately beats one that did not, the first named wins ties.
+
+    The answer depends on the table and the columns alone. It is found once per such pair, of which there are
+    at most tables times checks, and written, so that Spark knows its size and need not move the suspects.
+    They are read twice: pass them written and read back.
     """
-    found = lookup(suspects, traced_lineage(lineage, changes))
+    keys = ["table_name", "target_columns"]
+    found = lookup(suspects.select(*keys).distinct(), traced_lineage(lineage, changes))
     sources = F.filter(F.transform("target_columns", lambda c: F.try_element_at(F.col("traces"), c)),
                        lambda s: s.isNotNull())
     best = F.coalesce(F.try_element_at(F.filter("_sources", lambda s: s["changed"]), F.lit(1)),
@@ -91,8 +96,8 @@ def root_causes(suspects: DataFrame, lineage: DataFrame, changes: DataFrame) ->
     traced, changed = F.col("_best").isNotNull(), F.coalesce("_best.changed", F.lit(False))
     up = F.size("upstream_tables") > 0
     where = F.concat(F.lit("Upstream "), F.col("_best.source_table"), F.lit("."), F.col("_best.source_column"))
-    return out.select(
-        *suspects.columns,
+    causes = materialise(out.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
         F.when(traced, "success").when(up, "partial").otherwise("no_lineage").alias("root_cause_status"),
         F.coalesce("_best.source_table", F.try_element_at("upstream_tables", F.lit(1)), F.lit(""))
         .alias("root_cause_table"),
@@ -103,4 +108,6 @@ def root_causes(suspects: DataFrame, lineage: DataFrame, changes: DataFrame) ->
         .when(traced, F.concat(where, F.lit(" is source for violated column "), F.col("_best.column")))
         .when(up, F.concat(F.lit("No column lineage available. Upstream tables: "),
                            F.array_join("upstream_tables", ", ")))
-        .otherwise("No upstream lineage information available.").alias("root_cause_description"))
+        .otherwise("No upstream lineage information available.").alias("root_cause_description")), "causes")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return suspects.join(causes, same, "left").drop(*[f"_{k}" for k in keys])

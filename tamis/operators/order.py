@@ -1,98 +1,88 @@
 """Row numbers over a whole table without gathering it in one task.
 
-``row_number()`` over an unpartitioned window sends every row to a single task. Here the
-order key is cut into ranges first: bounds come from a bounded sample, counting rows per range
-gives each range its offset, and rows are numbered inside their range. A key that fills a
-range or more by itself is cut out of its neighbours and dealt over many parts, as the order
-among equal keys is free.
+``row_number()`` over an unpartitioned window sends every row to a single task. Here the rows are written in key
+order, cut into ranges by Spark's range partitioning: a row's number is then its place in its range plus the rows
+of the ranges before. A tie-breaker of the rows' own splits a key that fills a range or more by itself, as the order
+among equal keys is free. It is written before the rows are dealt, so that a repeated task deals them alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
-SAMPLE_PER_RANGE = 40
-PART = ["_range", "_part"]
-
-
-def _range_of(key_columns, bounds, low=0) -> Column:
-    """Binary search over literal bounds. A bound is (key, after): rows up to the key, or up to
-    and including it when ``after``, are below."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    values, after = bounds[mid]
-    below = F.lit(after)
-    for name, value in reversed(list(zip(key_columns, values))):
-        col, value = F.col(name), F.lit(value)
-        below = (col < value) | ((col == value) & below)
-    return (F.when(below, _range_of(key_columns, bounds[:mid], low))
-            .otherwise(_range_of(key_columns, bounds[mid + 1:], low + mid + 1)))
-
-
-def _bounds(df: DataFrame, key_columns, ranges: int):
-    """(bounds, numbers of the ranges that hold one hot key)."""
-    # A random sample of fixed size: rows, not keys, so a hot key shows as often as it occurs.
-    sample = df.select(*key_columns).orderBy(F.rand(7)).limit(ranges * SAMPLE_PER_RANGE).collect()
-    points = sorted(tuple(r) for r in sample)
-    step = max(1, len(points) // ranges)
-    picked = points[step::step][:ranges - 1]
-    bounds, hot = [], []
-    for key in sorted(set(picked)):
-        bounds.append((key, False))
-        if picked.count(key) > 1:
-            hot.append(len(bounds))
-            bounds.append((key, True))
-    return bounds, hot
-
-
-def _tagged(df: DataFrame, key_columns, ranges: int):
-    """(df with its range and part, rows per range and part); the counts are bounded by ``ranges``."""
-    bounds, hot = _bounds(df, key_columns, ranges)
-    tagged = df.withColumn("_range", _range_of(key_columns, bounds)).withColumn("_part", F.lit(0))
-    if hot:
-        # Dealing at random must not be redone differently when a task runs again: write it down.
-        tagged = materialise(tagged.withColumn("_part", F.when(
-            F.col("_range").isin(hot), (F.rand() * ranges).cast("int")).otherwise(0)), "dealt")
-    counted = tagged.groupBy(*PART).agg(F.count("*").alias("n")).collect()
-    return tagged, sorted((r["_range"], r["_part"], r["n"]) for r in counted)
-
-
-def _numbered(tagged, key_columns, counts, first=None, last=None) -> DataFrame:
-    """Number the rows; with first and last, only the parts that reach into them."""
+#: monotonically_increasing_id() holds the partition above this bit and the place within it below.
+PLACE_BITS = 33
+TIE, AT, PART, START = "_order_tie", "_order_at", "_order_part", "_order_start"
+
+
+def _placed(df: DataFrame, key_columns, ranges: int | None):
+    """(the rows in key order with their place, [(range, rows in it)]); a count per range comes to the driver.
+
+    There are as many ranges as the input had partitions, unless ``ranges`` says otherwise.
+    """
+    rows = materialise(df.withColumn(TIE, F.monotonically_increasing_id()), "rows")
+    ranges = ranges or max(1, len(rows.inputFiles()))
+    keys = [*key_columns, TIE]
+    placed = materialise(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop(TIE)
+                         .withColumn(AT, F.monotonically_increasing_id()), "placed")
+    counted = placed.groupBy(F.shiftright(AT, PLACE_BITS).cast("int").alias("part")).agg(F.count("*").alias("n")).collect()
+    return placed, sorted((r["part"], r["n"]) for r in counted)
+
+
+def _numbered(placed: DataFrame, counts, first=None, last=None) -> DataFrame:
+    """Number the rows; with first and last, only the ranges that reach into them are read."""
     keep, offset = [], 0
-    for rng, part, n in counts:
+    for part, n in counts:
         if first is None or (offset < last and offset + n >= first):
-            keep.append((rng, part, offset))
+            keep.append((part, offset))
         offset += n
     if not keep:
-        return tagged.limit(0).withColumn("row_no", F.lit(0).cast("long")).drop(*PART)
-    starts = tagged.sparkSession.createDataFrame(keep, "_range int, _part int, _start long")
-    within = F.row_number().over(Window.partitionBy(*PART).orderBy(*key_columns))
-    # A row per range and part, so this side is small; parts outside the page drop out here.
-    return (tagged.join(F.broadcast(starts), PART)
-            .withColumn("row_no", F.col("_start") + within).drop(*PART, "_start"))
+        return placed.limit(0).withColumn("row_no", F.lit(0).cast("long")).drop(AT)
+    starts = placed.sparkSession.createDataFrame(keep, f"{PART} int, {START} long")
+    if first is not None:  # places grow through the files, so their bounds let Spark skip most of them
+        placed = placed.filter(F.col(AT).between(keep[0][0] << PLACE_BITS, ((keep[-1][0] + 1) << PLACE_BITS) - 1))
+    within = F.col(AT).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    # A row per range, so this side is small.
+    return (placed.withColumn(PART, F.shiftright(AT, PLACE_BITS).cast("int")).join(F.broadcast(starts), PART)
+            .withColumn("row_no", F.col(START) + within).drop(PART, START, AT))
 
 
-def number_rows(df: DataFrame, key_columns, ranges: int = 200) -> DataFrame:
-    """Add ``row_no`` 1..n in key order. Key columns must not be NULL; equal keys come in any order."""
-    tagged, counts = _tagged(df, key_columns, ranges)
-    return _numbered(tagged, key_columns, counts)
+def number_rows(df: DataFrame, key_columns, ranges: int | None = None) -> DataFrame:
+    """Add ``row_no`` 1..n in key order, NULLs first; equal keys come in any order. Keys may be columns such as ``F.desc("x")``."""
+    return _numbered(*_placed(df, key_columns, ranges))
 
 
-def page(df: DataFrame, key_columns, size: int, index: int, ranges: int = 200) -> DataFrame:
-    """Slice ``index`` of ``ceil(n / size)`` slices in key order; other ranges are never sorted."""
-    tagged, counts = _tagged(df, key_columns, ranges)
+def page(df: DataFrame, key_columns, size: int, index: int, ranges: int | None = None) -> DataFrame:
+    """Slice ``index`` of ``ceil(n / size)`` slices in key order, at the same cost however deep it lies."""
+    placed, counts = _placed(df, key_columns, ranges)
     first, last = index * size + 1, (index + 1) * size
-    total = sum(n for _, _, n in counts)
-    return (_numbered(tagged, key_columns, counts, first, last)
+    total = sum(n for _, n in counts)
+    return (_numbered(placed, counts, first, last)
             .filter(F.col("row_no").between(first, last))
             .withColumn("total_count", F.lit(total).cast("long"))
             .withColumn("chunk_count", F.lit(-(-total // size)).cast("long")))
 
 
 def sorted_page(df: DataFrame, order_by, size: int, index: int) -> DataFrame:
-    """A page for display: Spark keeps only the first rows of each task and merges them."""
-    return df.orderBy(*order_by).offset(index * size).limit(size)
+    """A page for display, in order. No task and no driver holds the rows before it."""
+    return page(df, order_by, size, index).orderBy("row_no").drop("row_no", "total_count", "chunk_count")
+
+
+def _beyond(key_columns, after) -> Column:
+    out = F.lit(False)
+    for name, value in reversed(list(zip(key_columns, after))):
+        col = F.col(name)
+        more = col.isNotNull() if value is None else F.coalesce(col > F.lit(value), F.lit(False))
+        out = more | (col.eqNullSafe(F.lit(value)) & out)
+    return out
+
+
+def page_after(df: DataFrame, key_columns, size: int, after=None) -> DataFrame:
+    """The next ``size`` rows in ascending key order after the key ``after`` (None: the first ones), NULLs first.
+
+    Nothing is written, and each task keeps ``size`` rows. Keys should be unique: rows equal to ``after`` are passed over.
+    """
+    rows = df if after is None else df.filter(_beyond(key_columns, after))
+    return rows.orderBy(*key_columns).limit(size)

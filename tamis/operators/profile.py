@@ -83,19 +83,21 @@ def _column_stats(df: DataFrame, columns, approx: bool, group: str | None) -> Da
             aggs += [F.min(text).alias(f"tlo{i}"), F.max(text).alias(f"thi{i}")]
         if approx:
             aggs.append(F.approx_count_distinct(col, 0.02).alias(f"u{i}"))
-        lo, hi = (cells.float_text(F.col(f"{x}{i}")) if numeric else F.lit(None) for x in ("lo", "hi"))
-        if not cells.is_numeric(dtype):  # text bounds only when nothing reads as a number
-            lo, hi = (F.coalesce(x, F.col(f"{y}{i}").cast("string")) for x, y in ((lo, "tlo"), (hi, "thi")))
+        lo, hi = (F.col(f"{x}{i}") if numeric else F.lit(None).cast("double") for x in ("lo", "hi"))
+        tlo, thi = (F.lit(None).cast("string") if cells.is_numeric(dtype) else F.col(f"{x}{i}").cast("string") for x in ("tlo", "thi"))
         rows.append(F.struct(
             F.lit(i).alias("pos"), F.lit(name).alias("column_name"), F.col("total").alias("total_count"),
-            F.col(f"p{i}").alias("present"), lo.cast("string").alias("min_value"), hi.cast("string").alias("max_value"),
+            F.col(f"p{i}").alias("present"), lo.alias("lo"), hi.alias("hi"), tlo.alias("tlo"), thi.alias("thi"),
             (F.round(F.col(f"m{i}"), 4) if numeric else F.lit(None).cast("double")).alias("mean_value"),
             (F.when(F.col(f"k{i}") >= 2, F.round(F.col(f"d{i}"), 4)) if numeric
              else F.lit(None).cast("double")).alias("stddev_value"),
             *([F.col(f"u{i}").alias("unique_count")] if approx else [])))
     grouped = df.groupBy(group) if group else df
     keep = [group] if group else []
-    return grouped.agg(F.count("*").alias("total"), *aggs).select(*keep, F.inline(F.array(*rows)))
+    # Text bounds only when nothing reads as a number. Numbers are printed once per column, after the rows are made.
+    return (grouped.agg(F.count("*").alias("total"), *aggs).select(*keep, F.inline(F.array(*rows)))
+            .withColumn("min_value", F.coalesce(cells.float_text(F.col("lo")), F.col("tlo")))
+            .withColumn("max_value", F.coalesce(cells.float_text(F.col("hi")), F.col("thi"))).drop("lo", "hi", "tlo", "thi"))
 
 
 def _rates(stats: DataFrame, keep=()) -> DataFrame:
@@ -139,15 +141,24 @@ def profile_groups(df: DataFrame, group: str, columns) -> DataFrame:
     return _rates(_column_stats(df, list(columns), True, group), [group])
 
 
-def key_presence(records: DataFrame, column: str = "v") -> DataFrame:
-    """Per key of raw JSON records (a variant column): rows that have it, and those where it is null.
+def key_presence(records: DataFrame, column: str = "v", top_n: int = 5) -> DataFrame:
+    """Per key of raw JSON records (a variant column): rows that have it, those where it is null, distinct and top values.
 
-    A DataFrame cannot tell a missing key from a null one, so this reads the records themselves.
+    A DataFrame cannot tell a missing key from a null one, so this reads the records themselves. Values are counted
+    map-side first, and of the counts ``top_n`` per key leave each task.
     """
     cells = F.explode(F.try_variant_get(F.col(column), "$", "map<string,variant>")).alias("column_name", "cell")
-    return (records.select(cells).groupBy("column_name")
-            .agg(F.count("*").alias("total_count"),
-                 F.count_if(F.col("cell").isNull() | F.is_variant_null("cell")).alias("null_count"))
+    counted = (records.select(cells).select("column_name", F.try_variant_get("cell", "$", "string").alias("value"))
+               .groupBy("column_name", "value").agg(F.count("*").alias("n")))
+    stats = counted.groupBy("column_name").agg(
+        F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("distinct_count"))
+    by = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    top = (counted.filter(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n)
+           .groupBy("column_name")  # at most top_n rows per key
+           .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))),
+                            lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top_values")))
+    return (stats.join(top, "column_name", "left")
             .withColumn("null_rate", F.round(F.col("null_count") / F.col("total_count"), 6)))
 
 

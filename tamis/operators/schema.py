@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import cells
+from ..plans.rules import Rule, rules_df, rules_from_df
 from .profile import _name_of, _present, value_counts
 
 # Name parts that mark a time column.
@@ -74,6 +75,19 @@ def cached_rules(cache: DataFrame, fingerprint: Column | str, as_of, ttl_seconds
     return cache.filter((F.col("fingerprint") == key) & (age <= ttl_seconds))
 
 
+def rule_cache_entries(spark: SparkSession, rules, fingerprint: str, written_at) -> DataFrame:
+    """A rule set as rows to append to the cache, under the fingerprint of the schema it was made for."""
+    return (rules_df(spark, rules).withColumn("fingerprint", F.lit(fingerprint))
+            .withColumn("cached_at", F.lit(written_at).cast("timestamp")))
+
+
+def newest_rules(cache: DataFrame, fingerprint: str, as_of, ttl_seconds: int = 3600) -> list[Rule] | None:
+    """The rule set stored last for a schema fingerprint; None if there is none, or only older ones."""
+    live = cached_rules(cache, fingerprint, as_of, ttl_seconds)
+    newest = live.agg(F.max("cached_at").alias("t")).head()["t"]
+    return None if newest is None else rules_from_df(live.filter(F.col("cached_at") == F.lit(newest)))
+
+
 def key_candidates(df: DataFrame, columns=None) -> DataFrame:
     """Rows, present and distinct values per column, in the order a record key is looked for.
 

@@ -227,6 +227,9 @@ def conditional_checks(rule: Rule, table: Table) -> list[Check]:
         applies = table.member(when_name, cond.get("when_values", []))
         if op in ("eq", "neq", "gt", "gte", "lt", "lte"):
             bad = ~table.compare(check_name, op, value)
+        elif op in ("contains", "contains_column"):
+            wanted = F.lit(str(value)) if op == "contains" else table.text(str(value))
+            bad = F.coalesce(~F.contains(table.text(check_name), wanted), F.lit(False))  # nothing to look in, or for: no violation
         elif op == "neq_column":
             bad = F.coalesce(table.text(check_name) == table.text(str(value)), F.lit(False))
         else:
@@ -240,8 +243,6 @@ def conditional_checks(rule: Rule, table: Table) -> list[Check]:
 
 def differ_checks(rule: Rule, table: Table) -> list[Check]:
     """Two columns that should differ (or agree) with each other."""
-    if rule.params.get("check_type") != "equality":
-        return []
     a, b = rule.target_columns[:2]
     both = table.col(a).isNotNull() & table.col(b).isNotNull()
     same = F.coalesce(table.text(a) == table.text(b), F.lit(False))
@@ -251,6 +252,25 @@ def differ_checks(rule: Rule, table: Table) -> list[Check]:
                   f"{a} {'!=' if differ else '=='} {b}", rule.severity)]
 
 
+def predicate_checks(rule: Rule, table: Table) -> list[Check]:
+    """A test of the user's own: ``condition`` is text, ``predicate`` a function of the typed table that gives a boolean Column.
+
+    Rows for which it holds violate; NULL does not.
+    """
+    if callable(rule.params.get("predicate")):
+        bad, text = rule.params["predicate"](table), rule.description or "custom predicate"
+    elif rule.params.get("condition"):
+        from .conditions import condition_column
+
+        text = rule.params["condition"]
+        bad = condition_column(text, T.StructType([T.StructField(k, v) for k, v in table.types.items()]), rule.target_columns)
+    else:
+        return []
+    names = list(dict.fromkeys(rule.target_columns))
+    return [Check(rule, names, F.coalesce(bad, F.lit(False)), F.lit(True), [(n, table.text(n)) for n in names],
+                  rule.params.get("reason", text), rule.severity)]
+
+
 def compile_rule(rule: Rule, table: Table) -> list[Check]:
     """The error type picks the family; only the cross-column family looks at the tool name."""
     if rule.error_type == "out_of_range":
@@ -259,6 +279,8 @@ def compile_rule(rule: Rule, table: Table) -> list[Check]:
         return format_checks(rule, table)
     if rule.error_type == "temporal_violation":
         return temporal_checks(rule, table)
+    if rule.validation_tool == "custom_check" and rule.params.get("check_type") != "equality":
+        return predicate_checks(rule, table)
     if len(rule.target_columns) < 2:
         return []
     if rule.validation_tool in ADDRESS_TOOLS:

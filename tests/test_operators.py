@@ -138,6 +138,23 @@ def test_no_key_when_values_repeat_or_miss(spark):
     assert schema.detect_key(df).filter("is_key").count() == 0
 
 
+def test_key_presence(spark):
+    lines = ['{"a": 1, "b": null}', '{"a": 1}', '{"a": "x", "b": {"c": 2}}', '{}']
+    records = spark.createDataFrame([(x,) for x in lines], "s string").select(F.parse_json("s").alias("v"))
+    got = {r["column_name"]: r for r in profile.key_presence(records, top_n=1).collect()}
+    assert {k: (r["total_count"], r["null_count"], r["distinct_count"]) for k, r in got.items()} == {"a": (3, 0, 2), "b": (2, 1, 1)}
+    assert [tuple(x) for x in got["a"]["top_values"]] == [("1", 2)] and [tuple(x) for x in got["b"]["top_values"]] == [('{"c":2}', 1)]
+
+
+def test_rule_cache_round_trip(spark):
+    from tamis.plans import DEFAULT_RULES
+
+    cache = schema.rule_cache_entries(spark, DEFAULT_RULES[:2], "f", "2024-01-02 00:00:00").unionByName(
+        schema.rule_cache_entries(spark, DEFAULT_RULES, "f", "2024-01-02 00:30:00"))
+    assert sorted(schema.newest_rules(cache, "f", "2024-01-02 01:00:00"), key=str) == sorted(DEFAULT_RULES, key=str)
+    assert schema.newest_rules(cache, "f", "2024-01-03 00:00:00") is None and schema.newest_rules(cache, "g", "2024-01-02 01:00:00") is None
+
+
 def test_rule_cache_age(spark):
     df = spark.createDataFrame([("f", at(2)), ("f", at(1)), ("g", at(2))], "fingerprint string, cached_at timestamp")
     assert schema.cached_rules(df, "f", "2024-01-02 01:00:00").count() == 1
@@ -158,8 +175,35 @@ def test_row_numbers(spark, hot):
 
 def test_hot_key_is_dealt_over_parts(spark):
     df = spark.createDataFrame([(i,) for i in range(1000)] + [(5,)] * 1000, "a int")
-    _, counts = order._tagged(df, ["a"], 10)
-    assert max(n for _, _, n in counts) < 300
+    _, counts = order._placed(df, ["a"], 10)
+    assert sum(n for _, n in counts) == 2000 and max(n for _, n in counts) < 400
+    assert [r["row_no"] for r in order.number_rows(df.filter("a < 0"), ["a"]).collect()] == []
+
+
+def test_missing_keys_come_first_and_keys_may_descend(spark):
+    data = [(None,), (3,), (None,), (1,), (2,)]
+    df = spark.createDataFrame(data, "a int").repartition(2)
+    for key, want in ((F.col("a"), [None, None, 1, 2, 3]), (F.desc("a"), [3, 2, 1, None, None])):
+        got = sorted(order.number_rows(df, [key], ranges=3).collect(), key=lambda r: r["row_no"])
+        assert [r["a"] for r in got] == want
+
+
+def test_pages_for_display_hold_no_earlier_rows(spark):
+    df = spark.range(1000).repartition(4)
+    deep = order.sorted_page(df, ["id"], 10, 90)
+    assert [r["id"] for r in deep.collect()] == list(range(900, 910))
+    assert "limit=910" not in plan(deep)
+    rows_, after, seen = df.select(F.when(F.col("id") >= 3, F.col("id")).alias("k"), "id"), None, []
+    for _ in range(4):
+        page = order.page_after(rows_, ["k", "id"], 2, after).collect()
+        seen += [r["id"] for r in page]
+        after = tuple(page[-1])
+    assert seen == list(range(8))
+
+
+def test_ranges_follow_the_input(spark):
+    placed, counts = order._placed(spark.range(0, 900, 1, 7), ["id"], None)
+    assert len(counts) == 7
 
 
 def test_pages_cover_the_table(spark):
@@ -371,6 +415,15 @@ def test_root_causes(spark, catalog):
 
 # --- results, health, corrections ---------------------------------------------
 
+def test_causes_are_found_per_pair_not_per_suspect(spark, catalog):
+    changes = spark.createDataFrame([], "table_name string, column_name string, change string, changed boolean")
+    df = found_in(spark, *[("info", "t", ["x"])] * 50, ("info", None, ["x"]))
+    text = plan(lineage.root_causes(df, catalog, changes))
+    assert "SortMergeJoin" not in text and "hashpartitioning(table_name" not in text
+    got = lineage.root_causes(df, catalog, changes).groupBy("root_cause_status").count().collect()
+    assert {r[0]: r[1] for r in got} == {"success": 50, "no_lineage": 1}
+
+
 def test_record_detail(spark):
     found = spark.createDataFrame([("1", "A", "t1", "info"), ("1", "B", "t2", "info"), ("2", "A", "t1", "critical")],
                                   "record_id string, rule_id string, error_type string, severity string")

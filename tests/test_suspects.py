@@ -146,6 +146,22 @@ def test_columns_that_should_differ(parcels):
     assert ids(sus.find_suspects(parcels, [rule]), "true") == [NUMBER["to oneself"]]
 
 
+def test_custom_checks(spark):
+    df = spark.createDataFrame([("1", "hub A", "A"), ("2", "hub B", "A"), ("3", None, "A"), ("4", "hub C", None)], "record_id string, x string, y string")
+
+    def found(tool, params):
+        rule = Rule("C", "cross_column_inconsistency", ("x", "y"), tool, params)
+        return [r["record_id"] for r in sus.find_suspects(df, [rule]).orderBy("record_id").collect()]
+
+    within = {"when_column": "y", "when_values": ["A"], "check_column": "x", "check_op": "contains", "check_value": "hub A"}
+    assert found("value_condition", {"conditions": [within]}) == ["2"]
+    assert found("value_condition", {"conditions": [within | {"check_op": "contains_column", "check_value": "y"}]}) == ["2"]
+    assert found("custom_check", {"condition": "x == None OR y == None"}) == ["3", "4"]
+    assert found("custom_check", {"predicate": lambda t: ~t.text("x").contains("A")}) == ["2", "4"]
+    bad = Rule("B", "cross_column_inconsistency", ("x", "y"), "custom_check", {"condition": "x.strip() == y"})
+    assert [i for i, _ in rule_errors([bad], df.schema)] == ["B"]
+
+
 def test_address_flag_with_missing_values(spark):
     rule = Rule("A", "cross_column_inconsistency", ("address", "flag"), "address_classify")
     df = spark.createDataFrame([("1", None, 1), ("2", "", 1), ("3", "테헤란로 152", None), ("4", "역삼동 8", 0)],
