@@ -257,8 +257,7 @@ def detect_key(spark, sf):
 def record_id_added(spark, sf):
     """Find the key, then use it as the record id."""
     df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey")
-    key = schema.detect_key(df).filter("is_key").head()
-    return schema.with_record_id(df, key["column_name"] if key else None)
+    return schema.with_record_id(df, schema.find_key(df))
 
 
 @query("rule_cache_lookup", f"""

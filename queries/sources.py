@@ -75,6 +75,21 @@ def csv_coerce(spark, sf):
     return sources.coerce_csv(sources.read_csv_text(spark, path))
 
 
+_RAGGED = """concat(CASE WHEN c_custkey % 11 = 1 THEN '' ELSE concat(cast(c_custkey AS string), ',') END, c_name, ',', c_mktsegment,
+  CASE WHEN c_custkey % 11 = 0 THEN ',more,"cells"' ELSE '' END)"""
+
+
+@query("csv_ragged", f"""SELECT CASE WHEN good THEN cast(c_custkey AS varchar) END AS c_custkey, CASE WHEN good THEN c_name END AS c_name,
+CASE WHEN good THEN c_mktsegment END AS c_mktsegment, CASE WHEN NOT good THEN {_RAGGED} END AS record
+FROM (SELECT *, c_custkey % 11 > 1 AS good FROM customer)""")
+def csv_ragged(spark, sf):
+    """Records with a cell too few or too many are kept aside as text."""
+    path = fresh_path(spark, "csv")
+    lines = table(spark, sf, "customer").select(F.expr(_RAGGED).alias("c_custkey,c_name,c_mktsegment"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)  # the lines as they are
+    return sources.read_csv_text(spark, path, keep_bad_records=True).withColumnRenamed("_corrupt_record", "record")
+
+
 @query("typed_json_flatten", """SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderkey % 2 = 0 AS paid,
 CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, cast(o_custkey AS varchar) || ',x' AS tags,
 'c' || o_custkey AS city FROM orders""")

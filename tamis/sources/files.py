@@ -27,13 +27,23 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_csv_text(spark: SparkSession, path: str, line_breaks_in_cells: bool = False) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, line_breaks_in_cells: bool = False, keep_bad_records: bool = False) -> DataFrame:
     """CSV with a header, every cell as text, empty cells NULL (a leading BOM is dropped by Spark).
 
-    Quoted line breaks need whole files as tasks; without them files are split.
+    A record with more or fewer cells than the header fails the read, or is kept in ``_corrupt_record`` with all
+    cells NULL. So does a quoted line break, unless ``line_breaks_in_cells``: then whole files are tasks; without it
+    files are split.
     """
-    return (spark.read.option("header", True).option("multiLine", line_breaks_in_cells)
-            .option("escape", '"').csv(path))
+    reader = spark.read.option("header", True).option("multiLine", line_breaks_in_cells).option("escape", '"')
+    names = reader.csv(path).columns
+    # With pruning Spark parses the wanted cells only, and a wrong number of them goes unseen.
+    reader = reader.option("columnPruning", False)
+    cells = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if not keep_bad_records:
+        return reader.schema(cells).option("mode", "FAILFAST").csv(path)
+    read = (reader.schema(T.StructType([*cells.fields, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return read.select(*[F.when(F.col(CORRUPT).isNull(), F.col(f"`{n}`")).alias(n) for n in names], CORRUPT)
 
 
 def coerce_csv(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:

@@ -130,12 +130,13 @@ def test_fingerprint_like_hashlib(spark):
 def test_detect_key(spark, columns, key):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], columns)
     chosen = [r["column_name"] for r in schema.detect_key(df).filter("is_key").collect()]
-    assert chosen == ([key] if key else [])
+    assert chosen == ([key] if key else []) and schema.find_key(df) == key
 
 
 def test_no_key_when_values_repeat_or_miss(spark):
     df = spark.createDataFrame([(1, None), (1, 2)], "id int, x int")
-    assert schema.detect_key(df).filter("is_key").count() == 0
+    assert schema.detect_key(df).filter("is_key").count() == 0 and schema.find_key(df) is None
+    assert schema.find_key(df.limit(0)) is None
 
 
 def test_key_presence(spark):

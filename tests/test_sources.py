@@ -35,6 +35,15 @@ def test_json_array_and_object(spark, tmp_path):
     assert rows(sources.read_json_documents(spark, d, "a int")) == [(1,), (2,), (3,)]
 
 
+def test_ragged_csv_fails_or_is_kept(spark, tmp_path):
+    d = write(tmp_path / "a" / "x.csv", 'id,n\n1,a\n2,b,c\n3\n4,"d\ne"\n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        sources.read_csv_text(spark, d).select("id").collect()
+    kept = sources.read_csv_text(spark, d, line_breaks_in_cells=True, keep_bad_records=True).collect()
+    assert [(r["id"], r["n"]) for r in kept] == [("1", "a"), (None, None), (None, None), ("4", "d\ne")]
+    assert [r["_corrupt_record"] for r in kept] == [None, "2,b,c", "3", None]
+
+
 def test_csv_with_bom_quotes_and_mixed_cells(spark, tmp_path):
     d = write(tmp_path / "a" / "x.csv", '﻿id,n,f,t,e\n1, 7 ,1.5,"a,""b""",\n2,1_000,3,5,\n')
     df = sources.coerce_csv(sources.read_csv_text(spark, d))
