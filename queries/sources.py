@@ -212,6 +212,25 @@ def stream_dedup(spark, sf):
     return drain(found).select("record_id", "rule_id", "severity")
 
 
+@query("stream_dedup_late", f"""WITH s AS ({_EVENT_SUSPECTS}), e AS (SELECT cast(event_id AS varchar) AS id,
+  ts <= (SELECT max(ts) FROM events) - INTERVAL 4 DAY AS forgotten FROM events)
+SELECT record_id, rule_id, severity, CASE WHEN forgotten THEN 2 ELSE 1 END AS times FROM s JOIN e ON id = record_id""")
+def stream_dedup_late(spark, sf):
+    """A watermark of two days, and every event three times: as it is, again unchanged, and 60 days on.
+
+    The second copies are late or known. Of the third, those come out again whose first copy has left the state: it is kept
+    for two days of event time, and the watermark is two days behind the last event.
+    """
+    events, source = table(spark, sf, "events"), fresh_path(spark, "events")
+    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    for days in (0, 0, 60):
+        events.withColumn("ts", F.col("ts") + F.make_interval(days=F.lit(days))).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        found = streaming.stream_suspects_once(stream, EVENT_RULES, "event_id", "ts", "2 days")
+        streaming.write_stream(found, out, state).awaitTermination()
+    return spark.read.parquet(out).groupBy("record_id", "rule_id", "severity").agg(F.count("*").cast("int").alias("times"))
+
+
 @query("change_feed", """SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'INSERT' ELSE 'MODIFY' END AS event_name
 FROM events WHERE event_id % 3 <> 2""")
 def change_feed(spark, sf):
