@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain import rows
 from parcels import NUMBER, SCHEMA, SOUND, TOTAL, records
 from tamis import flow
 from tamis.operators.reconcile import rule_pattern_keys

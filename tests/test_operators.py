@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain import rows
 from parcels import SCHEMA, TOTAL, records
 from tamis.operators import correct, details, health, judge, lineage, order, profile, reconcile, schema
 from tamis.operators import suspects as sus

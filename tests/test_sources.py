@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from parcels import SCHEMA, records
-from conftest import rows
+from plain import rows
 from tamis import sinks, sources, streaming
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import DEFAULT_RULES

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain import rows
 from parcels import NUMBER, SCHEMA, TOTAL, expected, records
 from tamis.functions.cells import DEFAULT_TIME_FORMATS
 from tamis.operators import suspects as sus
