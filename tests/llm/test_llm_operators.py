@@ -251,6 +251,21 @@ def test_language_model(odd, odd_rows, nothing, docs, doc_rows):
     assert len(untaught) == odd.count() and all(r["n_known"] == 0 and r["score"] <= 0 for r in untaught)
 
 
+def test_rare_contexts_have_restaurants(spark):
+    """Pairs of words far below a share of 1/10000 are learnt: the second follows the first alone."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(4000):
+        x = int(rng.integers(0, 12_000))
+        rows.append((i, " ".join(f"a{y} b{y}" for y in [(x + 577 * j) % 12_000 for j in range(6)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.repartition(3)
+    scored = score_texts(texts, F.col("doc_id") % 10 != 0).filter("NOT trained AND n_known = n_tokens").agg(F.sum("score"), F.sum("n_tokens"), F.count("*")).first()
+    assert scored[2] > 20 and scored[0] / scored[1] > -2.9, tuple(scored)  # by the parent alone about -3.9 a word
+    again = score_texts(df.repartition(7), F.col("doc_id") % 10 != 0).select("doc_id", "score").collect()
+    assert sorted(tuple(r) for r in again) == sorted(tuple(r) for r in score_texts(texts, F.col("doc_id") % 10 != 0).select("doc_id", "score").collect())
+
+
 # --- the queries -----------------------------------------------------------------------------------
 
 def test_there_is_a_query_for_every_operator():
