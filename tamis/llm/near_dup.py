@@ -10,8 +10,8 @@ members still belong to different groups go on, those with the same largest grou
 are compared with the members outside it; then, round by round, members outside it are compared with all members of other
 groups and leave. A task holds some of these leaders with their sets and streams the other members past them, so no bucket is ever
 expanded into its pairs, and yet no pair of different groups that share a bucket goes untested. In these rounds a pair is
-compared by size and signature first and by the full sets only if the signatures agree in 0.7 of the places or
-more (4 standard deviations below 0.8). Groups are found by alternating large-star and small-star steps on tables in
+compared by size and signature first and by the full sets only if the signatures agree in as many places as a similarity 0.2 below
+the wanted one would give (for 0.8: 0.6 of 200 places, which a true pair misses with a chance of 2e-11). Groups are found by alternating large-star and small-star steps on tables in
 the shared folder.
 
 Defined results: texts without words, null and empty ones, have no shingles and are linked with nothing; rows of the same
@@ -30,7 +30,7 @@ from .common import U64, chain, find_words, materialise, mix, partitions, slices
 BANDS, ROWS = 40, 5
 DRAWN, LEADERS = 32, 2048  # held at once for the buckets of a largest group
 SALT = 256  # members of a leader, or of those buckets, that one task compares
-LIKELY = 0.7  # of the places, to compare full sets
+SLACK = 20  # percent of the places that a signature may be short of the wanted similarity, for full sets to be compared
 CHUNK = 1 << 17  # shingles that are ranked at once
 LOW = U64((1 << 48) - 1)
 
@@ -200,7 +200,7 @@ def _compared(members: DataFrame, leaders: DataFrame, store: DataFrame, percent:
                 for lead_rep, lead_group, lead_n, lead_places, lead_sets in held:
                     for k in range(i, j):
                         y = np.flatnonzero((lead_group != group[k]) & (100 * np.minimum(n[k], lead_n) >= percent * np.maximum(n[k], lead_n)))
-                        for y in y[(lead_places[y] == places[k]).mean(axis=1) >= LIKELY].tolist():
+                        for y in y[100 * (lead_places[y] == places[k]).sum(axis=1) >= (percent - SLACK) * places.shape[1]].tolist():
                             if _similar(sets[k], lead_sets[y], percent):
                                 found.append((int(rep[k]), int(lead_rep[y])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([max(x) for x in found], pa.int64()), "b": pa.array([min(x) for x in found], pa.int64())})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.decontaminate import decontaminate, find_contamination
 from tamis.llm.language_model import score_texts
-from tamis.llm.near_dup import components, drop_near_duplicates, near_duplicates, super_minhash
+from tamis.llm.near_dup import _compared, components, drop_near_duplicates, near_duplicates, super_minhash
 from tamis.llm.packing import fill, pack, pack_lengths
 from tamis.llm.pii import KINDS, find_pii, fit_pii, redact
 from tamis.llm.quality import fit_quality, score_quality
@@ -124,6 +124,16 @@ def test_a_group_without_a_centre_is_found(spark):
     assert drop_near_duplicates(df, 2).columns == df.columns
 
 
+def test_alike_sets_are_compared_though_their_signatures_differ_more(spark):
+    """A pair of similarity 0.8 whose signatures agree in 130 of 200 places, as chance has it now and then."""
+    x, places = np.arange(90, dtype="<u8"), np.arange(200, dtype=np.uint8)
+    other = np.where(np.arange(200) < 130, places, places + 100).astype(np.uint8)
+    store = spark.createDataFrame([(1, 90, bytearray(places.tobytes()), bytearray(x.tobytes())), (2, 90, bytearray(other.tobytes()), bytearray((x + 10).astype("<u8").tobytes()))],
+                                  "rep long, n long, places binary, shingles binary")
+    of = lambda i: spark.createDataFrame([(7, i, i)], "key long, rep long, component long")
+    assert [tuple(r) for r in _compared(of(2), of(1), store, 80).collect()] == [(2, 1)]
+
+
 # --- 5 packing ---------------------------------------------------------------------------
 
 def test_fill_is_the_best_subset_sum():
