@@ -206,13 +206,16 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None, text: str = "text",
 
 
 def redact(docs: DataFrame, model: PiiModel | None = None, text: str = "text") -> DataFrame:
-    """The documents with each span of personal data replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The documents with each span of personal data replaced by its kind in brackets; overlapping spans are one, of the first's kind."""
     found = find_pii(docs, model, text, "__pii")
     kept = "array<struct<start:int,end:int,kind:string>>"
 
     def step(acc, x):
-        free = x["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-        return F.when(free, F.concat(acc, F.array(F.struct(x["start"], x["end"], x["kind"])).cast(kept))).otherwise(acc)
+        last = F.try_element_at(acc, F.lit(-1))
+        free = x["start"] >= F.coalesce(last["end"], F.lit(0))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        return (F.when(free, F.concat(acc, F.array(F.struct(x["start"], x["end"], x["kind"])).cast(kept)))
+                .otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider).cast(kept))))
 
     apart = F.aggregate("__pii", F.array().cast(kept), step)
     ends = F.concat(F.array(F.lit(0)), F.transform(apart, lambda x: x["end"]))

@@ -192,6 +192,12 @@ def test_redaction(odd):
     assert list(redact(odd).columns) == odd.columns
 
 
+def test_overlapping_spans_are_cut_whole(spark):
+    rows = [(1, "Call +1 555 123 4567-john.smith@example.com now, a@b.cc"), (2, "4111 1111-1111 1111.doe@example.com, x")]
+    out = redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["Call [PHONE] now, [EMAIL]", "[CARD], x"]
+
+
 # --- 7 decontamination ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("max_entries", [1_000_000, 2])
