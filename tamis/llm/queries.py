@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors, hashed_starts
 from .decontaminate import find_contamination
+from .fill_in_middle import fill_in_middle, restore
 from .language_model import score_texts
 from .near_dup import near_duplicates
 from .packing import pack
@@ -12,6 +14,7 @@ from .pii import BASE, find_pii, fit_pii
 from .quality import THRESHOLD, fit_quality, score_quality
 from .substring import repeated_windows
 from .tables import ORACLE, QUERIES, query, table  # noqa: F401
+from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .topk import top_k
 from .toxicity import fit_toxicity, score_toxicity
@@ -19,10 +22,10 @@ from .toxicity import fit_toxicity, score_toxicity
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path():
+def tokenizer_path(name=TOKENIZER):
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def remainder(n):
@@ -149,3 +152,64 @@ def quality(spark, sf_dir):
     model = fit_quality(docs, labels.filter(remainder(5) != 0))
     return score_quality(docs, model).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
                                              (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op11_token_counts")
+def token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.col("n_tokens")
+    return (count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+            .select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n, (n > 512).alias("over_limit")))
+
+
+@query("op12_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+r AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS x FROM d),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+             WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+        coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+""")
+def fim(spark, sf_dir):
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return restore(cut).select("doc_id", F.col("fim.n_lines").alias("n"), "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                               sha("fim.output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
+CENTROIDS, ROUNDS, DIMENSIONS = 8, 10, 64
+
+
+def _centroid_sql():
+    """A pair of tables per round: the number of each vector's nearest centroid, and the centroids after it."""
+    away = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(e, c)])::BIGINT"
+    near = "SELECT r, min([{away}, j]) AS m FROM v, c{t} GROUP BY r".replace("{away}", away)
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e,
+  sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS j, e AS c FROM v ORDER BY h, e LIMIT {CENTROIDS})"]
+    for t in range(ROUNDS):
+        steps += [f"a{t} AS MATERIALIZED ({near.format(t=t)})", f"""c{t + 1} AS MATERIALIZED (SELECT c{t}.j, coalesce(fresh.c, c{t}.c) AS c FROM c{t} LEFT JOIN
+  (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM
+    (SELECT m[2] AS j, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{t} JOIN v USING (r)) GROUP BY j, i) GROUP BY j) fresh ON fresh.j = c{t}.j)"""]
+    return "WITH " + ",\n".join([*steps, f"a{ROUNDS} AS MATERIALIZED ({near.format(t=ROUNDS)})"]) + f"""
+SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN v USING (r) JOIN c{ROUNDS} ON j = m[2]"""
+
+
+@query("op13_centroids", _centroid_sql())
+def centroids(spark, sf_dir):
+    x = F.col("embedding")
+    whole = (F.size(x) == DIMENSIONS) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
+    vectors = (table(spark, sf_dir, "embeddings").filter(x.isNotNull() & whole)
+               .select("vec_id", F.transform(x, lambda e: F.floor(F.lit(1024.0) * e.cast("double"))).alias("vector")))
+    found = cluster_vectors(vectors, hashed_starts(vectors, CENTROIDS, 3), ROUNDS, dimensions=DIMENSIONS)
+    of = found.clusters.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+    return (found.vectors.join(F.broadcast(of), "cluster")  # a row per centroid
+            .select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", F.lit(found.inertia).cast("long").alias("inertia"), "centroid_sha256"))
