@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from tamis.operators import order, profile, schema
+from pyspark.sql import DataFrame, functions as F
+
+from tamis.operators import order, pages, profile, schema
 from tamis.operators.suspects import counts_by, find_first_suspects
 from tamis.plans import DEFAULT_RULES
 from tamis.session import fresh_path
@@ -293,8 +295,35 @@ SELECT o_orderkey, row_no, (SELECT count(*) FROM orders) AS total_count,
 (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_no FROM orders)
 WHERE row_no > 1000 AND row_no <= 1500""")
 def page_records(spark, sf):
-    df = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return order.page(df, ["o_orderdate", "o_orderkey"], 500, 2, ranges=16).drop("o_orderdate")
+    return pages.page(spark, ordered(spark, sf, ["o_orderdate", "o_orderkey"], 16), 500, 2).select("o_orderkey", "row_no", "total_count", "chunk_count")
+
+
+def ordered(spark, sf, keys, files):
+    """Orders kept in order, all columns."""
+    return pages.write_ordered(table(spark, sf, "orders"), fresh_path(spark, "ordered"), keys, files=files, staged=False)
+
+
+_ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query("page_index", f"""WITH n AS (SELECT {_ORDER_COLUMNS}, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_no, count(*) OVER () AS total_count FROM orders)
+SELECT *, cast(ceil(total_count / 300.0) AS bigint) AS chunk_count FROM n WHERE row_no <= 300 OR row_no > 600 AND row_no <= 900 OR row_no > (total_count - 1) // 300 * 300""")
+def page_index(spark, sf):
+    """Three pages, the last one among them, of one table that was written once."""
+    path = ordered(spark, sf, ["-o_totalprice", "o_orderkey"], 16)
+    last = (table(spark, sf, "orders").count() - 1) // 300
+    return reduce(DataFrame.unionByName, [pages.page(spark, path, 300, i) for i in sorted({0, 2, last})])
+
+
+@query("page_at_key", f"""WITH n AS (SELECT {_ORDER_COLUMNS}, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS row_no FROM orders)
+SELECT * FROM n WHERE row_no BETWEEN 701 AND 1600""")
+def page_at_key(spark, sf):
+    """What follows the last key of a page, in two more pages."""
+    path = ordered(spark, sf, ["-o_custkey", "o_orderkey"], 16)
+    seen = pages.page(spark, path, 100, 6).agg(F.max_by(F.struct("o_custkey", "o_orderkey"), "row_no").alias("k")).head()["k"]
+    one = pages.page_at_key(spark, path, seen, 450)
+    seen = one.agg(F.max_by(F.struct("o_custkey", "o_orderkey"), "row_no").alias("k")).head()["k"]
+    return one.unionByName(pages.page_at_key(spark, path, seen, 450))
 
 
 @query("number_rows", """

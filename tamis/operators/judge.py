@@ -10,12 +10,13 @@ gathered for it.
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialise
+from ..session import exists, list_folder, materialise, scratch
 
 RESPONSE_SCHEMA = ("batch_id string, analysis_type string, items array<struct<record_id:string,rule_id:string>>, "
                    "response string, input_tokens long, output_tokens long, error string")
@@ -39,18 +40,11 @@ def batch_payloads(numbered: DataFrame, batch_size: int = 50) -> DataFrame:
                     F.concat(F.lit("["), F.array_join(F.col("items.item"), ","), F.lit("]")).alias("payload")))
 
 
-def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY", batch_size: int = 50,
-               retries: int = 2, keep: bool = True, parallel_calls: int | None = None) -> DataFrame:
-    """One row per call: the items, the response text, tokens used, or the error.
-
-    Items are dealt by their keys over ``parallel_calls`` tasks (the session's shuffle partitions if not given), however
-    few files they came from. A call that raises is repeated at most ``retries`` times, then its items are
-    failures. The result is written and read back (``keep``), because each run of the plan would call the judge again.
-    """
-    tasks = parallel_calls or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = items.select("record_id", "rule_id", judge_item(items).alias("item")).repartition(tasks, "record_id", "rule_id")
-
+def _batched(judge: Callable, analysis_type: str, batch_size: int, retries: int, backoff: float, fatal: tuple, prefix: str = ""):
+    """For ``mapInPandas``: rows of (record_id, rule_id, item[, digest]) to a row per call."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
@@ -58,16 +52,20 @@ def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY"
 
         def call(batch):
             nonlocal number
-            row = {"batch_id": f"{part:08d}-{number:08d}", "analysis_type": analysis_type,
-                   "items": [{"record_id": r, "rule_id": q} for r, q, _ in batch],
+            row = {"batch_id": f"{prefix}{part:08d}-{number:08d}", "analysis_type": analysis_type,
+                   "items": [dict(zip(("record_id", "rule_id", "digest"), (r, q, *more))) for r, q, _, *more in batch],
                    "response": None, "input_tokens": 0, "output_tokens": 0, "error": None}
             number += 1
             for attempt in range(retries + 1):
+                if attempt:
+                    time.sleep(backoff * 2 ** (attempt - 1))
                 try:
-                    answer = judge([json.loads(i) for _, _, i in batch])
+                    answer = judge([json.loads(i[2]) for i in batch])
                     text, tokens_in, tokens_out = answer if isinstance(answer, tuple) else (answer, 0, 0)
                     row.update(response=text, input_tokens=tokens_in, output_tokens=tokens_out, error=None)
                     break
+                except fatal:
+                    raise
                 except Exception as e:
                     row["error"] = str(e) or type(e).__name__
             return row
@@ -83,10 +81,95 @@ def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY"
         if waiting:
             yield pd.DataFrame([call(waiting)])
 
-    responses = packed.mapInPandas(run, RESPONSE_SCHEMA)
+    return run
+
+
+def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY", batch_size: int = 50,
+               retries: int = 2, keep: bool = True, parallel_calls: int | None = None, backoff: float = 0.0, fatal: tuple = ()) -> DataFrame:
+    """One row per call: the items, the response text, tokens used, or the error.
+
+    Items are dealt by their keys over ``parallel_calls`` tasks (the session's shuffle partitions if not given), however
+    few files they came from. A call that raises is repeated at most ``retries`` times, after ``backoff`` seconds, then twice as
+    many, and so on; then its items are failures. Exceptions of the types in ``fatal`` end the job. The result is written and read back
+    (``keep``), because each run of the plan would call the judge again; ``judge_in_rounds`` also keeps what was answered before a
+    job ended.
+    """
+    tasks = parallel_calls or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = items.select("record_id", "rule_id", judge_item(items).alias("item")).repartition(tasks, "record_id", "rule_id")
+    responses = packed.mapInPandas(_batched(judge, analysis_type, batch_size, retries, backoff, fatal), RESPONSE_SCHEMA)
     return materialise(responses, f"responses-{analysis_type.lower()}") if keep else responses
 
 
+# --- a ledger of committed rounds ---------------------------------------------------
+
+UNASKED = "Not asked"
+LEDGER_SCHEMA = RESPONSE_SCHEMA.replace("rule_id:string>", "rule_id:string,digest:string>")
+COMMITTED = "_SUCCESS"  # fixed value: Spark's mark of a completely written folder
+
+
+def _digested(items: DataFrame, deal: Column | None = None) -> DataFrame:
+    """Each different item once; its digest is that of all the judge sees."""
+    digest = F.sha2("item", 256)
+    return (items.select("record_id", "rule_id", judge_item(items).alias("item"), *([] if deal is None else [deal.cast("long").alias("deal")]))
+            .withColumn("digest", digest).withColumn("deal", F.xxhash64("digest") if deal is None else F.col("deal")).dropDuplicates(["digest"]))
+
+
+def _commits(spark: SparkSession, ledger: str) -> list[str]:
+    """Names of the ledger's completely written rounds, oldest first."""
+    return [n for n in list_folder(spark, ledger) if n.startswith("round-") and exists(spark, f"{ledger}/{n}/{COMMITTED}")]
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """All calls of committed rounds; what a job that ended early left behind does not show."""
+    paths = [f"{ledger}/{n}" for n in _commits(spark, ledger)]
+    return spark.read.schema(LEDGER_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def _answers(calls: DataFrame) -> DataFrame:
+    """(digest, ok, batch_id): for each item its last answered call, else its last one."""
+    tried = calls.select("batch_id", F.col("error").isNull().alias("ok"), F.explode("items.digest").alias("digest"))
+    return tried.groupBy("digest").agg(F.max(F.struct("ok", "batch_id")).alias("a")).select("digest", "a.ok", "a.batch_id")
+
+
+def judge_in_rounds(items: DataFrame, judge: Callable, ledger: str, analysis_type: str = "PRIMARY", batch_size: int = 50, retries: int = 2,
+                    backoff: float = 1.0, fatal: tuple = (PermissionError,), parallel_calls: int | None = None, round_items: int = 100_000,
+                    rounds: int | None = None, deal: Column | None = None) -> DataFrame:
+    """Ask for every item the ledger has no answer to, round by round; returns the calls of the whole ledger.
+
+    ``ledger`` is a folder that all executors reach. Items are dealt into rounds of about ``round_items`` (or so many ``rounds``) by ``deal``, a
+    whole number per item (a hash if not given), and the calls of a round are written before those of the next begin. So a job that
+    ends early, or a task that is lost, repeats at most the calls of one round; run again with the same ledger, nothing that was committed is
+    asked anew. An item is known by all that the judge sees of it: one that has changed is asked again, equal ones are asked once. Items
+    whose calls failed are asked again by the next run. One job at a time writes to a ledger.
+    """
+    spark, ledger = items.sparkSession, ledger.rstrip("/")
+    tasks = parallel_calls or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = _answers(read_ledger(spark, ledger)).filter("ok")
+    with scratch(spark, "open-items") as staged:
+        todo = materialise(_digested(items, deal).join(known, "digest", "left_anti"), "to-judge", path=f"{staged}/all")
+        rounds = rounds or max(1, -(-todo.count() // round_items))
+        turn = F.coalesce(F.pmod("deal", F.lit(rounds)), F.lit(0)).cast("int")
+        # a round is a folder, written by one task: round_items rows
+        todo.withColumn("turn", turn).drop("deal").repartition(tasks, "turn").write.partitionBy("turn").parquet(f"{staged}/turns")
+        first = len(list_folder(spark, ledger))
+        for n, name in enumerate(sorted(x for x in list_folder(spark, f"{staged}/turns") if x.startswith("turn="))):
+            mine = spark.read.schema("record_id string, rule_id string, item string, digest string").parquet(f"{staged}/turns/{name}")
+            number = f"{first + n:08d}"
+            calls = mine.repartition(tasks, "digest").mapInPandas(
+                _batched(judge, analysis_type, batch_size, retries, backoff, fatal, f"{number}-"), LEDGER_SCHEMA)
+            calls.write.parquet(f"{ledger}/round-{number}-{uuid.uuid4().hex}")
+    return read_ledger(spark, ledger)
+
+
+def settled(calls: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(judgments, failures) of the items at hand from a ledger's calls: of each item its last answered call counts, or its last one."""
+    last = _answers(calls)
+    mine = materialise(_digested(items).join(last, "digest").select("batch_id", "record_id", "rule_id"), "answered")
+    judgments, failures = parse_responses(calls.join(mine.select("batch_id").distinct(), "batch_id", "left_semi"))
+    keys = ["batch_id", "record_id", "rule_id"]
+    return judgments.join(mine, keys, "left_semi"), failures.join(mine, keys, "left_semi").unionByName(failures.filter(F.col("error") == UNASKED))
+
+
 def _array_text(text: Column) -> Column:
     """From the first ``[`` to the last ``]``; text without brackets is taken as it is."""
     first = F.instr(text, "[")
@@ -140,7 +223,7 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
                   .filter(~F.exists("said", lambda x: F.coalesce((x["item"] == F.col("i.k")) & x["grounded"], F.lit(False))))
                   .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", reason.alias("error")))
     unasked = answers.filter(F.col("item").isNull()).select("batch_id", "analysis_type", "record_id", get(v, "rule_id").alias("rule_id"),
-                                                            F.lit("Not asked").alias("error"))
+                                                            F.lit(UNASKED).alias("error"))
     lost = (read.filter(~F.col("ok")).select("batch_id", "analysis_type", F.explode("items").alias("i"),
                                              F.coalesce("error", F.lit("JSON parse error")).alias("error"))
             .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", "error"))

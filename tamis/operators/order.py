@@ -1,66 +1,36 @@
 """Row numbers over a whole table without gathering it in one task.
 
-``row_number()`` over an unpartitioned window sends every row to a single task. Here the rows are written in key
-order, cut into ranges by Spark's range partitioning: a row's number is then its place in its range plus the rows
-of the ranges before. A tie-breaker of the rows' own splits a key that fills a range or more by itself, as the order
-among equal keys is free. It is written before the rows are dealt, so that a repeated task deals them alike.
+``row_number()`` over an unpartitioned window sends every row to a single task. Here the rows are written once in key order (see
+``pages``); a row's number is its place in its file plus the rows of the files before. For more than one page of a table write it
+once with ``pages.write_ordered``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialise
+from ..session import fresh_path
+from .pages import file_counts, part_number, write_rows
 
-#: monotonically_increasing_id() holds the partition above this bit and the place within it below.
-PLACE_BITS = 33
-TIE, AT, PART, START = "_order_tie", "_order_at", "_order_part", "_order_start"
 
+def number_rows(df: DataFrame, key_columns, ranges: int | None = None) -> DataFrame:
+    """Add ``row_no`` 1..n in key order, NULLs first; equal keys come in any order. Keys may be columns such as ``F.desc("x")``.
 
-def _placed(df: DataFrame, key_columns, ranges: int | None):
-    """(the rows in key order with their place, [(range, rows in it)]); a count per range comes to the driver.
-
-    There are as many ranges as the input had partitions, unless ``ranges`` says otherwise.
+    The rows lie in ``ranges`` files (by their number if not given).
     """
-    rows = materialise(df.withColumn(TIE, F.monotonically_increasing_id()), "rows")
-    ranges = ranges or max(1, len(rows.inputFiles()))
-    keys = [*key_columns, TIE]
-    placed = materialise(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop(TIE)
-                         .withColumn(AT, F.monotonically_increasing_id()), "placed")
-    counted = placed.groupBy(F.shiftright(AT, PLACE_BITS).cast("int").alias("part")).agg(F.count("*").alias("n")).collect()
-    return placed, sorted((r["part"], r["n"]) for r in counted)
-
-
-def _numbered(placed: DataFrame, counts, first=None, last=None) -> DataFrame:
-    """Number the rows; with first and last, only the ranges that reach into them are read."""
-    keep, offset = [], 0
-    for part, n in counts:
-        if first is None or (offset < last and offset + n >= first):
-            keep.append((part, offset))
-        offset += n
-    if not keep:
-        return placed.limit(0).withColumn("row_no", F.lit(0).cast("long")).drop(AT)
-    starts = placed.sparkSession.createDataFrame(keep, f"{PART} int, {START} long")
-    if first is not None:  # places grow through the files, so their bounds let Spark skip most of them
-        placed = placed.filter(F.col(AT).between(keep[0][0] << PLACE_BITS, ((keep[-1][0] + 1) << PLACE_BITS) - 1))
-    within = F.col(AT).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
-    # A row per range, so this side is small.
-    return (placed.withColumn(PART, F.shiftright(AT, PLACE_BITS).cast("int")).join(F.broadcast(starts), PART)
-            .withColumn("row_no", F.col(START) + within).drop(PART, START, AT))
-
-
-def number_rows(df: DataFrame, key_columns, ranges: int | None = None) -> DataFrame:
-    """Add ``row_no`` 1..n in key order, NULLs first; equal keys come in any order. Keys may be columns such as ``F.desc("x")``."""
-    return _numbered(*_placed(df, key_columns, ranges))
+    keys = [F.col(k) if isinstance(k, str) else k for k in key_columns]
+    rows = write_rows(df, fresh_path(df.sparkSession, "ordered"), keys, ranges)
+    starts = file_counts(rows).select("part", "before")
+    # Two numbers per file, so this side is small.
+    return (rows.withColumn("part", part_number()).withColumn("_place", F.col("_metadata.row_index")).join(F.broadcast(starts), "part")
+            .withColumn("row_no", F.col("before") + F.col("_place") + 1).drop("part", "before", "_place"))
 
 
 def page(df: DataFrame, key_columns, size: int, index: int, ranges: int | None = None) -> DataFrame:
-    """Slice ``index`` of ``ceil(n / size)`` slices in key order, at the same cost however deep it lies."""
-    placed, counts = _placed(df, key_columns, ranges)
-    first, last = index * size + 1, (index + 1) * size
-    total = sum(n for _, n in counts)
-    return (_numbered(placed, counts, first, last)
-            .filter(F.col("row_no").between(first, last))
+    """Slice ``index`` of ``ceil(n / size)`` slices in key order. Sorts the table: see ``pages`` for pages of a table kept in order."""
+    numbered = number_rows(df, key_columns, ranges)
+    total = numbered.count()
+    return (numbered.filter(F.col("row_no").between(index * size + 1, (index + 1) * size))
             .withColumn("total_count", F.lit(total).cast("long"))
             .withColumn("chunk_count", F.lit(-(-total // size)).cast("long")))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,12 +57,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tamis/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame and read it back.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a frame and read it back, at ``path`` or in a folder of its own.
 
     Used where a step must not run twice (calls to an outside judge) or where a long lineage is
     cut. Survives lost executors, unlike cached blocks.
     """
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# --- folders, on whatever file system Spark writes to ------------------------------
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names within a folder in ascending order; none if it does not exist."""
+    where, system = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _folder(spark, path)
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate that this library wrote."""
+    where, system = _folder(spark, path)
+    system.delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for intermediates of one step, gone when the step ends, however it ends."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)

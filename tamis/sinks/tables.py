@@ -24,18 +24,22 @@ def append_log(df: DataFrame, path: str, partition_by: str | None = None) -> str
     return path
 
 
+def last_updates(updates: DataFrame, keys: list[str], order=None) -> DataFrame:
+    """One update per key: the last by ``order`` (column names), the greatest content among equals. Combined before the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in updates.columns])
+    by = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order or [])], F.to_json(row).alias("_content"))
+    return (updates.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, by).alias("_row"))
+            .select("_row.*"))
+
+
 def upsert(base: DataFrame, updates: DataFrame, key, order=None) -> DataFrame:
     """Rows of ``base`` replaced by, or extended with, those of ``updates``, by key.
 
-    Of several updates of a key the last by ``order`` (column names) counts, the greatest content among equals; the
-    reduction is an aggregate that combines before the shuffle. Write the result to a new path: the one being read
-    must not be overwritten.
+    Of several updates of a key the last by ``order`` (column names) counts. Write the result to a new path: the one being read
+    must not be overwritten. ``versions.upsert_table`` rewrites only the files that hold a changed key.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    row = F.struct(*[F.col(f"`{c}`") for c in updates.columns])
-    by = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order or [])], F.to_json(row).alias("_content"))
-    updates = (updates.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, by).alias("_row"))
-               .select("_row.*").select(*base.columns))
+    updates = last_updates(updates, keys, order).select(*base.columns)
     return base.join(updates.select(*keys), keys, "left_anti").unionByName(updates)
 
 

@@ -13,8 +13,9 @@ from plain import rows
 from parcels import SCHEMA, TOTAL, records
 from tamis.operators import correct, details, health, judge, lineage, order, profile, reconcile, schema
 from tamis.operators import suspects as sus
+from tamis.operators.pages import file_counts, write_rows
 from tamis.plans import DEFAULT_RULES, merge_rules, rules_df
-from tamis.session import materialise, shared_folder
+from tamis.session import fresh_path, materialise, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -176,8 +177,8 @@ def test_row_numbers(spark, hot):
 
 def test_hot_key_is_dealt_over_parts(spark):
     df = spark.createDataFrame([(i,) for i in range(1000)] + [(5,)] * 1000, "a int")
-    _, counts = order._placed(df, ["a"], 10)
-    assert sum(n for _, n in counts) == 2000 and max(n for _, n in counts) < 400
+    counts = [r["rows"] for r in file_counts(write_rows(df, fresh_path(spark, "hot"), ["a"], 10)).collect()]
+    assert sum(counts) == 2000 and max(counts) < 400
     assert [r["row_no"] for r in order.number_rows(df.filter("a < 0"), ["a"]).collect()] == []
 
 
@@ -202,9 +203,10 @@ def test_pages_for_display_hold_no_earlier_rows(spark):
     assert seen == list(range(8))
 
 
-def test_ranges_follow_the_input(spark):
-    placed, counts = order._placed(spark.range(0, 900, 1, 7), ["id"], None)
-    assert len(counts) == 7
+def test_files_follow_the_number_of_rows(spark):
+    """However few files or tasks the rows come from."""
+    counts = file_counts(write_rows(spark.range(0, 900, 1, 1), fresh_path(spark, "few"), ["id"], rows_per_file=50)).collect()
+    assert len(counts) == 18 and max(r["rows"] for r in counts) < 200
 
 
 def test_pages_cover_the_table(spark):
@@ -217,7 +219,11 @@ def test_pages_cover_the_table(spark):
 
 
 def test_numbering_never_gathers_rows_in_one_task(spark):
-    assert "SinglePartition" not in plan(order.number_rows(spark.range(1000), ["id"], ranges=8))
+    """Only the counts of the files meet in one."""
+    text = plan(order.number_rows(spark.range(1000), ["id"], ranges=8))
+    assert text.count("Exchange SinglePartition") == 1
+    below = text[text.index("Exchange SinglePartition"):].splitlines()[1]
+    assert "HashAggregate(keys=[" in below and "count(1)" in below
 
 
 # --- judge --------------------------------------------------------------------
