@@ -264,6 +264,42 @@ def rule_rates(spark, sf):
     return sus.rule_rates(parcel(spark, sf), DEFAULT_RULES, alert_above=0.3).drop("check_no")
 
 
+def many_rules():
+    """6000 rules over lineitem: bounds of prices, taxes and part numbers, lists of line numbers, conditions."""
+    def rule(name, i, column, params):
+        return Rule(f"{name}-{i}", "out_of_range", (column,), "range_check", params)
+
+    out = [rule("price", i, "l_extendedprice", {"max_value": 104800 + i / 8}) for i in range(2000)]
+    out += [rule("part", i, "l_partkey", {"min_value": 4 * i // 2000}) for i in range(1500)]
+    out += [rule("line", i, "l_linenumber", {"allowed_values": [1, 2, 3, 4, 5, 6, 7] if i % 150 else [1, 2, 3, 4, 5, 6]}) for i in range(1500)]
+    return out + [Rule(f"tax-{i}", "cross_column_inconsistency", ("l_returnflag", "l_tax"), "value_condition", {"conditions": [
+        {"when_column": "l_returnflag", "when_values": ["R"], "check_column": "l_tax", "check_op": "lte", "check_value": i / 4, "reason": f"tax {i}"}]})
+        for i in range(1000)]
+
+
+_MANY = """SELECT l_orderkey, 'price-' || i AS rule_id, 'max:' || cast(104800 + cast(i AS double) / 8 AS varchar) AS reason, 'out_of_range' AS error_type
+  FROM lineitem, range(2000) t(i) WHERE l_extendedprice > 104800 + cast(i AS double) / 8
+UNION ALL SELECT l_orderkey, 'part-' || i, 'min:' || (4 * i // 2000), 'out_of_range' FROM lineitem, range(1500) t(i) WHERE l_partkey < 4 * i // 2000
+UNION ALL SELECT l_orderkey, 'line-' || i, 'allowed:[1, 2, 3, 4, 5, 6]', 'out_of_range' FROM lineitem, range(1500) t(i) WHERE i % 150 = 0 AND l_linenumber = 7
+UNION ALL SELECT l_orderkey, 'tax-' || i, 'tax ' || i, 'cross_column_inconsistency' FROM lineitem, range(1000) t(i) WHERE l_returnflag = 'R' AND l_tax > i / 4.0"""
+
+
+@query("rules_many", f"SELECT cast(l_orderkey AS varchar) AS record_id, rule_id, reason, error_type FROM ({_MANY})")
+def rules_many(spark, sf):
+    """6000 rules as data: sorted bounds and value lists searched once per row."""
+    return sus.find_suspects(table(spark, sf, "lineitem"), many_rules(), "l_orderkey").select("record_id", "rule_id", "reason", "error_type")
+
+
+@query("rule_rates_many", f"""WITH r AS (SELECT 'price-' || i AS rule_id, 'l_extendedprice' AS columns FROM range(2000) t(i) UNION ALL SELECT 'part-' || i, 'l_partkey' FROM range(1500) t(i)
+  UNION ALL SELECT 'line-' || i, 'l_linenumber' FROM range(1500) t(i) UNION ALL SELECT 'tax-' || i, 'l_returnflag,l_tax' FROM range(1000) t(i)),
+v AS (SELECT rule_id, count(*) AS n FROM ({_MANY}) GROUP BY rule_id), t AS (SELECT count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS n_r FROM lineitem),
+c AS (SELECT rule_id, columns, coalesce(v.n, 0) AS violation_count, CASE WHEN columns LIKE '%tax' THEN n_r ELSE t.n END AS total_checked
+      FROM r LEFT JOIN v USING (rule_id) CROSS JOIN t)
+SELECT *, round(violation_count / greatest(total_checked, 1), 6) AS violation_rate, violation_count / greatest(total_checked, 1) > 0.01 AS alert FROM c""")
+def rule_rates_many(spark, sf):
+    return sus.rule_rates(table(spark, sf, "lineitem"), many_rules(), alert_above=0.01).drop("check_no")
+
+
 # --- over the suspects -----------------------------------------------------------
 
 @query("stats_by_type", sql("SELECT error_type, count(*) AS n FROM s GROUP BY error_type", "s"))

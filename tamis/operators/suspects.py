@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.checks import Table, compile_rules, parse_failure_column
+from ..plans.rule_index import build_index, split_rules
 from ..plans.rules import by_error_type
 
 SUSPECT_TYPES = (("rule_id", "string"), ("error_type", "string"), ("target_columns", "array<string>"),
@@ -79,11 +80,11 @@ def _masks(groups, first_only: bool):
     return words
 
 
-def _mark(df: DataFrame, groups, first_only: bool) -> DataFrame:
+def _mark(df: DataFrame, groups, first_only: bool, index=None) -> DataFrame:
     """Rows with ``_check``, the number of a violated check; one row per violation.
 
     A row's violations are first gathered in bit masks, plain numbers inside generated code.
-    Most rows are clean: their masks are 0 and nothing else is made for them.
+    Most rows are clean: their masks are 0 and nothing else is made for them. An index of rules adds the checks it finds.
     """
     words = _masks(groups, first_only)
     names = [f"_mask{w}" for w in range(len(words))]
@@ -95,12 +96,15 @@ def _mark(df: DataFrame, groups, first_only: bool) -> DataFrame:
             F.filter(F.sequence(F.lit(first), F.lit(last)), lambda i: F.getbit(mask, i - first) == 1))
 
     found = [numbers(name, first, last) for name, (first, last, _) in zip(names, words)]
+    if index is not None:
+        df = index.mark(df, first_only, "_indexed")
+        found.append(F.col("_indexed"))
     # explode_outer, as below a plain explode the optimizer would put a second copy of all checks
     # (a filter on the array's size); clean rows give one NULL, dropped by the filter.
     return (df.withColumns({n: mask for n, (_, _, mask) in zip(names, words)})
             .withColumn("_found", found[0] if len(found) == 1 else F.concat(*found))
             .withColumn("_check", F.explode_outer("_found"))
-            .filter(F.col("_check").isNotNull()).drop("_found", *names))
+            .filter(F.col("_check").isNotNull()).drop("_found", "_indexed", *names))
 
 
 def _describe(rows: DataFrame, checks, key: str, carry) -> DataFrame:
@@ -140,12 +144,15 @@ def _describe(rows: DataFrame, checks, key: str, carry) -> DataFrame:
 
 def _evaluate(df: DataFrame, rules, key: str, carry, first_only: bool) -> DataFrame:
     table = Table(df.schema)
-    groups = compile_rules(rules, table)
+    rest, many = split_rules(rules, table)
+    groups = compile_rules(rest, table)
     checks = [c for g in groups for c in g]
+    index = build_index(many, table, len(checks)) if many else None
+    checks += index.checks if index else []
     if not checks:
         return df.limit(0).select(F.col(f"`{key}`").cast("string").alias("record_id"),
                                   *[F.lit(None).cast(k).alias(n) for n, k in SUSPECT_TYPES], *carry)
-    return _describe(_mark(_with_derived(df, table), groups, first_only), checks, key, carry)
+    return _describe(_mark(_with_derived(df, table), groups, first_only, index), checks, key, carry)
 
 
 def find_suspects(df: DataFrame, rules, key: str = "record_id", carry=()) -> DataFrame:
@@ -195,19 +202,39 @@ def parse_failures(df: DataFrame, rules, key: str = "record_id") -> DataFrame:
 
 
 def rule_rates(df: DataFrame, rules, alert_above: float = 0.9) -> DataFrame:
-    """Per rule and column set: violations, rows checked, rate, alert. One aggregate, one scan."""
+    """Per rule and column set: violations, rows checked, rate, alert. One aggregate over one scan; rules of an index take another scan each
+    for violations and for rows checked, with a row per check at most."""
     table = Table(df.schema)
-    checks = [c for g in compile_rules(rules, table) for c in g]
+    rest, many = split_rules(rules, table)
+    checks = [c for g in compile_rules(rest, table) for c in g]
     sums, rows = [], []
     for i, c in enumerate(checks):
         sums += [F.count_if(c.violated).alias(f"v{i}"), F.count_if(c.checked).alias(f"c{i}")]
         rows.append(F.struct(F.lit(c.rule.rule_id).alias("rule_id"),
                              F.lit(",".join(c.columns)).alias("columns"), F.lit(i).alias("check_no"),
                              F.col(f"v{i}").alias("violation_count"), F.col(f"c{i}").alias("total_checked")))
+    parts = [_with_derived(df, table).agg(*sums).select(F.inline(F.array(*rows)))] if checks else []
+    if many:
+        parts.append(_indexed_rates(df, build_index(many, table, len(checks))))
+    if not parts:
+        parts = [df.sparkSession.createDataFrame([], "rule_id string, columns string, check_no int, violation_count long, total_checked long")]
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rate = F.col("violation_count") / F.greatest(F.col("total_checked"), F.lit(1))
-    return (_with_derived(df, table).agg(*sums).select(F.inline(F.array(*rows)))
-            .withColumn("violation_rate", F.round(rate, 6))
-            .withColumn("alert", rate > alert_above))
+    return out.withColumn("violation_rate", F.round(rate, 6)).withColumn("alert", rate > alert_above)
+
+
+def _indexed_rates(df: DataFrame, index) -> DataFrame:
+    kinds = list({id(c.checked): c.checked for c in index.checks}.values())
+    place = {id(k): i for i, k in enumerate(kinds)}
+    totals = df.agg(*[F.count_if(k).alias(f"c{i}") for i, k in enumerate(kinds)]).select(
+        F.posexplode(F.array(*[f"c{i}" for i in range(len(kinds))])).alias("kind", "total_checked"))
+    counts = (index.mark(df, False, "_indexed").select(F.explode_outer("_indexed").alias("check_no")).filter("check_no IS NOT NULL")
+              .groupBy("check_no").agg(F.count("*").alias("violation_count")))
+    labels = df.sparkSession.createDataFrame(
+        [(c.rule.rule_id, ",".join(c.columns), index.first + i, place[id(c.checked)]) for i, c in enumerate(index.checks)],
+        "rule_id string, columns string, check_no int, kind int")
+    return (labels.join(F.broadcast(totals), "kind").join(F.broadcast(counts), "check_no", "left")  # a row per check at most
+            .select("rule_id", "columns", "check_no", F.coalesce("violation_count", F.lit(0)).alias("violation_count"), "total_checked"))
 
 
 def counts_by(suspects: DataFrame, column: str) -> DataFrame:
