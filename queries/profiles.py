@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tamis.operators import order, pages, profile, schema
+from tamis.operators import order, pages, profile, schema, sketches
 from tamis.operators.suspects import counts_by, find_first_suspects
 from tamis.plans import DEFAULT_RULES
 from tamis.session import fresh_path
@@ -349,3 +349,49 @@ def page_after(spark, sf):
     rows, keys = table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]
     seen = order.page_after(rows, keys, 200).agg(F.max(F.struct(*keys)).alias("last")).head()["last"]
     return order.page_after(rows, keys, 200, tuple(seen))
+
+
+# --- sketches ------------------------------------------------------------------------
+
+_MERGED = {"l_orderkey": "l_orderkey", "part": "CASE WHEN l_linenumber <> 3 THEN l_partkey END", "l_extendedprice": "l_extendedprice", "l_returnflag": "l_returnflag",
+           "l_shipdate": "l_shipdate", "code": "concat(l_returnflag, cast(l_suppkey AS string))"}
+_NUMBERS = ("l_orderkey", "part", "l_extendedprice")
+
+
+def _merged_sql(name, text):
+    v = text.replace("AS string", "AS varchar")
+    lo, hi = (f"cast({f}(cast({v} AS double)) AS varchar)" if name in _NUMBERS else f"cast({f}({v}) AS varchar)" for f in ("min", "max"))
+    mean, dev = (f"round({f}(cast({v} AS double)), 4)" if name in _NUMBERS else "cast(NULL AS double)" for f in ("avg", "stddev_pop"))
+    return (f"SELECT '{name}' AS column_name, count(*) AS total_count, count(*) - count({v}) AS null_count, {lo} AS min_value, {hi} AS max_value, {mean} AS mean_value, "
+            f"{dev} AS stddev_value, count(DISTINCT {v}) AS exact_count, true AS unique_within, {'true' if name in _NUMBERS else 'cast(NULL AS boolean)'} AS median_within FROM lineitem")
+
+
+@query("profile_merge", " UNION ALL ".join(_merged_sql(n, t) for n, t in _MERGED.items()))
+def profile_merge(spark, sf):
+    """States of two halves, appended to a log one after the other and merged, against the exact figures of the whole."""
+    rows = table(spark, sf, "lineitem").select(*[F.expr(t).alias(n) for n, t in _MERGED.items()], "l_suppkey")
+    path = fresh_path(spark, "states")
+    for half in range(2):
+        append_log(sketches.profile_state(rows.filter(F.col("l_suppkey") % 2 == half).drop("l_suppkey")), path)
+    found = sketches.profile_from_state(sketches.merge_states(spark.read.parquet(path)), quantiles=[0.5])
+    medians = {r["column_name"]: r["q50"] for r in found.select("column_name", "q50").collect()}
+    exact = rows.agg(*[F.count_distinct(n).alias(f"u_{n}") for n in _MERGED],
+                     *[(F.abs(F.count_if(F.col(n) < medians[n]) + F.count_if(F.col(n) <= medians[n]) - F.count(n)) <=
+                        2 * sketches.RANK_ERROR * F.count(n) + F.count_if(F.col(n) == medians[n])).alias(f"m_{n}") for n in _NUMBERS])
+    each = exact.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"u_{n}").alias("exact_count"),
+                                                    (F.col(f"m_{n}") if n in _NUMBERS else F.lit(None).cast("boolean")).alias("median_within")) for n in _MERGED])))
+    within = F.abs(F.col("unique_count") - F.col("exact_count")) <= 1 + sketches.DISTINCT_ERROR * F.col("exact_count")
+    return (found.join(each, "column_name").withColumn("unique_within", within)
+            .select("column_name", "total_count", "null_count", "min_value", "max_value", "mean_value", "stddev_value", "exact_count", "unique_within", "median_within"))
+
+
+_SKEWED = {"hot": "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' WHEN o_orderkey % 100 = 1 THEN 'warm' ELSE cast(o_orderkey AS string) END",
+           "o_orderpriority": "o_orderpriority", "o_orderkey": "o_orderkey", "paid": "CASE WHEN o_custkey % 7 < 3 THEN cast(o_custkey % 7 AS double) / 4 END"}
+
+
+@query("top_values_sketch", " UNION ALL ".join(f"SELECT '{n}' AS column_name, cast({t.replace('AS string', 'AS varchar')} AS varchar) AS value, count(*) AS n FROM orders "
+                                               f"WHERE {t.replace('AS string', 'AS varchar')} IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(*) FROM orders)"
+                                               for n, t in _SKEWED.items()))
+def top_values_sketch(spark, sf):
+    """Every value with half a per cent of the rows: named by a sketch, counted exactly."""
+    return sketches.heavy_hitters(table(spark, sf, "orders").select(*[F.expr(t).alias(n) for n, t in _SKEWED.items()]), share=0.005)
