@@ -282,7 +282,25 @@ def test_rare_contexts_have_restaurants(spark):
     assert sorted(tuple(r) for r in again) == sorted(tuple(r) for r in score_texts(texts, F.col("doc_id") % 10 != 0).select("doc_id", "score").collect())
 
 
+def test_probabilities_of_the_vocabulary_sum_to_one(spark, monkeypatch):
+    """In a frequent, a rare and an unknown context, over many buckets, with hot dishes and without."""
+    monkeypatch.setattr("tamis.llm.language_model.BUCKET_BYTES", 1 << 10)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 30, p=(p := 1 / np.arange(1, 61)) / p.sum()))) for i in range(40)] + [(40, "once upon w1 w2")]
+    seconds = [*sorted({w for _, t in rows for w in t.split()}), "unseen", ""]  # the last: the end of the text, a token like others
+    asked = [f"{c} {w}" for c in ("w0", "once", "never") for w in seconds]
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    for hot in (1e-4, 2.0):
+        monkeypatch.setattr("tamis.llm.language_model.HOT", hot)
+        scored = {r["doc_id"] - 1000: r for r in score_texts(df, F.col("doc_id") < 1000, with_tokens=True).collect()}
+        each = [scored[i]["token_scores"] for i in range(len(asked))]
+        assert all(sum(x) == pytest.approx(scored[i]["score"]) for i, x in enumerate(each))
+        for k in range(3):
+            assert sum(10 ** x[1] for x in each[k * len(seconds):(k + 1) * len(seconds)]) == pytest.approx(1, abs=1e-5), (hot, k)
+
+
 # --- the queries -----------------------------------------------------------------------------------
 
 def test_there_is_a_query_for_every_operator():
-    assert [f"op{n}" for n in range(1, 11)] == sorted((k.partition("_")[0] for k in QUERIES), key=lambda k: int(k[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted((k.partition("_")[0] for k in QUERIES), key=lambda k: int(k[2:]))
