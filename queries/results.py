@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.errors import PythonException
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tamis import flow, sinks
 from tamis.functions import clean_record_id, pattern_key
-from tamis.operators import correct, details, health, judge, lineage, order, pages, reconcile
+from tamis.operators import correct, details, health, judge, lineage, order, pages, reconcile, text_index
 from tamis.operators import suspects as sus
 from tamis.plans import DEFAULT_RULES, merge_rules
 from tamis.session import fresh_path, materialise
@@ -416,6 +417,23 @@ def search_any(spark, sf):
     return details.search_details(detail(spark, sf), "77")
 
 
+def _shown(needle):
+    return f"SELECT *, '{needle}' AS needle FROM t WHERE " + " OR ".join(f"contains(lower(coalesce({c}, '')), lower('{needle}'))" for c in _SEARCHED)
+
+
+_SEARCHED = ["record_id", "error_types", "rule_ids", "confidence"]
+_NEEDLES = ["77", "R002-Phone", "0000101", "nowhere"]
+
+
+@query("search_index", _with(_DETAIL, " UNION ALL ".join(map(_shown, _NEEDLES)), "r"))
+def search_index(spark, sf):
+    """What search_any finds, by an index of trigrams; short, long, rare and absent texts."""
+    path, index = fresh_path(spark, "details"), fresh_path(spark, "details-index")
+    detail(spark, sf).repartition(16, "record_id").write.parquet(path)
+    text_index.write_text_index(spark, path, index, _SEARCHED)
+    return reduce(DataFrame.unionByName, [text_index.search(spark, path, index, n, _SEARCHED).withColumn("needle", F.lit(n)) for n in _NEEDLES])
+
+
 @query("search_cells", """SELECT event_id FROM events WHERE cast(event_id AS varchar) LIKE '%4242%' OR
 cast(user_id AS varchar) LIKE '%4242%' OR lower(event_type) LIKE '%4242%' OR cast("value" AS varchar) LIKE '%4242%'
 OR lower(props) LIKE '%4242%' OR cast(ts AS varchar) LIKE '%4242%'""")

@@ -231,6 +231,55 @@ def stream_dedup_late(spark, sf):
     return spark.read.parquet(out).groupBy("record_id", "rule_id", "severity").agg(F.count("*").cast("int").alias("times"))
 
 
+@query("stream_late", f"""SELECT s.*, e.ts AS event_time, e.ts <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS late
+FROM ({_EVENT_SUSPECTS}) s JOIN events e ON cast(e.event_id AS varchar) = s.record_id""")
+def stream_late(spark, sf):
+    """The last three days first, then everything: copies are dropped, and what lies behind the watermark of two days comes out as late."""
+    events, source = table(spark, sf, "events"), fresh_path(spark, "events")
+    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    newest = events.agg(F.max("ts")).head()[0]
+    for part in (F.col("ts") > F.lit(newest) - F.make_interval(days=F.lit(3)), F.lit(True)):
+        events.filter(part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        streaming.write_stream(streaming.stream_suspects_and_late(stream, EVENT_RULES, "event_id", "ts", "2 days"), out, state,
+                               empty_batches=False).awaitTermination()
+    return spark.read.parquet(out).select("record_id", "rule_id", "severity", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "late")
+
+
+def write_shards(spark, events, path):
+    """Events as a feed: a shard per user group, segments of some hundred numbers, every tenth line of one shard without number or torn."""
+    image = F.struct(*events.columns)
+    number = F.concat(F.lit("9" * 20), F.lpad(F.col("event_id").cast("string"), 12, "0"))  # beyond a bigint
+    kind = F.expr("CASE event_id % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'MODIFY' ELSE 'REMOVE' END")
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    line = F.to_json(F.struct(number.alias("sequence_number"), kind.alias("event_name"), image.alias("new_image")), micros)
+    bare = F.to_json(F.struct(kind.alias("event_name"), image.alias("new_image")), micros)
+    lines = events.select("event_id", F.concat(F.lit("s"), F.col("user_id") % 3).alias("shard"),
+                          F.concat(F.lit("9" * 20), F.lpad((F.floor(F.col("event_id") / 400) * 400).cast("string"), 12, "0")).alias("segment"),
+                          F.when(F.expr("user_id % 3 = 2 AND event_id % 10 = 0"), F.when(F.col("event_id") % 20 == 0, bare).otherwise(F.left(line, F.lit(30))))
+                          .otherwise(line).alias("value"))
+    (lines.repartition("shard", "segment").sortWithinPartitions("shard", "segment", "event_id").drop("event_id")
+     .write.mode("append").partitionBy("shard", "segment").text(path))
+
+
+@query("feed_shards", """SELECT event_id, ts, user_id, event_type, "value", props, CASE event_id % 3 WHEN 0 THEN 'INSERT' ELSE 'MODIFY' END AS event_name,
+  's' || user_id % 3 AS shard, '99999999999999999999' || lpad(cast(event_id AS varchar), 12, '0') AS sequence_number FROM events
+WHERE event_id % 3 <> 2 AND NOT (user_id % 3 = 2 AND event_id % 10 = 0)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'REJECTED', 's2', cast(count(*) AS varchar) FROM events WHERE user_id % 3 = 2 AND event_id % 10 = 0""")
+def feed_shards(spark, sf):
+    """Shards of unequal speed, one that begins late, and a restart from the checkpoint between; lines without number are kept apart."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    feed, out, state = fresh_path(spark, "feed"), fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    middle = events.agg(F.max("event_id")).head()[0] // 800 * 400
+    ahead = F.expr(f"user_id % 3 = 0 AND event_id < {middle + 400} OR user_id % 3 = 2 AND event_id < {middle}")
+    for part in (ahead, ~ahead):
+        write_shards(spark, events.filter(part), feed)
+        streaming.write_stream(sources.stream_shards(spark, feed), out, state).awaitTermination()
+    lines = spark.read.parquet(out)
+    rejected = sources.shard_rejects(lines, events.schema).groupBy("shard").agg(F.count("*").cast("string").alias("sequence_number"))
+    return sources.shard_changes(lines, events.schema).unionByName(rejected.withColumn("event_name", F.lit("REJECTED")), allowMissingColumns=True)
+
+
 @query("change_feed", """SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'INSERT' ELSE 'MODIFY' END AS event_name
 FROM events WHERE event_id % 3 <> 2""")
 def change_feed(spark, sf):

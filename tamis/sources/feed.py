@@ -28,10 +28,13 @@ def read_feed(spark: SparkSession, path: str, image: T.StructType, files_per_bat
 
 
 def read_feed_after(spark: SparkSession, path: str, image: T.StructType, sequence_number: str | None = None) -> DataFrame:
-    """Batch of changed rows, all of them or those after a sequence number. Fails on an envelope that does not parse."""
+    """Batch of changed rows, all of them or those after a sequence number. Fails on an envelope that does not parse, and, where
+    the number decides, on one that has none: ``bad_envelopes`` shows both."""
     envelopes = spark.read.schema(envelope_schema(image)).option("mode", "FAILFAST").json(path)
     if sequence_number is not None:
-        envelopes = envelopes.filter(sequence_order(F.col("sequence_number")) > sequence_order(F.lit(sequence_number)))
+        later = sequence_order(F.col("sequence_number")) > sequence_order(F.lit(sequence_number))
+        envelopes = envelopes.filter(F.when(has_number(F.col("sequence_number")), later).otherwise(
+            F.raise_error(F.lit("an envelope has no sequence number")).cast("boolean")))
     return changed_rows(envelopes)
 
 
@@ -41,12 +44,17 @@ def sequence_order(number: Column) -> Column:
     return F.struct(F.length(digits), digits)
 
 
+def has_number(number: Column) -> Column:
+    """Whether a sequence number is one."""
+    return F.coalesce(number.rlike(r"\A[0-9]+\z"), F.lit(False))
+
+
 def bad_envelopes(spark: SparkSession, path: str, image: T.StructType) -> DataFrame:
-    """The lines of envelope files that do not parse, as text."""
+    """The lines of envelope files that do not parse or have no sequence number, as text."""
     schema = T.StructType([*envelope_schema(image), T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(path).filter(F.trim("value") != "")
     return (lines.withColumn("e", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-            .filter("e._corrupt_record IS NOT NULL").select("value"))
+            .filter(F.col("e._corrupt_record").isNotNull() | ~has_number(F.col("e.sequence_number"))).select("value"))
 
 
 def read_kafka_feed(spark: SparkSession, servers: str, topic: str, image: T.StructType, start: str = "latest") -> DataFrame:

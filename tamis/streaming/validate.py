@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.suspects import find_first_suspects
 
@@ -27,6 +29,54 @@ def stream_suspects_once(stream: DataFrame, rules, key: str, event_time: str, la
             .dropDuplicatesWithinWatermark(["record_id", "rule_id"]))
 
 
+def stream_suspects_and_late(stream: DataFrame, rules, key: str, event_time: str, late_by: str = "1 hour") -> DataFrame:
+    """Each (record, rule) once, and what comes too late to tell, apart: suspects with event_time and a column ``late``.
+
+    A suspect behind the watermark, or without a time, is not lost: if its key is still known it is a copy, else it comes out with ``late`` true.
+    Others come out the first time, the earliest of a micro-batch. A key is kept until the watermark has passed that time (of late ones the watermark
+    when they came) by ``late_by``; copies in between are dropped. Keys are held in Spark's state store, a time each, and are let go by timers, in micro-batches that
+    Spark runs for them.
+    """
+    stamped = stream.withColumn("event_time", F.col(event_time).cast("timestamp")).withWatermark("event_time", late_by)
+    found = find_first_suspects(stamped, rules, key, carry=["event_time"])
+    pairs = F.to_json(F.struct(*[F.col(c) for c in found.columns if c not in ("record_id", "rule_id", "event_time")]), {"ignoreNullFields": "false"})
+    packed = found.select("record_id", "rule_id", "event_time", pairs.alias("payload"))
+    span = int(found.sparkSession.sql(f"SELECT cast(interval '{late_by}' AS interval day to second) AS s").head()["s"].total_seconds() * 1000)
+
+    def once(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+
+        def wait(first):
+            """Look again when the watermark may have passed; event time may run faster than the clock, and there may be no watermark yet."""
+            state.setTimeoutDuration(min(max(1, first + span - watermark), max(1, span)))
+
+        if state.hasTimedOut:
+            if state.get[0] + span > watermark:
+                wait(state.get[0])
+            else:
+                state.remove()
+            return
+        rows = pd.concat(frames)
+        if state.exists:
+            wait(state.get[0])
+            return
+        at = (rows["event_time"] - pd.Timestamp(0)).dt.total_seconds().mul(1000).fillna(-1).astype("int64")
+        late = at < watermark
+        rows = rows.assign(_at=at, late=late, record_id=key[0], rule_id=key[1]).sort_values(["_at", "payload"])
+        columns = ["record_id", "rule_id", "event_time", "payload", "late"]
+        timely = rows[~rows["late"]]
+        first = int(timely["_at"].iloc[0]) if len(timely) else watermark
+        state.update((first,))
+        wait(first)
+        yield (timely if len(timely) else rows).iloc[:1][columns]
+
+    schema = T.StructType([f for f in found.schema if f.name not in ("record_id", "rule_id", "event_time")])
+    out = packed.groupBy("record_id", "rule_id").applyInPandasWithState(
+        once, "record_id string, rule_id string, event_time timestamp, payload string, late boolean", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.select("record_id", "rule_id", F.from_json("payload", schema).alias("p"), "event_time", "late").select(
+        "record_id", "rule_id", "p.*", "event_time", "late")
+
+
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str,
                available_now: bool = True) -> StreamingQuery:
     """Run a batch job (validate, judge, report ...) on every micro-batch; resumes from the checkpoint."""
@@ -34,8 +84,18 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append a stream to parquet with exactly-once file commits."""
+def write_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, empty_batches: bool = True) -> StreamingQuery:
+    """Append a stream to parquet with exactly-once file commits.
+
+    Without ``empty_batches`` Spark runs no micro-batch that has no data. A run over what is there (``available_now``) needs that if the stream has
+    timers of the clock, as ``stream_suspects_and_late`` has: such a stream always wants one more batch, and the run would not end.
+    """
     writer = (stream.writeStream.outputMode("append").format("parquet")
               .option("path", path).option("checkpointLocation", checkpoint))
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(empty_batches and before == "true").lower())
+    try:  # a query keeps the settings it was started with
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(key, before)
