@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from tamis import sinks, sources, streaming
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import Rule
-from tamis.session import fresh_path
+from tamis.session import fresh_path, materialise
 
 from .base import parcel, query, sql, table
 
@@ -51,6 +51,27 @@ def scan_json_documents(spark, sf):
     return sources.read_json_documents(spark, path, T.StructType.fromDDL(ORDERS))
 
 
+@query("scan_json_split", f"""SELECT {ORDER_COLS}, '}}]{{["' || o_orderkey || '\\' AS note, [o_custkey, o_orderkey] AS ids FROM orders""")
+def scan_json_split(spark, sf):
+    """One array in one file, with brackets, braces, quotes and backslashes in its texts, read by many tasks."""
+    path, kind = fresh_path(spark, "array"), ORDERS + ", note string, ids array<bigint>"
+    note = F.concat(F.lit('}]{["'), F.col("o_orderkey").cast("string"), F.lit("\\"))
+    rows = orders(spark, sf).withColumn("note", note).withColumn("ids", F.array("o_custkey", "o_orderkey"))
+    element = F.to_json(F.struct(*rows.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    # one file; where its lines end does not matter to the reader
+    first, last = rows.agg(F.min("o_orderkey"), F.max("o_orderkey")).head()
+    key = F.col("o_orderkey")
+    text = F.concat(F.when(key == first, "[").otherwise(""), element, F.when(key == last, "]").otherwise(","))
+    rows.select(text.alias("value"), key).coalesce(1).sortWithinPartitions(key).select("value").write.option("lineSep", " ").text(path)
+    setting, conf = "spark.sql.files.maxPartitionBytes", spark.conf
+    before = conf.get(setting)
+    conf.set(setting, "64k")
+    try:
+        return materialise(sources.read_json_array(spark, path, kind), "elements")
+    finally:
+        conf.set(setting, before)
+
+
 @query("roundtrip_json", sql("SELECT * EXCLUDE (road, jibun, kind) FROM p", "p"))
 def roundtrip_json(spark, sf):
     """Missing values and Korean text survive."""
