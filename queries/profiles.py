@@ -241,18 +241,30 @@ def fingerprint(spark, sf):
     return schema.schema_fingerprint(schema.infer_schema(table(spark, sf, "orders")))
 
 
-@query("detect_key", """
+_KEYS_SQL = """
 WITH c AS (SELECT 'o_custkey' AS column_name, 3 AS priority, count(*) AS row_count, count(o_custkey) AS present_count,
   count(DISTINCT o_custkey) AS distinct_count FROM orders
 UNION ALL SELECT 'order_id', 2, count(*), count(o_orderkey), count(DISTINCT o_orderkey) FROM orders
 UNION ALL SELECT 'o_orderstatus', 3, count(*), count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders
 UNION ALL SELECT 'paid_id', 2, count(*), count(*) FILTER (o_orderkey % 2 = 0), count(DISTINCT o_orderkey) FILTER (o_orderkey % 2 = 0) FROM orders)
-SELECT *, distinct_count = row_count AND present_count = row_count AS is_unique, column_name = 'order_id' AS is_key FROM c""")
-def detect_key(spark, sf):
-    df = table(spark, sf, "orders").select(
+SELECT *, distinct_count = row_count AND present_count = row_count AS is_unique, column_name = 'order_id' AS is_key FROM c"""
+
+
+def keyed_orders(spark, sf):
+    return table(spark, sf, "orders").select(
         F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END").alias("paid_id"), "o_custkey",
         F.col("o_orderkey").alias("order_id"), "o_orderstatus")
-    return schema.detect_key(df)
+
+
+@query("rank_keys", _KEYS_SQL)
+def rank_keys(spark, sf):
+    return schema.rank_keys(keyed_orders(spark, sf))
+
+
+@query("detect_key", f"SELECT * EXCLUDE (distinct_count) FROM ({_KEYS_SQL})")
+def detect_key(spark, sf):
+    """Values are counted of the columns alone that a sketch leaves open."""
+    return schema.detect_key(keyed_orders(spark, sf))
 
 
 @query("record_id_added", "SELECT o_orderkey AS order_id, o_orderkey AS record_id, o_custkey FROM orders")

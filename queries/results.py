@@ -301,6 +301,15 @@ def impact_score(spark, sf):
                                     "query_volume_weight", "impact_score")
 
 
+@query("impact_half_even", sql("""SELECT record_id, rule_id, round_even(w * greatest(d, 1) * v / 8, 2) AS impact_score FROM (SELECT *,
+  CASE severity WHEN 'critical' THEN 10.0 WHEN 'warning' THEN 5.0 ELSE 1.0 END AS w, CASE table_name WHEN 'parcels' THEN 3 ELSE 0 END AS d, 1.0 AS v FROM s)""", "s"))
+def impact_half_even(spark, sf):
+    """Weights of an eighth end in halves of a cent: to the even digit."""
+    weights = F.when(F.col("severity") == "critical", 10.0).when(F.col("severity") == "warning", 5.0).otherwise(1.0)
+    found = lineage.lookup(suspects(spark, sf, ["table_name"]), lineage_table(spark))
+    return found.select("record_id", "rule_id", lineage.rounded_impact(weights / 8, F.size("downstream_tables"), F.lit(1.0), half_even=True).alias("impact_score"))
+
+
 @query("impact_summary", _with_impact("SELECT count(*) AS total_count, cast(max(impact_score) AS double) AS max_impact_score, "
                                       "round(avg(cast(impact_score AS double)), 2) AS avg_impact_score FROM i"))
 def impact_summary(spark, sf):

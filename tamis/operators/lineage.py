@@ -38,15 +38,19 @@ def severity_weight(severity: Column) -> Column:
     return weight
 
 
-def impact_scores(suspects: DataFrame, lineage: DataFrame) -> DataFrame:
-    """severity weight x downstream tables x query volume weight, per suspect."""
+def rounded_impact(severity: Column, reach: Column, volume: Column, half_even: bool = False) -> Column:
+    return (F.bround if half_even else F.round)(severity * F.greatest(reach, F.lit(1)) * volume, 2)
+
+
+def impact_scores(suspects: DataFrame, lineage: DataFrame, half_even: bool = False) -> DataFrame:
+    """severity weight x downstream tables x query volume weight, per suspect. Halves are rounded up, or to the even digit."""
     found = lookup(suspects, lineage)
     reach = F.size("downstream_tables")
     weight = volume_weight(F.col("query_volume_7d"))
     return (found.withColumn("severity_weight", severity_weight(F.col("severity")))
             .withColumn("downstream_table_count", reach)
-            .withColumn("impact_score", F.round(F.col("severity_weight") * F.greatest(reach, F.lit(1)) * weight, 2))
-            .withColumn("query_volume_weight", F.round(weight, 4))
+            .withColumn("impact_score", rounded_impact(F.col("severity_weight"), reach, weight, half_even))
+            .withColumn("query_volume_weight", (F.bround if half_even else F.round)(weight, 4))
             .select(*suspects.columns, "severity_weight", "downstream_table_count", "query_volume_weight",
                     "impact_score"))
 

@@ -112,8 +112,8 @@ def key_candidates(df: DataFrame, columns=None) -> DataFrame:
             .select("pos", "column_name", "priority", "row_count", "present_count", "distinct_count", "is_unique"))
 
 
-def detect_key(df: DataFrame, columns=None) -> DataFrame:
-    """``key_candidates`` with the chosen column marked (one row per column, so one small window)."""
+def rank_keys(df: DataFrame, columns=None) -> DataFrame:
+    """``key_candidates`` with the chosen column marked (one row per column, so one small window). Counts the values of every column."""
     cand = key_candidates(df, columns)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("usable"), "priority", "pos")
     named = F.max(F.col("priority") == 0).over(Window.partitionBy(F.lit(1)))
@@ -122,28 +122,48 @@ def detect_key(df: DataFrame, columns=None) -> DataFrame:
             .drop("usable", "pos"))
 
 
-def find_key(df: DataFrame, columns=None) -> str | None:
-    """The column ``detect_key`` marks, found at less cost.
+def _priority(name: str) -> int:
+    name = name.lower()
+    return 0 if name == "record_id" else 1 if name == "id" else 2 if any(part in name for part in KEY_HINTS) else 3
+
+
+def _sketched(df: DataFrame, columns):
+    """(rows, present values per column, the columns that may be unique).
 
     One aggregate with sketches rules out columns with missing or clearly repeated values (the sketch errs by 2 %, a
-    tenth is allowed). The others are tested exactly in the order of preference, each by a shuffle of that column
-    alone, until one is unique.
+    tenth is allowed).
     """
-    columns = list(columns or df.columns)
-    if any(c.lower() == "record_id" for c in columns):
-        return None
     seen = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"p{i}") for i, c in enumerate(columns)],
                   *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"u{i}") for i, c in enumerate(columns)]).head()
+    open_ = [i for i in range(len(columns)) if seen[f"p{i}"] == seen["rows"] > 0 and seen[f"u{i}"] >= 0.9 * seen["rows"]]
+    return seen["rows"], [seen[f"p{i}"] for i in range(len(columns))], sorted(open_, key=lambda i: (_priority(columns[i]), i))
 
-    def priority(name):
-        name = name.lower()
-        return 1 if name == "id" else 2 if any(part in name for part in KEY_HINTS) else 3
 
-    open_ = [i for i in range(len(columns)) if seen[f"p{i}"] == seen["rows"] > 0 and seen[f"u{i}"] >= 0.9 * seen["rows"]]
-    for i in sorted(open_, key=lambda i: (priority(columns[i]), i)):
-        if df.groupBy(F.col(f"`{columns[i]}`").alias("value")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            return columns[i]
-    return None
+def _unique(df: DataFrame, column: str) -> bool:
+    """Exactly, by a shuffle of this column alone."""
+    return df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def detect_key(df: DataFrame, columns=None) -> DataFrame:
+    """Per column: priority, rows, present values, whether it is unique, and whether it is the key.
+
+    Only columns that a sketch leaves open are counted, each by a shuffle of its own; the others cannot be unique.
+    """
+    columns = list(columns or df.columns)
+    rows, present, open_ = _sketched(df, columns)
+    unique = [i for i in open_ if _unique(df, columns[i])]
+    key = next((i for i in unique), None) if all(_priority(c) for c in columns) else None
+    return df.sparkSession.createDataFrame(
+        [(c, _priority(c), rows, present[i], i in unique or rows == 0, i == key) for i, c in enumerate(columns)],
+        "column_name string, priority int, row_count long, present_count long, is_unique boolean, is_key boolean")
+
+
+def find_key(df: DataFrame, columns=None) -> str | None:
+    """The column ``detect_key`` marks: open columns are tested in the order of preference until one is unique."""
+    columns = list(columns or df.columns)
+    if not all(_priority(c) for c in columns):
+        return None
+    return next((columns[i] for i in _sketched(df, columns)[2] if _unique(df, columns[i])), None)
 
 
 def with_record_id(df: DataFrame, key: str | None) -> DataFrame:

@@ -116,11 +116,12 @@ def _typed_value(v: Column, dtype: T.DataType) -> Column:
 
 
 def read_typed_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                    pattern: str = "*.json*", partitions: int | None = None) -> DataFrame:
+                    pattern: str = "*.json*", partitions: int | None = None, max_columns: int = 10_000) -> DataFrame:
     """Export files of a key-value store, gzip or not: one ``{"Item": {...}}`` or bare item per line.
 
     gzip files cannot be split, so each is one task; ``partitions`` spreads the rows afterwards.
-    Without a schema the columns and their types are found by one pass (``typed_json_schema``).
+    Without a schema the columns and their types are found by one pass (``typed_json_schema``); more than ``max_columns`` names, as of
+    items with keys of their own, are an error.
     """
     raw = spark.read.option("pathGlobFilter", pattern).option("singleVariantColumn", "v").json(path)
     if partitions:
@@ -128,14 +129,14 @@ def read_typed_json(spark: SparkSession, path: str, schema: T.StructType | str |
     item = F.coalesce(F.try_variant_get("v", "$.Item", "variant"), F.col("v"))
     raw = raw.select(item.alias("v"))
     if schema is None:
-        schema = typed_json_schema(raw)
+        schema = typed_json_schema(raw, max_columns)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     return raw.select(*[_typed_value(F.try_variant_get("v", f"$['{f.name}']", "variant"), f.dataType).alias(f.name)
                         for f in schema.fields])
 
 
-def typed_json_schema(items: DataFrame) -> T.StructType:
-    """Columns and types present in the items: one small row per (column, tag)."""
+def typed_json_schema(items: DataFrame, max_columns: int = 10_000) -> T.StructType:
+    """Columns and types present in the items: a small row per column comes to the driver, at most ``max_columns``."""
     tags = (items.select(F.explode(F.try_variant_get("v", "$", "map<string,map<string,variant>>"))
                          .alias("name", "cell"))
             .select("name", F.explode("cell").alias("tag", "x"))
@@ -143,7 +144,9 @@ def typed_json_schema(items: DataFrame) -> T.StructType:
                                  F.max(F.when(F.col("tag") == "N", F.to_json("x").contains("."))).alias("point"),
                                  *[F.max(F.when(F.col("tag") == "N", F.try_variant_get("x", "$", "string").try_cast(t).isNull())).alias(n)
                                    for n, t in (("wide", "bigint"), ("huge", WIDE))])
-            .collect())
+            .limit(max_columns + 1).collect())
+    if len(tags) > max_columns:
+        raise ValueError(f"the items have more than {max_columns} attribute names: give a schema, with a map for those")
     fields = []
     for r in sorted(tags, key=lambda r: r["name"]):
         kinds = set(r["tags"]) - {"NULL"}
