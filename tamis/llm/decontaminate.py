@@ -151,27 +151,56 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text
     return docs.mapInArrow(run, schema)
 
 
+#: Bits of the filter that a window passes before it is shuffled: 16 MB, whatever the size of the benchmark.
+FILTER_BITS = 1 << 27
+BITMAP = 32_768  # fixed value: bits of one of Spark's bitmaps
+
+
+def _filter_bits(entries) -> np.ndarray:
+    """A bit for each hash of the benchmark's windows; at most FILTER_BITS reach the driver."""
+    bit = F.pmod("hash", F.lit(FILTER_BITS))
+    rows = (entries.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP).cast("int").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.col("bit") % BITMAP).alias("bits")).collect())
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        out[r["bucket"] * BITMAP // 8:(r["bucket"] + 1) * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _unlike(name: str, columns) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def _by_join(docs, entries, text, with_text, schema, added):
-    """The same for a benchmark too large to broadcast: windows meet entries by a shuffled join."""
+    """The same for a benchmark too large to broadcast: windows whose hash passes a filter meet entries by a shuffled join.
+
+    What is hit depends on the text alone, so hits are handed back by its SHA-256: equal texts share theirs, and no other column takes part.
+    """
     lengths = {r[0] for r in entries.select("length").distinct().collect()}  # at most ``window`` values
-    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(entries))
+    key, found = _unlike("__text_key", docs.columns), _unlike("__hits", docs.columns)
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256))
 
     def windows(batches):
         for whole in batches:
-            for batch in slices(whole, text):
-                kept = _Kept()
-                words = find_words(batch[text], WORD, lower=True, extra=kept)
-                kept.close()
-                rows, doc = batch["__row"].to_numpy(zero_copy_only=False), words.doc
+            for batch in slices(whole):
+                words = find_words(batch["text"], WORD, lower=True)
                 for k, h, at in _windows(words, lengths):
+                    place = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    keep = np.flatnonzero(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    h, at = h[keep], at[keep]
+                    doc = words.doc[at]
                     yield pa.RecordBatch.from_pydict({
                         "hash": pa.array(h.view(np.int64)), "length": pa.array(np.full(len(at), k, np.int32)),
-                        "row": pa.array(rows[doc[at]]), "at": pa.array((at - words.first[doc[at]]).astype(np.int32))})
+                        "row": batch["key"].take(pa.array(doc)), "at": pa.array((at - words.first[doc]).astype(np.int32))})
 
-    where = keyed.mapInArrow(windows, "hash long, length int, row long, at int")
+    where = keyed.select(F.col(key).alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(windows, "hash long, length int, row string, at int")
     hits = (where.join(entries, ["hash", "length"]).groupBy("row")
-            .agg(F.collect_set(F.struct("at", "length", "words", "item_id")).alias("__hits")))  # bounded by one document
-    joined = keyed.join(hits, keyed["__row"] == hits["row"], "left").drop("row")
+            .agg(F.collect_set(F.struct("at", "length", "words", "item_id")).alias(found)))  # bounded by one document
+    joined = keyed.join(hits.withColumnRenamed("row", key), key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
 
     def run(batches):
         for whole in batches:
@@ -180,13 +209,13 @@ def _by_join(docs, entries, text, with_text, schema, added):
                 words = find_words(batch[text], WORD, lower=True, extra=kept)
                 kept.close()
                 begin, length, items_of = [], [], []
-                for d, hits_of in enumerate(batch["__hits"].to_pylist()):
+                for d, hits_of in enumerate(batch[found].to_pylist()):
                     for x in hits_of or ():
                         i = int(words.first[d]) + x["at"]
                         if kept.words(i, i + x["length"]) == x["words"]:
                             begin.append(i), length.append(x["length"]), items_of.append([x["item_id"]])
                 out = _assemble(batch[text], words, kept, begin, length, items_of, with_text)
-                names = [n for n in batch.schema.names if n not in ("__row", "__hits")]
+                names = [n for n in batch.schema.names if n != found]
                 yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.StructArray.from_arrays(out, [f.name for f in FIELDS])],
                                                  [*names, added])
 

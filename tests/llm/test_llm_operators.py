@@ -200,6 +200,18 @@ def test_overlapping_spans_are_cut_whole(spark):
 
 # --- 7 decontamination ------------------------------------------------------------------------
 
+@pytest.mark.parametrize("max_entries", [1_000_000, 0])
+def test_decontamination_beside_columns_of_any_name_and_type(spark, odd_rows, max_entries):
+    """Columns named like the operator's own, a map, and rows that differ in those alone."""
+    bench = spark.createDataFrame([("i1", brute.words(odd_rows[0][1]) and " ".join(brute.words(odd_rows[0][1])[5:25]))], "item_id string, text string")
+    rows = [(i, t, {"k": i}, i % 2, "h", f"key{k}") for i, t in odd_rows for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row map<string,long>, __row long, __hits string, __text_key string").repartition(4)
+    want = {i: hit for (i, _), (_, hit, _) in zip(odd_rows, brute.benchmark_hits(odd_rows, [("i1", bench.first()["text"])]))}
+    got = find_contamination(df, bench, max_entries=max_entries).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["contamination"]["n_hit"] for r in got} == want and any(want.values())
+    assert sorted((r["doc_id"], r["row"]["k"], r["__row"], r["__text_key"]) for r in got) == sorted((i, m["k"], x, k) for i, _, m, x, _, k in rows)
+
+
 @pytest.mark.parametrize("max_entries", [1_000_000, 2])
 def test_decontamination(spark, odd, odd_rows, nothing, docs, doc_rows, sf, max_entries):
     items = spark.createDataFrame([(1, " ".join(f"Word{i}" for i in range(20, 35))), (2, "single"), (2, "single"), (3, None), (4, ""), (None, "no id here"),
