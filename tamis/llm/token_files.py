@@ -2,12 +2,13 @@
 
 Re-Pair replaces a frequent pair of neighbouring ids by a new symbol (a nonterminal), again and again. Here a round counts
 all pairs of a shard and replaces, from the most frequent on, every pair whose members are not yet taken as the other side of a
-pair, so that no two occurrences overlap. No pair crosses a document's end, so each document is a range of symbols.
+pair, so that no two occurrences overlap; of a run of one id every other pair is one. Rounds go on until no pair occurs LEAST times.
+No pair crosses a document's end, so each document is a range of symbols.
 
 The format is a Parquet folder with a row per shard: part and shard (ascending in doc_id), start_in_part and n_ids,
 base (the first nonterminal), rules (two symbols each), rule_lengths (ids that a rule expands to), width (bytes of a
 symbol), symbols, and per document doc_ids, doc_at (its first symbol) and doc_tokens (its ids). A document is decoded by
-itself from its range (``decode_document``). Spark's commit of the folder is the commit of the files.
+itself from its range (``decode_document``), and part of one from the lengths of its symbols (``decode_range``). Spark's commit of the folder is the commit of the files.
 
 Defined results: null and empty texts are the end id alone; a null doc_id sorts first and stays null; repeated doc_ids are rows of
 their own, in the order of their texts; an empty table gives a folder without shards.
@@ -26,7 +27,6 @@ from .common import partitions, shared_folder, shuffles_dropped, slices
 from .tokens import encoder, read_tokenizer
 
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 LEAST = 8  # a rule must occur so often
 PER_ROUND = 4096
 NO_ID = np.iinfo(np.int64).min
@@ -39,11 +39,11 @@ def _runs(sorted_keys):
     return sorted_keys[at], np.diff(np.append(at, len(sorted_keys)))
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS):
+def compress(ids: np.ndarray, last: np.ndarray, base: int):
     """(symbols, last, rules): ``last`` marks where documents end, rule k is what symbol base + k stands for."""
     symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
     top = base
-    for _ in range(rounds):
+    while True:
         small = top + PER_ROUND <= 1 << 16
         kind, shift = (np.uint32, 16) if small else (np.uint64, 32)
         pairs = (symbols[:-1].astype(kind) << kind(shift)) | symbols[1:].astype(kind)
@@ -54,7 +54,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS)
         left, right, chosen = set(), set(), []
         for key in found[keep].tolist():
             a, b = key >> shift, key & ((1 << shift) - 1)
-            if a != b and a not in right and b not in left:
+            if a not in right and b not in left and (a != b or a not in left):
                 left.add(a), right.add(b), chosen.append(key)
         if not chosen:
             break
@@ -65,6 +65,10 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS)
         rank = np.minimum(np.searchsorted(keys, pairs[maybe]), len(keys) - 1)
         hit = keys[rank] == pairs[maybe]
         at, rank = maybe[hit], rank[hit]
+        # only pairs of equal ids touch: of neighbours every other one is replaced
+        run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        at, rank = at[even], rank[even]
         symbols[at] = (top + rank).astype(np.uint32)
         last[at] = last[at + 1]
         stays = np.ones(len(symbols), bool)
@@ -121,6 +125,20 @@ def decode_document(shard: dict, k: int) -> np.ndarray:
     return expand(symbols[at[k]:end], rules, shard["base"])
 
 
+def decode_range(shard: dict, k: int, first: int, end: int) -> np.ndarray:
+    """Ids ``first`` to ``end`` (exclusive) of the k-th document of a shard: only the symbols that reach into them are expanded."""
+    symbols, rules, _, at, _ = _arrays(shard)
+    own = symbols[at[k]:at[k + 1] if k + 1 < len(at) else len(symbols)].astype(np.int64)
+    lengths = np.append(np.frombuffer(shard["rule_lengths"], "<u4"), 1).astype(np.int64)
+    until = np.cumsum(lengths[np.where(own >= shard["base"], own - shard["base"], len(rules))])
+    first, end = max(first, 0), min(end, int(until[-1]) if len(until) else 0)
+    if first >= end:
+        return np.zeros(0, np.uint32)
+    i, j = np.searchsorted(until, first, side="right"), np.searchsorted(until, end, side="left") + 1
+    before = int(until[i - 1]) if i else 0
+    return expand(own[i:j], rules, shard["base"])[first - before:end - before]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, doc_id: str = "doc_id",
                       text: str = "text", shard_ids: int = SHARD_IDS) -> str:
     """Write all texts to ``path`` (a new folder in the shared one if not given) and return it."""

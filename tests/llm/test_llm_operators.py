@@ -1,6 +1,7 @@
 """Each operator against a plain reading of its contract, on odd rows, on nothing, and on a small table."""
 
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -16,7 +17,7 @@ from tamis.llm.pii import KINDS, find_pii, fit_pii, redact
 from tamis.llm.quality import fit_quality, score_quality
 from tamis.llm.queries import QUERIES, remainder, tokenizer_path
 from tamis.llm.substring import COVER, PERIOD, repeated_windows
-from tamis.llm.token_files import compress, decode_document, expand, read_token_files, write_token_files
+from tamis.llm.token_files import LEAST, compress, decode_document, expand, read_token_files, write_token_files
 from tamis.llm.tokens import Encoder, read_tokenizer
 from tamis.llm.topk import top_k
 from tamis.llm.toxicity import fit_toxicity, score_toxicity
@@ -262,6 +263,23 @@ def test_grammar_round_trip_and_random_access(spark, odd, tmp_path):
     assert decode_document(shard, 0).astype("<u4").tobytes() == texts[doc]
 
 
+def test_equal_ids_pair_and_ranges_decode():
+    from tamis.llm.token_files import _shard, decode_range
+
+    rng = np.random.default_rng(3)
+    docs = [np.full(n, 7, np.uint32) for n in (1, 2, 3, 40, 1001)] + [np.tile(np.arange(50, dtype=np.uint32), 9), rng.integers(0, 6, 3000).astype(np.uint32)]
+    docs += [np.concatenate([np.full(5, 3), [9], np.full(4, 3), [7, 7, 3, 3]]).astype(np.uint32)] * 12
+    shard = _shard(0, 0, 0, list(range(len(docs))), docs, 100)
+    assert len(shard["symbols"]) // shard["width"] < sum(map(len, docs)) / 3
+    symbols, at = np.frombuffer(shard["symbols"], "<u2"), set(np.frombuffer(shard["doc_at"], "<u4").tolist())
+    pairs = Counter((a, b) for i, (a, b) in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())) if i + 1 not in at and a != b)
+    assert max(pairs.values()) < LEAST  # no frequent pair is left
+    for k, ids in enumerate(docs):
+        assert (decode_document(shard, k) == ids).all()
+        for first, end in [(0, len(ids)), (0, 1), (len(ids) - 1, len(ids)), (3, 3), (5, 2), (-4, 2), (len(ids), len(ids) + 9), *(sorted(rng.integers(0, len(ids) + 1, 2)) for _ in range(20))]:
+            assert (decode_range(shard, k, first, end) == ids[max(first, 0):max(end, 0)]).all(), (k, first, end)
+
+
 def test_token_files_of_nothing(spark, nothing, tmp_path):
     assert read_token_files(spark, write_token_files(nothing, tokenizer_path(), 2, str(tmp_path / "none"))).collect() == []
 
