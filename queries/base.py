@@ -64,9 +64,15 @@ FROM {orders}
 """
 
 
-def parcel(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(PARCEL, orders=table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+#: What ``parcel`` deals its rows over where a caller says nothing: as the reader's splits are. bench.py sets it from $BENCH_PARTITIONS.
+PARTITIONS: int | None = None
+
+
+def parcel(spark: SparkSession, sf: str, partitions: int | None = None) -> DataFrame:
+    """Orders as parcels. A file of one row group is one task; ``partitions`` deals the rows over more."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    partitions = partitions or PARTITIONS
+    return spark.sql(PARCEL, orders=orders.repartition(partitions) if partitions else orders)
 
 
 def suspects(spark: SparkSession, sf: str, carry=()) -> DataFrame:
