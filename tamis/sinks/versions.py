@@ -129,8 +129,9 @@ def files_with(spark: SparkSession, entries: DataFrame, keys: DataFrame, folder:
     blooms = spark.read.schema("file string, bucket int, bitmap binary").parquet(*folders).join(within.select("file").distinct(), "file", "left_semi")
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
-    hits = (asked.join(blooms, ["file", "bucket"]).groupBy("file", "key").agg(F.count_if(is_set).alias("n"))
-            .filter(F.col("n") == HASHES).select("file").distinct().collect())
+    # files of keys and filters are small, their rows are many: by its size Spark would send either to all tasks
+    hits = materialise(asked.hint("merge").join(blooms.hint("merge"), ["file", "bucket"]).groupBy("file", "key").agg(F.count_if(is_set).alias("n"))
+                       .filter(F.col("n") == HASHES).select("file").distinct(), "hits", f"{folder}/hits").collect()
     return sorted(r["file"] for r in hits)
 
 
@@ -172,7 +173,7 @@ def upsert_table(spark: SparkSession, root: str, updates: DataFrame, order=None,
         changes = materialise(last_updates(updates, keys, order).select(*[F.col(f"`{c}`") for c in known]), "changes", f"{folder}/changes")
 
         def rewrite(old, schema, keys):
-            new = changes.select(_key(keys).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in known]).alias("_new"))
+            new = changes.select(_key(keys).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in known]).alias("_new")).hint("merge")
             both = old.select(_key(keys).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("_old")).join(
                 new, "_k", "full_outer" if insert else "left")
 
@@ -194,7 +195,7 @@ def delete_rows(spark: SparkSession, root: str, keys_gone: DataFrame, rows_per_f
         gone = materialise(keys_gone.select(*[F.col(f"`{k}`") for k in keys]).distinct(), "changes", f"{folder}/changes")
 
         def rewrite(old, schema, keys):
-            return old.withColumn("_k", _key(keys)).join(gone.select(_key(keys).alias("_k")), "_k", "left_anti")
+            return old.withColumn("_k", _key(keys)).join(gone.select(_key(keys).alias("_k")).hint("merge"), "_k", "left_anti")
 
         return _change(spark, root, folder, gone, rewrite, rows_per_file, adds=False)
 

@@ -118,3 +118,24 @@ def test_empty_tables_and_timestamps(spark):
     assert [r["file"] for r in sinks.read_table(spark, root).orderBy("t").collect()] == ["a"] * 7 + ["b"] + ["a"] * 16
     sinks.delete_rows(spark, root, spark.createDataFrame([(t,) for t in at], "t timestamp"))
     assert sinks.read_table(spark, root).collect() == [] and files_of(spark, root) == {}
+
+
+def test_changes_are_not_broadcast(spark, monkeypatch):
+    """Keys take little room in files and much in memory: whatever their files' size, they meet filters and rows in shuffles."""
+    root, plans, write = table_of(spark), {}, versions.materialise
+
+    def noting(df, name, path=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, path)
+
+    monkeypatch.setattr(versions, "materialise", noting)
+    sinks.upsert_table(spark, root, spark.range(0, 2000, 50).selectExpr("id AS k", "'new' AS v"))
+    sinks.upsert_table(spark, root, spark.range(0, 2000, 50).selectExpr("id AS k", "'newer' AS v"), insert=False)
+    sinks.delete_rows(spark, root, spark.range(0, 2000, 100).selectExpr("id AS k"))
+    assert sinks.read_table(spark, root).filter("v = 'newer'").count() == 20 and sinks.read_table(spark, root).count() == 980
+    assert len(plans["hits"]) == len(plans["fresh"]) == 3
+    # the filters' files are named by a broadcast of a row per file, below the sorts
+    for plan in plans["fresh"]:
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    for plan in plans["hits"]:
+        assert "SortMergeJoin [file" in plan and ", bucket#" in plan.split("SortMergeJoin")[1].split("\n")[0]
