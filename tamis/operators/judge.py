@@ -103,6 +103,7 @@ def call_judge(items: DataFrame, judge: Callable, analysis_type: str = "PRIMARY"
 # --- a ledger of committed rounds ---------------------------------------------------
 
 UNASKED = "Not asked"
+FAILURES = "array<struct<record_id:string,rule_id:string,error:string>>"
 LEDGER_SCHEMA = RESPONSE_SCHEMA.replace("rule_id:string>", "rule_id:string,digest:string>")
 COMMITTED = "_SUCCESS"  # fixed value: Spark's mark of a completely written folder
 
@@ -179,6 +180,45 @@ def _array_text(text: Column) -> Column:
     return F.when(found | cut.startswith("["), cut).otherwise(F.concat(F.lit("["), cut, F.lit("]")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there, and also where functions of array elements mention it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _get(v, path, kind="string"):
+    return F.try_variant_get(v, f"$.{path}", kind)
+
+
+def _said() -> Column:
+    """Of a response the answers with the item that each is for (its place, or NULL); NULL if the text is no JSON."""
+    def answer(v, k):
+        return F.struct(k.alias("pos"), v.alias("v"), F.coalesce(_get(v, "record_id"), F.lit("")).alias("record_id"), _get(v, "rule_id").alias("named"),
+                        (_get(v, "evidence", "variant").isNotNull() | _get(v, "reasoning", "variant").isNotNull()).alias("grounded"))
+
+    def key(x, rule):  # NULL if a part is
+        return F.concat(F.length(x["record_id"]).cast("string"), F.lit(":"), x["record_id"], x[rule])
+
+    def with_items(e):
+        def count(texts, text):
+            return F.size(texts) - F.size(F.array_remove(texts, text))
+
+        def item_of(x):
+            nth = F.greatest(F.least(count(F.slice(e["unnamed"], 1, x["pos"] + 1), x["record_id"]), count(e["records"], x["record_id"])), F.lit(1))
+            one = F.array_position(e["records"], x["record_id"])
+            mine = F.filter(F.transform(e["records"], lambda r, k: F.when(r == x["record_id"], k)), lambda k: k.isNotNull())
+            place = F.when(x["named"].isNotNull(), F.array_position(e["keys"], key(x, "named")) - 1).when(nth == 1, one - 1).otherwise(F.get(mine, nth - 1))
+            return F.when(place >= 0, place.cast("int"))
+
+        return F.transform(e["said"], lambda x: F.struct(x["pos"].alias("pos"), x["v"].alias("v"), x["record_id"].alias("record_id"),
+                                                         x["grounded"].alias("grounded"), item_of(x).alias("item")))
+
+    asked = F.coalesce("items", F.array().cast("array<struct<record_id:string,rule_id:string>>"))
+    read = F.try_variant_get(F.try_parse_json(_array_text(F.col("response"))), "$", "array<variant>")
+    return _once(F.transform(read, answer), lambda said: F.when(said.isNotNull(), _once(F.struct(
+        said.alias("said"), F.transform(asked, lambda i: key(i, "rule_id")).alias("keys"), F.transform(asked, lambda i: i["record_id"]).alias("records"),
+        F.transform(said, lambda y: F.when(y["named"].isNull(), y["record_id"])).alias("unnamed")), with_items)))
+
+
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(judgments, failures) from response texts, in JVM JSON functions within each batch's row: no shuffle.
 
@@ -187,47 +227,41 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     does among the record's answers without a rule. Items without a usable answer are failures, and so is
     an answer to something that was not asked. A batch that failed, or whose text is no JSON, fails each of its items.
     """
-    text = _array_text(F.col("response"))
-    read = (responses.withColumn("text", text).withColumn("ok", F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False)))
-            .withColumn("asked", F.transform("items", lambda i, k: F.struct(k.alias("k"), i["record_id"].alias("record_id"), i["rule_id"].alias("rule_id")))))
-
-    def get(v, path, kind="string"):
-        return F.try_variant_get(v, f"$.{path}", kind)
-
-    said = F.transform(F.from_json("text", "array<variant>"), lambda v, k: F.struct(
-        k.alias("pos"), v.alias("v"), F.coalesce(get(v, "record_id"), F.lit("")).alias("record_id"), get(v, "rule_id").alias("named"),
-        (get(v, "evidence", "variant").isNotNull() | get(v, "reasoning", "variant").isNotNull()).alias("grounded")))
-
-    def item_of(x):
-        mine = F.filter("asked", lambda i: i["record_id"] == x["record_id"])
-        unnamed = F.filter("said", lambda y: (y["record_id"] == x["record_id"]) & y["named"].isNull() & (y["pos"] <= x["pos"]))
-        place = F.greatest(F.least(F.size(unnamed), F.size(mine)), F.lit(1))
-        return F.when(x["named"].isNotNull(), F.try_element_at(F.filter(mine, lambda i: i["rule_id"] == x["named"]), F.lit(1))["k"]).otherwise(
-            F.try_element_at(mine, place)["k"])
-
-    fine = (read.filter("ok").withColumn("said", said)
-            .withColumn("said", F.transform("said", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "v", "record_id", "grounded")], item_of(x).alias("item")))))
-    answers = fine.select("batch_id", "analysis_type", "asked", F.explode("said").alias("x")).select("batch_id", "analysis_type", "asked", "x.*")
+    responses = responses.withColumn("items", F.transform("items", lambda i: F.struct(i["record_id"].alias("record_id"), i["rule_id"].alias("rule_id"))))
     v = F.col("v")
-    judgments = answers.filter(F.col("grounded") & F.col("item").isNotNull()).select(
+    # explode_outer: before explode Spark would ask how many answers there are, and read each text twice
+    judgments = (responses.select("batch_id", "items", F.explode_outer(F.filter(_said(), lambda x: x["grounded"] & x["item"].isNotNull())).alias("x"))
+                 .filter("x IS NOT NULL").select("batch_id", "items", "x.*").select(
         "batch_id", "pos", "record_id",
-        F.try_element_at("asked", F.col("item") + 1)["rule_id"].alias("rule_id"),
-        F.coalesce(get(v, "is_error", "boolean"), F.lit(False)).alias("is_error"),
-        F.coalesce(get(v, "error_type"), F.lit("")).alias("error_type"),
-        F.coalesce(get(v, "confidence"), F.lit("LOW")).alias("confidence"),
-        F.when(get(v, "evidence", "variant").isNotNull(), get(v, "evidence")).otherwise(get(v, "reasoning")).alias("reasoning"),
-        F.try_variant_get("v", "$.suggested_correction", "map<string,string>").alias("suggested_correction"))
-    # The reasons "JSON parse error" and "Missing evidence field".
-    reason = F.when(F.exists("said", lambda x: x["item"] == F.col("i.k")), F.lit("Missing evidence field")).otherwise(F.lit("No answer"))
-    unanswered = (fine.select("batch_id", "analysis_type", "said", F.explode("asked").alias("i"))
-                  .filter(~F.exists("said", lambda x: F.coalesce((x["item"] == F.col("i.k")) & x["grounded"], F.lit(False))))
-                  .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", reason.alias("error")))
-    unasked = answers.filter(F.col("item").isNull()).select("batch_id", "analysis_type", "record_id", get(v, "rule_id").alias("rule_id"),
-                                                            F.lit(UNASKED).alias("error"))
-    lost = (read.filter(~F.col("ok")).select("batch_id", "analysis_type", F.explode("items").alias("i"),
-                                             F.coalesce("error", F.lit("JSON parse error")).alias("error"))
-            .select("batch_id", "analysis_type", "i.record_id", "i.rule_id", "error"))
-    return judgments, lost.unionByName(unanswered).unionByName(unasked)
+        F.get("items", F.col("item"))["rule_id"].alias("rule_id"),
+        F.coalesce(_get(v, "is_error", "boolean"), F.lit(False)).alias("is_error"),
+        F.coalesce(_get(v, "error_type"), F.lit("")).alias("error_type"),
+        F.coalesce(_get(v, "confidence"), F.lit("LOW")).alias("confidence"),
+        F.when(_get(v, "evidence", "variant").isNotNull(), _get(v, "evidence")).otherwise(_get(v, "reasoning")).alias("reasoning"),
+        F.try_variant_get("v", "$.suggested_correction", "map<string,string>").alias("suggested_correction")))
+
+    def failure(record_id, rule_id, error):
+        return F.struct(record_id.alias("record_id"), rule_id.alias("rule_id"), error.alias("error"))
+
+    def left_over(said):
+        def of(e):
+            # The reasons "JSON parse error" and "Missing evidence field".
+            unanswered = F.transform(F.filter(F.transform("items", lambda i, k: F.struct(i.alias("i"), k.alias("k"))), lambda i: ~F.array_contains(e["judged"], i["k"])),
+                                     lambda i: failure(i["i"]["record_id"], i["i"]["rule_id"], F.when(
+                                         F.array_contains(e["touched"], i["k"]), F.lit("Missing evidence field")).otherwise(F.lit("No answer"))))
+            unasked = F.transform(F.filter(e["said"], lambda x: x["item"].isNull()), lambda x: failure(x["record_id"], _get(x["v"], "rule_id"), F.lit(UNASKED)))
+            return F.concat(F.coalesce(unanswered, F.array().cast(FAILURES)), unasked)
+
+        def items(found):
+            return F.array_compact(F.transform(found, lambda x: x["item"]))
+
+        lost = F.transform("items", lambda i: failure(i["record_id"], i["rule_id"], F.coalesce("error", F.lit("JSON parse error"))))
+        return F.when(said.isNull(), lost).otherwise(_once(F.struct(
+            said.alias("said"), items(said).alias("touched"), items(F.filter(said, lambda x: x["grounded"])).alias("judged")), of))
+
+    failures = (responses.select("batch_id", "analysis_type", F.explode_outer(_once(_said(), left_over)).alias("x"))
+                .filter("x IS NOT NULL").select("batch_id", "analysis_type", "x.*"))
+    return judgments, failures
 
 
 def failure_reasons(failures: DataFrame) -> DataFrame:

@@ -82,3 +82,23 @@ def test_tries_lie_apart(spark):
     start = time.perf_counter()
     calls = judge.call_judge(items_of(spark, 1), speaker("x", fail=0), retries=2, backoff=0.5, parallel_calls=1).collect()
     assert time.perf_counter() - start >= 1.5 and calls[0]["error"] == "too slow"
+
+
+def test_a_response_is_read_in_one_pass(spark):
+    """Answers by name, without one, repeated, invented, bare and missing; each response is scanned once for judgments and once for failures."""
+    asked = [("r1", "a"), ("r1", "b"), ("r2", "a"), ("r3", None), (None, "a"), ("r5", "x")]
+    said = [{"record_id": "r1", "reasoning": "first"}, {"record_id": "r1", "evidence": 2}, {"record_id": "r1", "evidence": "third"}, {"record_id": "r2", "rule_id": "a"},
+            {"record_id": "r2", "rule_id": "zzz", "evidence": "e"}, {"record_id": "r3", "evidence": "e", "rule_id": "a"}, 7]
+    rows = [("1", "PRIMARY", asked, "so [" + ", ".join(map(json.dumps, said)) + "] end", None), ("2", "PRIMARY", asked[:1], "[{", None), ("3", "PRIMARY", asked[:2], None, "late"),
+            ("4", "PRIMARY", [], "[]", None)]
+    calls = spark.createDataFrame(rows, "batch_id string, analysis_type string, items array<struct<record_id:string,rule_id:string>>, response string, error string")
+    good, bad = judge.parse_responses(calls)
+    assert [tuple(r) for r in good.orderBy("pos").select("record_id", "rule_id", "reasoning").collect()] == [("r1", "a", "first"), ("r1", "b", "2"), ("r1", "b", "third")]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in bad.select("batch_id", "record_id", "rule_id", "error").collect()), key=key) == sorted([
+        ("1", "r2", "a", "Missing evidence field"), ("1", "r3", None, "No answer"), ("1", None, "a", "No answer"), ("1", "r5", "x", "No answer"),
+        ("1", "r2", "zzz", "Not asked"), ("1", "r3", "a", "Not asked"), ("1", "", None, "Not asked"),
+        ("2", "r1", "a", "JSON parse error"), ("3", "r1", "a", "late"), ("3", "r1", "b", "late")], key=key)
+    for frame in (good, bad):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
