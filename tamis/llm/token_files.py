@@ -35,7 +35,9 @@ FORMAT = ("part int, shard int, start_in_part long, n_ids long, base long, width
 
 
 def _runs(sorted_keys):
-    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    first = np.ones(len(sorted_keys), bool)
+    first[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    at = np.flatnonzero(first)
     return sorted_keys[at], np.diff(np.append(at, len(sorted_keys)))
 
 
