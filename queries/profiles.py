@@ -261,9 +261,8 @@ def rank_keys(spark, sf):
     return schema.rank_keys(keyed_orders(spark, sf))
 
 
-@query("detect_key", f"SELECT * EXCLUDE (distinct_count) FROM ({_KEYS_SQL})")
+@query("detect_key", _KEYS_SQL)
 def detect_key(spark, sf):
-    """Values are counted of the columns alone that a sketch leaves open."""
     return schema.detect_key(keyed_orders(spark, sf))
 
 

@@ -145,17 +145,8 @@ def _unique(df: DataFrame, column: str) -> bool:
 
 
 def detect_key(df: DataFrame, columns=None) -> DataFrame:
-    """Per column: priority, rows, present values, whether it is unique, and whether it is the key.
-
-    Only columns that a sketch leaves open are counted, each by a shuffle of its own; the others cannot be unique.
-    """
-    columns = list(columns or df.columns)
-    rows, present, open_ = _sketched(df, columns)
-    unique = [i for i in open_ if _unique(df, columns[i])]
-    key = next((i for i in unique), None) if all(_priority(c) for c in columns) else None
-    return df.sparkSession.createDataFrame(
-        [(c, _priority(c), rows, present[i], i in unique or rows == 0, i == key) for i, c in enumerate(columns)],
-        "column_name string, priority int, row_count long, present_count long, is_unique boolean, is_key boolean")
+    """Per column: priority, rows, present and different values, whether it is unique, and whether it is the key. All are counted exactly."""
+    return rank_keys(df, columns)
 
 
 def find_key(df: DataFrame, columns=None) -> str | None:

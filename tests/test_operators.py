@@ -520,3 +520,9 @@ def test_merge_rules(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_detect_key_counts_every_column(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", None), (3, None, None)], "id long, name string, other long")
+    assert {r["column_name"]: (r["row_count"], r["present_count"], r["distinct_count"], r["is_unique"], r["is_key"]) for r in schema.detect_key(df).collect()} == {
+        "id": (3, 3, 3, True, True), "name": (3, 2, 1, False, False), "other": (3, 1, 1, False, False)}
