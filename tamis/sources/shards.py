@@ -2,8 +2,8 @@
 
 A feed is a folder ``shard=<name>/segment=<first number>/`` of text files, an envelope per line, in ascending order of their numbers; writers add
 lines in new segments or files and never change old ones. The stream's offset holds, for each shard, the last number read, so a restart goes
-on after that number in every shard, however far apart they are, and a shard that appears later is read from its beginning. A segment
-is a task, so a backlog is read in parallel. Segments and the last numbers are found by listing folders and reading the last segment of each
+on after that number in every shard, however far apart they are, and a shard that appears later is read from its beginning. A segment,
+or a few of many, is a task, so a backlog is read in parallel. Segments and the last numbers are found by listing folders and reading the last segment of each
 shard alone.
 
 A line that is no envelope, or has no number, cannot be addressed by itself: it is delivered, as text without number, together with the numbered
@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from .feed import envelope_schema
 
+TASKS = 500  # at most so many read at a time
 LINE = "shard string, sequence_number string, line string"
 
 
@@ -55,15 +56,20 @@ class ShardFiles:
     def shards(self) -> list[str]:
         return self._named(self._root, "shard")
 
+    def named_segments(self, shard: str) -> dict[int, list[str]]:
+        """The names of each segment (one, but for zeros in front), in ascending order; lists the shard's folder."""
+        found: dict[int, list[str]] = {}
+        for name in self._named(f"{self._root}/shard={shard}", "segment"):
+            found.setdefault(int(name), []).append(name)
+        return dict(sorted(found.items()))
+
     def segments(self, shard: str) -> list[int]:
-        return sorted(int(s) for s in self._named(f"{self._root}/shard={shard}", "segment"))
+        return list(self.named_segments(shard))
 
-    def lines(self, shard: str, segment: int) -> Iterator[tuple[int, bool, str]]:
-        """(number, or that of the line before; whether it is the line's own; line) in order."""
+    def lines(self, shard: str, segment: int, names: list[str] | None = None) -> Iterator[tuple[int, bool, str]]:
+        """(number, or that of the line before; whether it is the line's own; line) in order. With its ``names`` at hand the shard is not listed."""
         folder = f"{self._root}/shard={shard}"
-        for name in self._named(folder, "segment"):
-            if int(name) != segment:
-                continue
+        for name in self.named_segments(shard).get(segment, []) if names is None else names:
             for info in self._list(f"{folder}/segment={name}"):
                 if not info.is_file or info.base_name[0] in "._":
                     continue
@@ -75,8 +81,8 @@ class ShardFiles:
                         yield last, number is not None, line
 
     def last(self, shard: str) -> int | None:
-        for segment in reversed(self.segments(shard)):
-            numbers = [n for n, _, _ in self.lines(shard, segment)]
+        for segment, names in reversed(self.named_segments(shard).items()):
+            numbers = [n for n, _, _ in self.lines(shard, segment, names)]
             if numbers:
                 return max(numbers)
         return None
@@ -94,27 +100,39 @@ def _text_lines(raw, size: int = 1 << 20) -> Iterator[str]:
 
 
 class _Segment(InputPartition):
-    def __init__(self, shard: str, segment: int, after: int, upto: int):
-        self.shard, self.segment, self.after, self.upto = shard, segment, after, upto
+    def __init__(self, shard: str, segment: int, after: int, upto: int, names: list[str] | None = None):
+        self.shard, self.segment, self.after, self.upto, self.names = shard, segment, after, upto, names
+
+
+class _Segments(InputPartition):
+    def __init__(self, parts: list[_Segment]):
+        self.parts = parts
 
 
 def _segments(files: ShardFiles, start: dict, end: dict) -> list[_Segment]:
     """The segments that reach into (start, end] of each shard."""
     out = []
     for shard, upto in end.items():
-        after, found = int(start.get(shard, -1)), files.segments(shard)
+        after, named = int(start.get(shard, -1)), files.named_segments(shard)
+        found = list(named)
         for i, first in enumerate(found):
             if first <= int(upto) and (i + 1 == len(found) or found[i + 1] > after):
-                out.append(_Segment(shard, first, after, int(upto)))
+                out.append(_Segment(shard, first, after, int(upto), named[first]))
     return out
 
 
-def _read(path: str, part: _Segment | None):
-    if part is None:  # a feed without segments
-        return
-    for number, own, line in ShardFiles(path).lines(part.shard, part.segment):
-        if part.after < number <= part.upto:
-            yield part.shard, str(number) if own else None, line
+def _tasks(segments: list[_Segment]) -> list[_Segments]:
+    """A task per segment, or, of many, tasks of as many neighbours each."""
+    size = max(1, -(-len(segments) // TASKS))
+    return [_Segments(segments[i:i + size]) for i in range(0, len(segments), size)]
+
+
+def _read(path: str, task: _Segments | None):
+    files = ShardFiles(path)
+    for part in task.parts if task else []:  # none: a feed without segments
+        for number, own, line in files.lines(part.shard, part.segment, part.names):
+            if part.after < number <= part.upto:
+                yield part.shard, str(number) if own else None, line
 
 
 def _ends(files: ShardFiles) -> dict[str, str]:
@@ -133,7 +151,7 @@ class _ShardStream(DataSourceStreamReader):
         return self._start | _ends(ShardFiles(self._path))
 
     def partitions(self, start: dict, end: dict):
-        return _segments(ShardFiles(self._path), start, end)
+        return _tasks(_segments(ShardFiles(self._path), start, end))
 
     def read(self, partition):
         return _read(self._path, partition)
@@ -145,7 +163,7 @@ class _ShardBatch(DataSourceReader):
 
     def partitions(self):
         files = ShardFiles(self._path)
-        return _segments(files, self._start, _ends(files))
+        return _tasks(_segments(files, self._start, _ends(files)))
 
     def read(self, partition):
         return _read(self._path, partition)

@@ -80,3 +80,22 @@ def test_changes_without_number_do_not_vanish(spark, tmp_path):
     assert sources.read_feed_after(spark, str(tmp_path), IMAGE).count() == 4
     with pytest.raises(Exception, match="no sequence number"):
         sources.read_feed_after(spark, str(tmp_path), IMAGE, "1").collect()
+
+
+def test_many_segments_are_few_tasks_and_one_listing(tmp_path):
+    from tamis.sources import shards
+
+    for i in range(1, 1203):
+        folder = tmp_path / "shard=a" / f"segment={i:06d}"
+        folder.mkdir(parents=True)
+        (folder / "part").write_text(f'{{"sequence_number": "{i}"}}\n')
+    listed, files = [], ShardFiles(str(tmp_path))
+    tasks = shards._tasks(_segments(files, {}, {"a": "1202"}))
+    assert len(tasks) <= shards.TASKS and [p.segment for t in tasks for p in t.parts] == list(range(1, 1203))
+    whole = ShardFiles._list
+    try:
+        ShardFiles._list = lambda self, path: listed.append(path) or whole(self, path)
+        read = [r for t in tasks[:3] for r in shards._read(str(tmp_path), t)]
+    finally:
+        ShardFiles._list = whole
+    assert [r[1] for r in read] == [str(p.segment) for t in tasks[:3] for p in t.parts] and all("segment=" in path for path in listed)
