@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from tamis import sinks, sources, streaming
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import Rule
-from tamis.session import fresh_path, materialise
+from tamis.session import folder_bytes, fresh_path, materialise
 
 from .base import parcel, query, sql, table
 
@@ -65,7 +65,7 @@ def scan_json_split(spark, sf):
     rows.select(text.alias("value"), key).coalesce(1).sortWithinPartitions(key).select("value").write.option("lineSep", " ").text(path)
     setting, conf = "spark.sql.files.maxPartitionBytes", spark.conf
     before = conf.get(setting)
-    conf.set(setting, "64k")
+    conf.set(setting, str(max(64 * 1024, folder_bytes(spark, path) // 500)))  # many tasks, whose number does not grow with a large file
     try:
         return materialise(sources.read_json_array(spark, path, kind), "elements")
     finally:

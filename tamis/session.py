@@ -86,6 +86,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The size of all files of a folder."""
+    where, system = _folder(spark, path)
+    return system.getContentSummary(where).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove an intermediate that this library wrote."""
     where, system = _folder(spark, path)

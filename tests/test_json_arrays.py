@@ -69,3 +69,10 @@ def test_levels_of_a_fragment():
 def test_nothing(spark, tmp_path):
     (tmp_path / "e.json").write_text("")
     assert sources.read_json_array(spark, str(tmp_path), SCHEMA).collect() == []
+
+
+def test_the_size_of_a_folder(spark, tmp_path):
+    from tamis.session import folder_bytes
+
+    spark.range(100).selectExpr("repeat('x', 9) AS value").coalesce(2).write.text(str(tmp_path / "t"))
+    assert folder_bytes(spark, str(tmp_path / "t")) == 1000
