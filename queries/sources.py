@@ -260,7 +260,7 @@ def stream_late(spark, sf):
     out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
     newest = events.agg(F.max("ts")).head()[0]
     for part in (F.col("ts") > F.lit(newest) - F.make_interval(days=F.lit(3)), F.lit(True)):
-        events.filter(part).coalesce(1).write.mode("append").parquet(source)
+        events.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
         streaming.write_stream(streaming.stream_suspects_and_late(stream, EVENT_RULES, "event_id", "ts", "2 days"), out, state,
                                empty_batches=False).awaitTermination()

@@ -56,19 +56,17 @@ def stream_suspects_and_late(stream: DataFrame, rules, key: str, event_time: str
             else:
                 state.remove()
             return
-        rows = pd.concat(frames)
+        rows = [r for f in frames for r in zip(f["event_time"], f["payload"])]  # plain rows: most keys have one, and a frame costs more than that
         if state.exists:
             wait(state.get[0])
             return
-        at = (rows["event_time"] - pd.Timestamp(0)).dt.total_seconds().mul(1000).fillna(-1).astype("int64")
-        late = at < watermark
-        rows = rows.assign(_at=at, late=late, record_id=key[0], rule_id=key[1]).sort_values(["_at", "payload"])
-        columns = ["record_id", "rule_id", "event_time", "payload", "late"]
-        timely = rows[~rows["late"]]
-        first = int(timely["_at"].iloc[0]) if len(timely) else watermark
+        rows = sorted(((-1 if pd.isna(t) else t.value // 1_000_000, payload, t) for t, payload in rows), key=lambda r: r[:2])
+        timely = [r for r in rows if r[0] >= watermark]
+        first = timely[0][0] if timely else watermark
         state.update((first,))
         wait(first)
-        yield (timely if len(timely) else rows).iloc[:1][columns]
+        _, payload, at = (timely or rows)[0]
+        yield pd.DataFrame({"record_id": [key[0]], "rule_id": [key[1]], "event_time": pd.Series([at], dtype="datetime64[ns]"), "payload": [payload], "late": [not timely]})
 
     schema = T.StructType([f for f in found.schema if f.name not in ("record_id", "rule_id", "event_time")])
     out = packed.groupBy("record_id", "rule_id").applyInPandasWithState(
