@@ -51,12 +51,25 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: it survives lost executors and cuts the lineage."""
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nobody has written to yet."""
+    return f"{shared_folder(spark)}/tamis-llm/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate that was written here and is read no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None, row_group: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: it survives lost executors and cuts the lineage. ``row_group``: so many bytes are
+    held at once, for rows of large blobs, which are packed tighter."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tamis-llm/{name}-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, name)
+    options = {} if row_group is None else {"parquet.block.size": row_group, "compression": "zstd"}
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

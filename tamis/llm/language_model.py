@@ -6,13 +6,15 @@ customer joins a table of its dish or opens one, and each table is a customer of
 
 Pairs of a context and a dish are dealt into buckets by the dish's hash, those of a hot dish (a share of 1/10000 or more) by the
 context's, so that no bucket grows with a hot word; which dishes are hot decides where pairs lie, not what has a restaurant. Given how
-many tables each restaurant has in total, the seatings of different dishes are independent, so a bucket samples its own, with totals
-estimated from what it sees: a sweep unseats and reseats every dish in the context restaurants, then in the parent, with blocks of customers
-that grow with those already seated. Tables are averaged over the kept sweeps. The first job sums these averages: over each context, in a table
-dealt by context that answers each bucket for its own contexts, and over the parent. The second job samples the same seatings again, from the same
-seeds, and answers the batches of documents, each of which had sent its distinct tokens and pairs. So customers, tables and totals of a
-prediction all come from one set of averages, and the probabilities of the vocabulary and the unknown word sum to one in every
-context. The driver sees the hot dishes and a few sums, nothing else.
+many tables each restaurant has in total, the seatings of different dishes are independent, so a bucket samples its own: a sweep unseats and
+reseats every dish in the context restaurants, then in the parent, with blocks of customers that grow with those already seated.
+Tables are averaged over the kept sweeps. Three steps read what the batches of documents sent, their distinct tokens and pairs, which is written once.
+The first counts, over all buckets, the dishes of each context, the contexts of each hot dish, the types and the pairs: these are the totals while seating, for tables
+that lie in other buckets are taken at their least, one a pair. Contexts are summed in a table dealt by context that answers each
+bucket for its own. The second step samples, and sums the averages over each context, likewise, and over the parent. The third samples the same
+seatings again, from the same seeds, and answers the batches. So customers, tables and totals of a prediction all come from one set
+of averages, and the probabilities of the vocabulary and the unknown word sum to one in every context. The driver sees the hot dishes
+and a few sums, nothing else.
 
 Defined results: null and empty texts are the end alone; repeated rows are scored, and learnt from, one by one; without training
 texts every token is unknown and has probability 1; an empty table gives an empty result.
@@ -22,14 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, find_words, in_batches, materialise, mix, slices, text_size
+from .common import U64, find_words, fresh_path, in_batches, materialise, mix, remove_folder, slices, text_size
 
 HOT = 1e-4  # of the training tokens; pairs of such a dish are dealt by context
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20  # of text
 END = mix(np.array([0xE0F], U64))[0]
 BLOB = "batch long, bucket long, blob binary"
+ROW_GROUP = 16 << 20  # bytes of blobs that a task writes or reads at once
 SUMS = pa.schema([(n, t) for n, t in zip(("k", "x", "y", "owner", "bucket", "blob"), (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()))])
 BURN_IN, SAMPLES = 2, 3
 THETA, ROUGH = 1.0, 0.75  # the strength of every restaurant; the discount while seating
@@ -74,7 +78,8 @@ class _Asked:
         rank = np.where(np.append(hot, U64(0))[at] == self.tokens, at, -1) if len(hot) else np.full(len(self.tokens), -1)
         rank = rank[dish]
         bucket = np.where(rank < 0, self.owner[dish], self.owner[context])
-        order = np.lexsort((rank >= 0, bucket))  # of a bucket first the pairs of its own dishes
+        # of a bucket first the pairs of its own dishes; short numbers are sorted by radix
+        order = np.argsort((bucket * 2 + (rank >= 0)).astype(np.uint16 if n_buckets <= 1 << 15 else np.int64), kind="stable")
         self.which_pair = np.empty(len(order), np.int64)
         self.which_pair[order] = np.arange(len(order))
         self.which_pair = self.which_pair[which_pair]
@@ -155,22 +160,30 @@ class _Bucket:
             at = at[customers[at] > seated]
         return tables
 
-    def sample(self, n_buckets, seed):
+    def n_here(self):
+        """How many dishes follow each context in training texts, of the pairs of this bucket."""
+        return np.bincount(self.context, self.pair_counts > 0, len(self.contexts))
+
+    def hot_here(self):
+        """How many contexts each hot dish follows, of the pairs of this bucket."""
+        return np.bincount(self.dish, self.pair_counts > 0, self.n_dishes)[self.own:]
+
+    def sample(self, counted, n_contexts, seed):
         """(tables by pair, tables in the parent by dish, guests of the parent by dish), averaged over the kept sweeps.
 
-        Buckets are alike, being cut by a hash: the types and totals of all are taken to be those here, as often as there are buckets; a hot
-        dish is taken to have in each bucket the guests it has here; a pair's context to have its other dishes here in each other bucket too.
+        ``counted`` holds the types, pairs and contexts of each hot dish over all buckets, ``n_contexts`` the dishes of each context of this one. Tables
+        in other buckets count as one a pair.
         """
         rng = np.random.default_rng(seed)
-        n_here = np.bincount(self.context, self.pair_counts > 0, len(self.contexts))
-        open_mass = THETA + ROUGH * (1 + np.maximum(n_here[self.context] - 1, 0) * n_buckets)
-        types, all_guests = (float((x > 0).sum()) * n_buckets for x in (self.counts, self.pair_counts))
+        open_mass = THETA + ROUGH * n_contexts[self.context]
+        types, all_guests = counted["types"], counted["pairs"]
+        elsewhere = np.concatenate([np.zeros(self.own), counted["hot"] - self.hot_here()])
         share = np.full(self.n_dishes, 1 / (types + 1))
         sums = None
         for sweep in range(BURN_IN + SAMPLES):
             tables = self.seat(self.pair_counts, open_mass * share[self.dish], ROUGH, rng)
             guests = np.bincount(self.dish, tables, self.n_dishes)
-            everywhere = np.concatenate([guests[:self.own], guests[self.own:] * n_buckets])
+            everywhere = guests + elsewhere
             new = (THETA + ROUGH * types) / (types + 1)
             top = self.seat(everywhere, np.full(len(guests), new), ROUGH, rng)
             share = (everywhere - ROUGH * top + new) / (THETA + all_guests)
@@ -184,6 +197,17 @@ def _share(m, guests, top):
     return (guests - m["d0"] * top + (THETA + m["d0"] * m["top"]) / (m["types"] + 1)) / (THETA + m["guests"])
 
 
+def _by_context(replies):
+    """The numbers that the owners of a bucket's contexts replied, in the order of its contexts."""
+    return np.frombuffer(b"".join(replies.sort_by("owner")["blob"].to_pylist()), "<u4")
+
+
+def _counts(rows, n_hot) -> dict:
+    """The types, pairs and contexts of each hot dish, summed over all buckets."""
+    got = {r["k"]: (r["x"], r["y"]) for r in rows}
+    return {"types": got.get(-1, (0.0, 0.0))[1], "pairs": got.get(-2, (0.0, 0.0))[0], "hot": np.array([got.get(k, (0.0, 0.0))[0] for k in range(n_hot)])}
+
+
 def _totals(rows, n_hot, seed) -> dict:
     """The model's numbers from the sums over all buckets: the guests of each hot dish, and below 0 those of the other dishes' parent."""
     got = {r["k"]: (r["x"], r["y"]) for r in rows}
@@ -232,23 +256,38 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         asked = _Asked(table["text"], table["train"].to_numpy(), known.value, n_buckets)
         return _rows([(key[0].as_py(), k, blob) for k, blob in asked.blobs()])
 
-    def measure(key, table):
-        bucket, number = _Bucket(table["blob"].to_pylist(), known.value), key[0].as_py()
-        tables, top, guests = bucket.sample(n_buckets, (seed, number))
-        hot = guests[bucket.own:]
-        top, guests = top[:bucket.own], guests[:bucket.own]
-        at = _owner(known.value, n_buckets)
-        of = [(i, hot[i], 0, at[i]) for i in np.flatnonzero(hot).tolist()]
-        of += [(-1, bucket.counts.sum(), (bucket.counts > 0).sum(), number), (-2, (bucket.pair_counts == 1).sum(), (bucket.pair_counts == 2).sum(), number),
-               (-3, (guests == 1).sum(), (guests == 2).sum(), number), (-4, top.sum(), guests.sum(), number)]
-        by_context = np.rint(np.bincount(bucket.context, tables, len(bucket.contexts)) * SAMPLES).astype("<u4")  # whole numbers: sums over the sweeps
+    def send(bucket, number, of, of_contexts):
+        """Sums to their owners, and a whole number per context to that of the context."""
         cut = np.searchsorted(_owner(bucket.contexts, n_buckets), np.arange(n_buckets + 1)).tolist()
-        sent = [(k, bucket.contexts[i:j].tobytes() + by_context[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+        sent = [(k, bucket.contexts[i:j].tobytes() + of_contexts[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
         return pa.Table.from_pylist([{"k": k, "x": float(x), "y": float(y), "owner": int(o)} for k, x, y, o in of]
                                     + [{"owner": k, "bucket": number, "blob": b} for k, b in sent], SUMS)
 
+    def of_hot(hot):
+        at = _owner(known.value, n_buckets)
+        return [(i, hot[i], 0, at[i]) for i in np.flatnonzero(hot).tolist()]
+
+    def count_pairs(key, table):
+        bucket, number = _Bucket(table["blob"].to_pylist(), known.value), key[0].as_py()
+        of = [(-1, bucket.counts.sum(), (bucket.counts > 0).sum(), number), (-2, (bucket.pair_counts > 0).sum(), 0, number)]
+        return send(bucket, number, of_hot(bucket.hot_here()) + of, bucket.n_here())
+
+    def seated(key, table, of_contexts):
+        """A bucket with its seatings; ``of_contexts``: what the owners of its contexts counted."""
+        bucket, number = _Bucket(table["blob"].to_pylist(), known.value), key[0].as_py()
+        return bucket, number, bucket.sample(counts_of.value, _by_context(of_contexts), (seed, number))
+
+    def measure(key, table, of_contexts):
+        bucket, number, (tables, top, guests) = seated(key, table, of_contexts)
+        hot = guests[bucket.own:]
+        top, guests = top[:bucket.own], guests[:bucket.own]
+        of = [(-1, bucket.counts.sum(), (bucket.counts > 0).sum(), number), (-2, (bucket.pair_counts == 1).sum(), (bucket.pair_counts == 2).sum(), number),
+              (-3, (guests == 1).sum(), (guests == 2).sum(), number), (-4, top.sum(), guests.sum(), number)]
+        by_context = np.rint(np.bincount(bucket.context, tables, len(bucket.contexts)) * SAMPLES)  # whole numbers: sums over the sweeps
+        return send(bucket, number, of_hot(hot) + of, by_context)
+
     def add(key, table):
-        """The tables of an owner's contexts over all buckets, for each bucket in the order of its contexts; and the sums it got."""
+        """The numbers of an owner's contexts summed over all buckets, for each bucket in the order of its contexts; and the sums it got."""
         owner, rows = key[0].as_py(), table.to_pylist()
         of: dict = {}
         for row in rows:
@@ -264,27 +303,36 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         return pa.Table.from_pylist([{"k": k, "x": x, "y": y, "owner": owner} for k, (x, y) in of.items()]
                                     + [{"owner": owner, "bucket": row["bucket"], "blob": tables[i:j].tobytes()} for row, i, j in zip(sent, cut, cut[1:])], SUMS)
 
-    asked = dealt.groupBy("batch").applyInArrow(ask, BLOB).groupBy("bucket")
     kinds = "k long, x double, y double, owner long, bucket long, blob binary"
-    summed = materialise(asked.applyInArrow(measure, kinds).groupBy("owner").applyInArrow(add, kinds), "summed")
-    sums = summed.filter("k IS NOT NULL").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    totals = spark.sparkContext.broadcast(_totals(sums, len(known.value), seed))  # a number per hot dish
-    by_context = summed.filter("k IS NULL").select("owner", "bucket", "blob")
+
+    def sum_up(parts, name):
+        """What the owners summed up: rows to the driver, and a blob per owner and bucket."""
+        summed = materialise(parts.groupBy("owner").applyInArrow(add, kinds), name)
+        sums = summed.filter("k IS NOT NULL").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
+        return sums, summed.filter("k IS NULL").select("owner", "bucket", "blob")
+
+    path = fresh_path(spark, "asked")
+    written = materialise(dealt.groupBy("batch").applyInArrow(ask, BLOB), "asked", path, ROW_GROUP)
+    asked = written.groupBy("bucket")
+    sums, n_contexts = sum_up(asked.applyInArrow(count_pairs, kinds), "pairs")
+    counts_of = spark.sparkContext.broadcast(_counts(sums, len(known.value)))  # a number per hot dish
+    sums, by_context = sum_up(asked.cogroup(n_contexts.groupBy("bucket")).applyInArrow(measure, kinds), "summed")
+    totals = spark.sparkContext.broadcast(_totals(sums, len(known.value), seed))  # likewise
 
     def answer(key, table, of_contexts):
-        m, number = totals.value, key[0].as_py()
-        bucket = _Bucket(table["blob"].to_pylist(), known.value)
-        context_tables = np.frombuffer(b"".join(of_contexts.sort_by("owner")["blob"].to_pylist()), "<u4")
-        tables, top, guests = bucket.sample(n_buckets, (seed, number))
+        m = totals.value
+        counted = pc.equal(of_contexts["counted"], True)
+        bucket, number, (tables, top, guests) = seated(key, table, of_contexts.filter(counted))
+        context_tables = _by_context(of_contexts.filter(pc.invert(counted)))
         share = _share(m, guests[:bucket.own], top[:bucket.own])
         share[bucket.held_at] = m["hot_share"][bucket.held]
-        seated = bucket.pair_counts - m["d"] * tables
+        customers = bucket.pair_counts - m["d"] * tables
         own_tables = context_tables[bucket.as_context]
         out = []
         for k, b in enumerate(table["batch"].to_pylist()):
             w, q = bucket.which[bucket.cut[k]:bucket.cut[k + 1]], bucket.which_pair[bucket.pair_cut[k]:bucket.pair_cut[k + 1]]
             out.append((b, number, b"".join([np.array([len(w), len(q)], "<u4").tobytes(), *map(_planes, (
-                bucket.counts[w].astype("<u4"), own_tables[w], share[w].astype("<f4"), seated[q].astype("<f4")))])))
+                bucket.counts[w].astype("<u4"), own_tables[w], share[w].astype("<f4"), customers[q].astype("<f4")))])))
         return _rows(out)
 
     def score(key, table, replies):
@@ -307,7 +355,13 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
                          "train_tokens": pa.array(np.full(n_docs, m["tokens"])), "base_score": pa.array(base), "score": pa.array(whole),
                          "perplexity": pa.array(10 ** np.minimum(-whole / np.maximum(tokens, 1), 300))} | each)
 
-    answers = asked.cogroup(by_context.groupBy("bucket")).applyInArrow(answer, BLOB)
+    both = n_contexts.withColumn("counted", F.lit(True)).unionByName(by_context.withColumn("counted", F.lit(False)))
+    parts = []
+    for half in (0, 1):  # the buckets in two jobs, so that what was asked lies on disk once and a half
+        own_half = F.col("bucket") % 2 == half
+        parts.append(materialise(written.filter(own_half).groupBy("bucket").cogroup(both.filter(own_half).groupBy("bucket")).applyInArrow(answer, BLOB), "answers", None, ROW_GROUP))
+    answers = parts[0].unionByName(parts[1])
+    remove_folder(spark, path)  # it is large, and every answer is written
     return (dealt.groupBy("batch").cogroup(answers.groupBy("batch"))
             .applyInArrow(score, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double" + ", token_scores array<double>" * with_tokens))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.llm import language_model
 from tamis.llm.decontaminate import decontaminate, find_contamination
 from tamis.llm.language_model import score_texts
 from tamis.llm.near_dup import _compared, components, drop_near_duplicates, near_duplicates, super_minhash
@@ -330,6 +331,26 @@ def test_probabilities_of_the_vocabulary_sum_to_one(spark, monkeypatch):
             assert sum(10 ** x[1] for x in each[k * len(seconds):(k + 1) * len(seconds)]) == pytest.approx(1, abs=1e-5), (hot, k)
 
 
+def test_totals_while_seating_are_counted_over_all_buckets(spark, monkeypatch):
+    """Types, pairs and contexts of hot dishes as a plain count gives them, however few of them one bucket holds."""
+    monkeypatch.setattr("tamis.llm.language_model.BUCKET_BYTES", 1 << 9)
+    monkeypatch.setattr("tamis.llm.language_model.BATCH_BYTES", 1 << 10)
+    seen, plain = [], language_model._counts
+    monkeypatch.setattr("tamis.llm.language_model._counts", lambda rows, n_hot: seen.append(plain(rows, n_hot)) or seen[-1])
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(300)], 25, p=(p := 1 / np.arange(1, 301)) / p.sum()))) for i in range(120)]
+    tokens = [(before, word) for i, t in rows if i % 10 for before, word in zip(["", *t.split()], [*t.split(), ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1e-2, 2.0):
+        monkeypatch.setattr("tamis.llm.language_model.HOT", hot)
+        assert score_texts(df, F.col("doc_id") % 10 != 0).count() == 120
+        words = Counter(word for _, word in tokens)
+        follows = Counter(word for _, word in set(tokens))
+        counted = seen.pop()
+        assert counted["types"] == len(words) and counted["pairs"] == len(set(tokens))
+        assert sorted(counted["hot"]) == sorted(follows[w] for w, n in words.items() if n >= hot * len(tokens))
+
+
 # --- the queries -----------------------------------------------------------------------------------
 
 def test_there_is_a_query_for_every_operator():
