@@ -219,13 +219,13 @@ def pattern_key(error_type="error_type", rule_id="rule_id", target_columns="targ
                        F.concat_ws(",", F.col(target_columns)))
 
 
-def csv_cell_type(col: Column) -> Column:
-    """What a CSV cell reads as: null, integer, float or string."""
+def csv_cell_type(col: Column, null="null", integer="integer", real="float", string="string") -> Column:
+    """What a CSV cell reads as: null, integer, float or string, or what is given for each."""
     text = F.btrim(col, F.lit(" \t\n\r\f\v"))
-    return (F.when(col.isNull() | (col == ""), "null")
-            .when(text.rlike(_INT_TEXT), "integer")
-            .when(text.rlike(_FLOAT_TEXT), "float")
-            .otherwise("string"))
+    return (F.when(col.isNull() | (col == ""), null)
+            .when(text.rlike(_INT_TEXT), integer)
+            .when(text.rlike(_FLOAT_TEXT), real)
+            .otherwise(string))
 
 
 def contains_text(columns: list[Column], needle: str) -> Column:

@@ -67,27 +67,38 @@ def coerce_csv(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\f\v")), "_", "")
+    return F.translate(F.btrim(text, F.lit(" \t\n\r\f\v")), "_", "")
+
+
+TYPE_BITS = {k: 1 << n for n, k in enumerate(("integer", "wide", "huge", "float", "string"))}
+
+
+def _type_bits(df: DataFrame) -> DataFrame:
+    """One row: per column the bits of all that its cells read as. A cell is read once, into its bit."""
+    def bit(text):
+        bare = _bare(text)
+        whole = (F.when(bare.try_cast("bigint").isNotNull(), TYPE_BITS["integer"]).when(bare.try_cast(WIDE).isNotNull(), TYPE_BITS["wide"])
+                 .otherwise(TYPE_BITS["huge"]))
+        return csv_cell_type(text, 0, whole, TYPE_BITS["float"], TYPE_BITS["string"])
+
+    read = df.select(*[bit(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    return read.agg(*[F.bit_or(f"_{i}").alias(f"_{i}") for i in range(len(df.columns))])
 
 
 def csv_types(df: DataFrame) -> dict[str, str]:
-    """Widest reading of each text column: one row of counts comes back to the driver.
+    """Widest reading of each text column: one row comes back to the driver.
 
     Whole numbers that no bigint holds make a column ``wide`` (38 digits), longer ones leave it text.
     """
-    aggs = []
-    for i, c in enumerate(df.columns):
-        kind = csv_cell_type(F.col(f"`{c}`"))
-        aggs += [F.count_if(kind == k).alias(f"{k}{i}") for k in ("integer", "float", "string")]
-        aggs += [F.count_if((kind == "integer") & _bare(F.col(f"`{c}`")).try_cast(t).isNull()).alias(f"{k}{i}") for k, t in (("wide", "bigint"), ("huge", WIDE))]
-    seen = df.agg(*aggs).head()
+    seen = _type_bits(df).head()
 
     def kind_of(i):
-        if seen[f"string{i}"] or not (seen[f"float{i}"] or seen[f"integer{i}"]):
+        has = {k for k, b in TYPE_BITS.items() if (seen[f"_{i}"] or 0) & b}
+        if "string" in has or not has:
             return "string"
-        if seen[f"float{i}"]:
+        if "float" in has:
             return "float"
-        return "string" if seen[f"huge{i}"] else "wide" if seen[f"wide{i}"] else "integer"
+        return "string" if "huge" in has else "wide" if "wide" in has else "integer"
 
     return {c: kind_of(i) for i, c in enumerate(df.columns)}
 

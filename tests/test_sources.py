@@ -11,6 +11,7 @@ from plain import rows
 from tamis import sinks, sources, streaming
 from tamis.operators.suspects import find_first_suspects
 from tamis.plans import DEFAULT_RULES
+from tamis.sources import files
 
 
 def write(path, text, zipped=False):
@@ -191,3 +192,12 @@ def test_each_batch(spark, tmp_path, parcel_files):
 
     streaming.each_batch(spark.readStream.schema(df.schema).parquet(path), step, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 2 * find_first_suspects(df, DEFAULT_RULES).count()
+
+
+def test_csv_cells_are_read_once(spark):
+    """Two patterns per column find its type, however many kinds of cells there are."""
+    rows = [("1", "1", "1", "1", "1", "", "a"), ("2_0", "9" * 19, "9" * 39, "1.5", "x", None, "1"), (" 3 ", "-4", "5", "inf", None, "", None)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(7)))
+    assert sources.csv_types(df) == dict(zip(df.columns, ("integer", "wide", "string", "float", "string", "string", "string")))
+    assert files._type_bits(df)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2 * 7
+    assert sources.csv_types(df.limit(0)) == {c: "string" for c in df.columns}
