@@ -102,3 +102,12 @@ def test_a_response_is_read_in_one_pass(spark):
     for frame in (good, bad):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_a_shuffle_of_items_carries_no_digest(spark):
+    """Digests do not shrink: items are dealt by them once, and each task computes them again."""
+    items = spark.range(50).selectExpr("cast(id % 40 AS string) AS record_id", "'R1' AS rule_id", "'x' AS severity")
+    once = judge._digested(items).dropDuplicates(["digest"])
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "digest" not in plan.partition("Exchange ")[2]
+    assert once.count() == 40
