@@ -181,6 +181,9 @@ def sql(body: str, upto: str = "a", extra: dict | None = None) -> str:
 
 # --- judgments on the Spark side -----------------------------------------------
 
+JUDGED = ["record_id", "rule_id", "error_type", "severity"]  # what the stand-in opinions read of a suspect
+
+
 def judged(found: DataFrame) -> DataFrame:
     """First opinions of the stand-in judge."""
     fix = F.expr(FIX_COLUMN)
@@ -203,7 +206,7 @@ def found_once(spark: SparkSession, sf: str) -> DataFrame:
 def reconciled(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
     from tamis.operators.reconcile import reconcile
 
-    found = found_once(spark, sf) if found is None else found
+    found = materialise(suspects(spark, sf).select(*JUDGED), "suspects") if found is None else found
     return reconcile(judged(found), second_opinions(found))
 
 

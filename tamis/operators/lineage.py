@@ -13,9 +13,11 @@ SEVERITY_WEIGHTS = {"critical": 10.0, "warning": 5.0, "info": 1.0}
 def lookup(df: DataFrame, lineage: DataFrame) -> DataFrame:
     """Left join on table_name with defaults for tables that have no lineage.
 
-    Lineage has one row per table of the catalog; Spark broadcasts it while it is small.
+    Lineage has one row per table of the catalog. It is written and read back, so that Spark knows its size and broadcasts it while it
+    is small: a shuffle would lay all rows of a table in one task.
     """
-    return (df.join(lineage.withColumn("_known", F.lit(True)), "table_name", "left")
+    known = materialise(lineage.withColumn("_known", F.lit(True)), "lineage")
+    return (df.join(known, "table_name", "left")
             .withColumns({
                 "lineage_status": F.when(F.col("_known"), "success").otherwise("not_found"),
                 "upstream_tables": F.coalesce("upstream_tables", F.array().cast("array<string>")),

@@ -83,6 +83,12 @@ def cache_entries(judgments: DataFrame, suspects: DataFrame, written_at, ttl_day
 
 # --- opinions --------------------------------------------------------------
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Dealt by the keys over all shuffle partitions before a grouping: nearly every key occurs once, so a map over a large split would hold all
+    its keys and combine nothing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+
+
 def last_answer(judgments: DataFrame) -> DataFrame:
     """One judgment per (record, rule): the last one given (by batch and position, if known).
 
@@ -91,6 +97,8 @@ def last_answer(judgments: DataFrame) -> DataFrame:
     """
     order = [c for c in ("batch_id", "pos") if c in judgments.columns]
     rest = [c for c in judgments.columns if c not in (*KEYS, *order)]
+    if not order and [judgments.schema[c].dataType.typeName() for c in rest] == ["boolean"]:  # in order as its JSON is, and needs no sort
+        return _dealt(judgments).groupBy(*KEYS).agg(F.max(rest[0]).alias(rest[0]))
     by = F.struct(*order) if order else F.to_json(F.struct(*rest))
     return (judgments.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), by).alias("j"))
             .select(*KEYS, "j.*"))
@@ -150,7 +158,7 @@ def ranked(judgments: DataFrame) -> DataFrame:
 
 def with_impact(judgments: DataFrame, scored: DataFrame) -> DataFrame:
     """Carry the impact score of the suspect over to its judgment."""
-    scores = scored.groupBy(*KEYS).agg(F.max("impact_score").alias("impact_score"))
+    scores = _dealt(scored.select(*KEYS, "impact_score")).groupBy(*KEYS).agg(F.max("impact_score").alias("impact_score"))
     return (judgments.join(scores, KEYS, "left")
             .withColumn("impact_score", F.coalesce("impact_score", F.lit(0.0))))
 
