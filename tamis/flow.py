@@ -64,12 +64,14 @@ def judge(suspects: DataFrame, ask: Callable, as_of, cache: DataFrame | None = N
     first = first.withColumn("reflection_match", F.lit(True)).withColumn("reflection_note", F.lit(""))
     if reflect is not None:
         first = materialise(first, "first-opinions")  # read twice: answers are parsed once
-        seen = open_items.join(first.select(*keys, F.struct("is_error", "confidence", "reasoning").alias("first_opinion")), keys)
+        shown = first.select(*keys, F.struct("is_error", "confidence", "reasoning").alias("first_opinion"))
+        seen = judging.dealt(open_items, parallel_calls).join(reconcile.per_key(shown), keys)
         more_calls, second, more_failures = opinion(seen, reflect, "REFLECTION", batch_size)
         first = materialise(reconcile.reconcile(first.drop("reflection_match", "reflection_note"), second), "opinions")
         calls, failures = calls.unionByName(more_calls), failures.unionByName(more_failures)
         if deep is not None:
-            differ = open_items.join(reconcile.mismatches(first).select(*keys), keys, "left_semi")
+            doubtful = reconcile.per_key(reconcile.mismatches(first).select(*keys))  # a row per key; Spark would move a semi join below the dealing
+            differ = judging.dealt(open_items, parallel_calls).join(doubtful, keys).select(*[F.col(f"`{c}`") for c in open_items.columns])
             more_calls, third, more_failures = opinion(differ, deep, "DEEP_ANALYSIS", deep_batch_size)
             first = reconcile.apply_deep(first, third)
             calls, failures = calls.unionByName(more_calls), failures.unionByName(more_failures)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from plain import rows
 from parcels import NUMBER, SCHEMA, SOUND, TOTAL, records
 from tamis import flow
+from tamis.operators import judge as judging
 from tamis.operators.reconcile import rule_pattern_keys
 from tamis.plans import DEFAULT_RULES
+from tamis.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,32 @@ def test_whole_run(spark, parcels):
     assert rows(done.feedback, "record_id", "rejection_reason") == [(status, "fine")]
 
 
+def test_opinions_are_not_broadcast(spark, parcels, monkeypatch):
+    """A row per suspect takes little room in files and much in memory: whatever their files' size, opinions meet in shuffles."""
+    asked, plans, call = {}, {}, judging.call_judge
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noting_calls(items, function, kind, *args, **kwargs):
+        asked[kind] = plan(items)
+        return call(items, function, kind, *args, **kwargs)
+
+    def noting_writes(df, name, path=None):
+        plans[name] = plan(df)
+        return materialise(df, name, path)
+
+    monkeypatch.setattr(judging, "call_judge", noting_calls)
+    monkeypatch.setattr(flow, "materialise", noting_writes)
+    sure, odd = asker(lambda i: {"is_error": True, "confidence": "HIGH"}), asker(lambda i: {"is_error": int(i["record_id"]) % 2 == 0})
+    out = flow.judge(flow.check(parcels, DEFAULT_RULES), sure, "2024-01-01", reflect=odd, deep=sure)
+    assert out.judgments.filter("NOT reflection_match").count() > 0 and out.new_cache_entries.count() > 0
+    for text in (asked["REFLECTION"], asked["DEEP_ANALYSIS"], plans["opinions"], plans["judgments"], plan(out.new_cache_entries)):
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    tasks = out.calls.groupBy("analysis_type").agg(F.count_distinct(F.split("batch_id", "-")[0]).alias("n"))
+    assert {r["n"] for r in tasks.collect()} == {4}  # as many call for every opinion
+
+
 def test_cached_patterns_are_not_asked_again(spark, parcels, tmp_path):
     found = flow.check(parcels, DEFAULT_RULES)
     keys = rule_pattern_keys(DEFAULT_RULES, parcels.schema)
