@@ -12,6 +12,22 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.suspects import find_first_suspects
 
 
+BUCKETS = 4096  # of keys that are handed to Python at once
+
+
+def _latest(batches):
+    """The latest time of a task, if it has one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last = None
+    for b in batches:
+        here = pc.max(b.column(0))
+        last = here if last is None or not last.is_valid or (here.is_valid and here.as_py() > last.as_py()) else last
+    if last is not None and last.is_valid:
+        yield pa.RecordBatch.from_arrays([pa.array([last.as_py()], last.type)], names=["event_time"])
+
+
 def stream_suspects(stream: DataFrame, rules, key: str = "record_id") -> DataFrame:
     """Suspects of a stream: the same projection as in batch, stateless, append mode."""
     return find_first_suspects(stream, rules, key)
@@ -34,45 +50,43 @@ def stream_suspects_and_late(stream: DataFrame, rules, key: str, event_time: str
 
     A suspect behind the watermark, or without a time, is not lost: if its key is still known it is a copy, else it comes out with ``late`` true.
     Others come out the first time, the earliest of a micro-batch. A key is kept until the watermark has passed that time (of late ones the watermark
-    when they came) by ``late_by``; copies in between are dropped. Keys are held in Spark's state store, a time each, and are let go by timers, in micro-batches that
-    Spark runs for them.
+    when they came) by ``late_by``; copies in between are dropped. Keys are held in Spark's state store, a time each, and are let go by Spark with
+    a micro-batch. Only the watermark has to be asked for in Python: by buckets of keys, which keep no state, each with the keys of one micro-batch.
     """
     stamped = stream.withColumn("event_time", F.col(event_time).cast("timestamp")).withWatermark("event_time", late_by)
     found = find_first_suspects(stamped, rules, key, carry=["event_time"])
-    pairs = F.to_json(F.struct(*[F.col(c) for c in found.columns if c not in ("record_id", "rule_id", "event_time")]), {"ignoreNullFields": "false"})
-    packed = found.select("record_id", "rule_id", "event_time", pairs.alias("payload"))
-    span = int(found.sparkSession.sql(f"SELECT cast(interval '{late_by}' AS interval day to second) AS s").head()["s"].total_seconds() * 1000)
-
-    def once(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        watermark = state.getCurrentWatermarkMs()
-
-        def wait(first):
-            """Look again when the watermark may have passed; event time may run faster than the clock, and there may be no watermark yet."""
-            state.setTimeoutDuration(min(max(1, first + span - watermark), max(1, span)))
-
-        if state.hasTimedOut:
-            if state.get[0] + span > watermark:
-                wait(state.get[0])
-            else:
-                state.remove()
-            return
-        rows = [r for f in frames for r in zip(f["event_time"], f["payload"])]  # plain rows: most keys have one, and a frame costs more than that
-        if state.exists:
-            wait(state.get[0])
-            return
-        rows = sorted(((-1 if pd.isna(t) else t.value // 1_000_000, payload, t) for t, payload in rows), key=lambda r: r[:2])
-        timely = [r for r in rows if r[0] >= watermark]
-        first = timely[0][0] if timely else watermark
-        state.update((first,))
-        wait(first)
-        _, payload, at = (timely or rows)[0]
-        yield pd.DataFrame({"record_id": [key[0]], "rule_id": [key[1]], "event_time": pd.Series([at], dtype="datetime64[ns]"), "payload": [payload], "late": [not timely]})
-
-    schema = T.StructType([f for f in found.schema if f.name not in ("record_id", "rule_id", "event_time")])
-    out = packed.groupBy("record_id", "rule_id").applyInPandasWithState(
-        once, "record_id string, rule_id string, event_time timestamp, payload string, late boolean", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return out.select("record_id", "rule_id", F.from_json("payload", schema).alias("p"), "event_time", "late").select(
-        "record_id", "rule_id", "p.*", "event_time", "late")
+    rest = [c for c in found.columns if c not in ("record_id", "rule_id", "event_time")]
+    # the columns that settle ties come first
+    text = F.to_json(F.struct(*rest, F.unix_micros("event_time").alias("event_time")), {"ignoreNullFields": "false"})
+    at = F.coalesce(F.unix_millis("event_time"), F.lit(-1)).alias("at")
+    packed = found.select(F.pmod(F.xxhash64("record_id", "rule_id"), F.lit(BUCKETS)).alias("bucket"), "record_id", "rule_id", "event_time", at, text.alias("suspect"))
+    # the second watermark is to move as the first does, also by rows that are no suspects: a row per task, without a suspect
+    latest = stamped.select("event_time").mapInArrow(_latest, "event_time timestamp").select(
+        F.lit(BUCKETS).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string"), "event_time", at, F.lit(None).cast("string"))
+
+    def first_of_batch(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """Of each key the earliest timely suspect, else the earliest, and the time that it is kept from: it lies ahead of the watermark, so Spark drops none."""
+        watermark, best, newest = state.getCurrentWatermarkMs(), {}, None
+        for f in frames:
+            for record_id, rule_id, at, suspect in zip(f["record_id"], f["rule_id"], f["at"], f["suspect"]):
+                if suspect is None:
+                    newest = at if newest is None else max(newest, at)
+                    continue
+                row, known = (at < watermark, at, suspect), best.get((record_id, rule_id))
+                if known is None or row < known:
+                    best[record_id, rule_id] = row
+        out = [(*k, suspect, late, max(at * 1000, watermark * 1000 + 1)) for k, (late, at, suspect) in best.items()]
+        out += [] if newest is None else [(None, None, None, False, newest * 1000)]
+        yield pd.DataFrame(out, columns=["record_id", "rule_id", "suspect", "late", "kept_from"])
+
+    first = packed.union(latest).groupBy("bucket").applyInPandasWithState(
+        first_of_batch, "record_id string, rule_id string, suspect string, late boolean, kept_from long", "none long", "append", GroupStateTimeout.NoTimeout)
+    # the filter names the time, else Spark would move it below the watermark
+    once = (first.withColumn("kept_from", F.timestamp_micros("kept_from")).withWatermark("kept_from", late_by)
+            .filter("suspect IS NOT NULL OR kept_from IS NULL").dropDuplicatesWithinWatermark(["record_id", "rule_id"]))
+    schema = T.StructType([T.StructField("event_time", T.LongType()) if f.name == "event_time" else f for f in found.schema if f.name in (*rest, "event_time")])
+    return once.select("record_id", "rule_id", F.from_json("suspect", schema).alias("p"), "late").select(
+        "record_id", "rule_id", *[f"p.{c}" for c in rest], F.timestamp_micros("p.event_time").alias("event_time"), "late")
 
 
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str,
@@ -86,7 +100,7 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, available_now: b
     """Append a stream to parquet with exactly-once file commits.
 
     Without ``empty_batches`` Spark runs no micro-batch that has no data. A run over what is there (``available_now``) needs that if the stream has
-    timers of the clock, as ``stream_suspects_and_late`` has: such a stream always wants one more batch, and the run would not end.
+    timers of the clock: such a stream always wants one more batch, and the run would not end.
     """
     writer = (stream.writeStream.outputMode("append").format("parquet")
               .option("path", path).option("checkpointLocation", checkpoint))
